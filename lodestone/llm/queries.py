@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import syncmers
+from lodestone.llm import bpe, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
