@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, syncmers
+from lodestone.llm import bpe, packing, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op2_token_packing": packing.op2_token_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
