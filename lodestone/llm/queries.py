@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, packing, syncmers
+from lodestone.llm import bpe, chat, minhash, packing, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op2_token_packing": packing.op2_token_packing,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
