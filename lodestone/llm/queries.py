@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, minhash, packing, syncmers
+from lodestone.llm import bpe, chat, line_dedup, minhash, packing, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -14,6 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_packing": packing.op2_token_packing,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+}
