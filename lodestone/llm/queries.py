@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, line_dedup, minhash, packing, syncmers
+from lodestone.llm import bpe, chat, langid, line_dedup, minhash, packing, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_language_id": langid.op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
