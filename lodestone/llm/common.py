@@ -112,17 +112,18 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words (A-Z lower-cased) of a block, and how many each text has.
 
-    offsets: those of the block's texts, in `data`.
+    offsets: those of the block's texts, in `data`.  For each of `prefixes` an array
+    follows: the hashes of the words' first bytes, as many; 0 for words no longer.
     """
     base, end = int(offsets[0]), int(offsets[-1])
     part = _LOWER[data[base:end]]
     n = len(part)
     counts = np.zeros(len(offsets) - 1, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, *[np.zeros(0, np.uint64) for _ in prefixes]
     inside = ~separators[part]
     edge = np.zeros(n + 1, bool)  # texts begin or end here
     at = offsets - base
@@ -139,4 +140,6 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray) -
     _, down = powers(n + 1)
     words = mix64((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     owner = np.searchsorted(starts, at)
-    return words, np.diff(owner)
+    size = ends - starts
+    parts = [np.where(size > p, mix64((h[np.minimum(starts + p, n)] - h[starts]) * down[starts] + np.uint64(p << 32)), np.uint64(0)) for p in prefixes]
+    return words, np.diff(owner), *parts
