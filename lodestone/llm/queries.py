@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, langid, line_dedup, minhash, packing, syncmers, toxicity
+from lodestone.llm import bpe, chat, langid, line_dedup, minhash, packing, quality, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op8_quality_outliers": quality.op8_quality_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {
