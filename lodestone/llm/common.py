@@ -143,3 +143,14 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray, p
     size = ends - starts
     parts = [np.where(size > p, mix64((h[np.minimum(starts + p, n)] - h[starts]) * down[starts] + np.uint64(p << 32)), np.uint64(0)) for p in prefixes]
     return words, np.diff(owner), *parts
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df through a Parquet table in the shared folder that spark.checkpoint.dir names."""
+    import uuid
+
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-tables-")
+    path = f"{shared.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, langid, line_dedup, minhash, packing, quality, syncmers, toxicity
+from lodestone.llm import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": langid.op7_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_quality_outliers": quality.op8_quality_outliers,
+    "op4_license_scan": licenses.op4_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
