@@ -1,4 +1,4 @@
-"""Every query of the engine's own operators, by name."""
+"""Every query of the engine's own operators, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans import retrieval_queries
+
+_MODULES = (retrieval_queries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.S.items()}
