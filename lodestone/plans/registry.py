@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import catalog_queries, retrieval_queries
+from lodestone.plans import catalog_queries, retrieval_queries, text_queries
 
-_MODULES = (retrieval_queries, catalog_queries)
+_MODULES = (retrieval_queries, catalog_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
