@@ -181,3 +181,36 @@ def checks(*named: tuple[str, DataFrame]) -> DataFrame:
         row = df.select(F.lit(label).alias("label"), "ok")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def little_law(levels: DataFrame) -> DataFrame:
+    """users, latency_s with the throughput that they imply."""
+    return levels.withColumn("throughput", F.when(F.col("latency_s") > 0, F.col("users") / F.col("latency_s")))
+
+
+def shared_words(a: Column, b: Column) -> Column:
+    """Distinct words of more than two letters that two texts share."""
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2))
+    return F.array_sort(F.array_intersect(words(a), words(b)))
+
+
+def sweep(candidates: DataFrame, expected: DataFrame, weights: list[float], k: int) -> DataFrame:
+    """weight, hits_at_1, hits_at_k: the blend of two scores (a, b in 0 to 1) under each weight, in one job."""
+    grid = F.explode(F.array(*map(F.lit, weights))).alias("weight")
+    mixed = candidates.select("query_id", "chunk_id", "a", "b", grid).withColumn("mixed", F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"))
+    order = Window.partitionBy("weight", "query_id").orderBy(F.round("mixed", 9).desc(), "chunk_id")
+    ranked = mixed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hit = ranked.join(expected, ["query_id", "chunk_id"], "left_semi").groupBy("weight", "query_id").agg(F.min("rank").alias("first"))
+    return hit.groupBy("weight").agg(F.count_if(F.col("first") == 1).alias("hits_at_1"), F.count("*").alias("hits_at_k"))
+
+
+def parity(pairs: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """max_diff, same_order, ok of two scores (item, a, b); each query_id is ordered on its own."""
+    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "item"))
+    r = pairs.withColumns({"ra": rank("a"), "rb": rank("b")})
+    return r.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_diff"), F.bool_and(F.col("ra") == F.col("rb")).alias("same_order")).withColumn("ok", (F.col("max_diff") < tolerance) & F.col("same_order"))
+
+
+def drift(opening: Column, closing: Column, most: float = 0.25) -> Column:
+    """Whether a run's closing time stayed near its opening time."""
+    return F.when(opening > 0, F.abs(closing - opening) / opening <= most).otherwise(F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import html
 from lodestone.functions.text import jaccard
-from lodestone.operators import chunking, evaluate, summarize, understanding
+from lodestone.operators import chunking, evaluate, ingest, models, summarize, understanding
 from lodestone.sources import files
 from lodestone.streaming import streams
 
@@ -132,3 +132,39 @@ S["window_counts"] = "SELECT user_id AS client, date_trunc('hour', ts) AS start,
 Q["null_frames"] = lambda s, d: streams.without_null_frames(table(s, d, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), F.concat(F.when(F.col("turn") % 2 == 0, F.lit("data: null\n\n")).otherwise(F.lit("")), F.lit("data: x\n\n")).alias("text")))
 S["null_frames"] = "SELECT conv_id AS stream, repeat('data: x' || chr(10) || chr(10), count(*)) AS text FROM conversations GROUP BY conv_id"
 Q["cache_replay"] = lambda s, d: streams.cache_replay(table(s, d, "events").select(F.col("event_type").alias("cache"), F.unix_timestamp("ts").cast("double").alias("at"), F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("key")), 16, 3600.0)
+
+
+def _run(s: SparkSession, d: str) -> ingest.Run:
+    """Even documents are ingested over a store that holds the multiples of three."""
+    rows = articles(s, d).withColumn("updated_at", F.lit(2))
+    stored = rows.filter("article_id % 3 = 0").select("article_id", "title", "url", "category", F.lit(1).alias("chunk_count"), F.col("text").alias("raw_content"), F.lit("old").alias("summary"), F.lit(1).alias("updated_at"), F.lit(None).cast("string").alias("llm_summary"), F.lit(None).cast("int").alias("llm_summary_at"))
+    chunks = rows.select("article_id", F.explode(F.array(F.lit(0), F.lit(100_000))).alias("i")).select("article_id", F.concat(F.col("article_id").cast("string"), F.lit("_chunk_"), F.col("i").cast("string")).alias("chunk_id"))
+    return ingest.run(rows.filter("article_id % 2 = 0"), stored, chunks)
+
+
+Q["ingest_report"] = lambda s, d: _run(s, d).report
+Q["ingest_stale"] = lambda s, d: _run(s, d).stale.select("chunk_id")
+S["ingest_stale"] = "SELECT doc_id || '_chunk_100000' AS chunk_id FROM documents WHERE doc_id % 2 = 0 AND trim(coalesce(text, '')) <> ''"
+Q["store_summary"] = lambda s, d: ingest.store_summary(articles(s, d))
+S["store_summary"] = "SELECT count(*) AS n, count(DISTINCT doc_id) AS articles, count(DISTINCT source) AS categories FROM documents"
+Q["embed_texts"] = lambda s, d: table(s, d, "documents").select("doc_id", models.embedding(models.hashing_embedder())("text").alias("embedding"))
+Q["pair_scores"] = lambda s, d: models.reranked(table(s, d, "benchmark").select(F.lit(0).alias("query_id"), F.col("item_id").alias("chunk_id"), F.array(F.lit("the on"), F.lit("and of")).alias("forms"), "text"), models.overlap_scorer)
+Q["shared_words"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(evaluate.shared_words(F.substring("text", 1, 200), F.substring("text", 201, 200))).cast("long").alias("n"))
+S["shared_words"] = "SELECT doc_id, len(list_distinct(list_intersect(list_filter(regexp_extract_all(lower(text[1:200]), '[a-z0-9]+'), lambda w: length(w) > 2), list_filter(regexp_extract_all(lower(text[201:400]), '[a-z0-9]+'), lambda w: length(w) > 2))))::BIGINT AS n FROM documents"
+Q["little_law"] = lambda s, d: evaluate.little_law(table(s, d, "region").select((F.col("r_regionkey") * 10).cast("long").alias("users"), (F.col("r_regionkey") * 2).cast("double").alias("latency_s"))).select("users", F.round("throughput", 6).alias("throughput"))
+S["little_law"] = "SELECT (r_regionkey * 10)::BIGINT AS users, CASE WHEN r_regionkey > 0 THEN round(r_regionkey * 10 / (r_regionkey * 2.0), 6) END AS throughput FROM region"
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    rows = results(s, d).select("query_id", F.col("article_id").alias("chunk_id"), ((F.col("rank") * 37) % 11 / 11.0).alias("a"), ((F.col("rank") * 53) % 13 / 13.0).alias("b")).groupBy("query_id", "chunk_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    expected = cases(s, d).select("query_id", F.explode("expected").alias("chunk_id"))
+    return evaluate.sweep(rows, expected, [0.0, 0.5, 1.0], 5)
+
+
+Q["parameter_sweep"] = _grid
+S["parameter_sweep"] = f"""WITH {_RESULTS}, c AS (SELECT query_id, article_id AS chunk_id, max(rank * 37 % 11 / 11.0) AS a, max(rank * 53 % 13 / 13.0) AS b FROM res GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(weight * a + (1 - weight) * b, 9) DESC, chunk_id) AS rank FROM c, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS weight)),
+h AS (SELECT weight, query_id, min(rank) AS first FROM m JOIN (SELECT query_id, unnest(expected) AS chunk_id FROM cas) e USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY ALL)
+SELECT weight, count_if(first = 1)::BIGINT AS hits_at_1, count(*) AS hits_at_k FROM h GROUP BY weight"""
+Q["score_parity"] = lambda s, d: evaluate.parity(table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("item"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") + F.col("l_linenumber") * 1e-7).cast("double").alias("b"))).select((F.col("max_diff") < 1e-5).alias("close"))
+S["score_parity"] = "SELECT max(abs(l_linenumber * 1e-7)) < 1e-5 AS close FROM lineitem"
