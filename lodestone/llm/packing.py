@@ -27,6 +27,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,16 +42,29 @@ from lodestone.llm import common
 WINDOW, QUANTUM, DEPTH = 4096, 16, 3
 END_OF_DOCUMENT = 2
 #: Strings kept in a worker's memo, and the longest one that is kept.
-MEMO_SIZE, MEMO_CHARS = 300_000, 48
+MEMO_SIZE, MEMO_CHARS = 400_000, 48
 #: Cut tails up to this many are found again by a broadcast of their keys (24 bytes each).
 BROADCAST_CUTS = 200_000
 
 
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_BLANK = "\\t-\\r\\x1c-\\x20\\x85\xa0"
+#: The pretokens of a lower-cased text of Latin letters (below U+0250), as the tokenizer's own pattern finds them.
+_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
+#: Texts with these take the tokenizer's own pattern: other scripts, its special tokens, and separators that are no white space there.
+_FOREIGN = re.compile("[\\x1c-\\x1f\u0250-\U0010ffff]|<\\|").search
+#: New words that are encoded by one call.
+_TOGETHER = 512
+
+
 class Ids:
-    """Ids by a `tokenizers` file, as little-endian 32-bit bytes.
+    """Ids by the word-end BPE of a `tokenizers` file, as little-endian 32-bit bytes.
 
-    The tokenizer must drop white space and never look across it: then what
-    stands between blanks is encoded once and remembered.
+    That tokenizer lower-cases, drops white space and encodes each pretoken alone,
+    so pretokens are encoded once and remembered.  New ones are encoded many at a
+    time and told apart by the tokens that end a word.  Texts beyond plain Latin are
+    cut at blanks only, and what stands between is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -58,22 +72,42 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        for i in range(0, len(plain), _TOGETHER):
+            words = plain[i : i + _TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.memo.update(zip(words, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+            else:
+                other = other + words
+        if other:
+            coded = self.tokenizer.encode_batch(other, add_special_tokens=False)
+            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, coded, strict=True))
+
     def of(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO_SIZE:
+        split, plain, other = [], set(), set()
+        for t in texts:
+            foreign = _FOREIGN(t) is not None
+            words = t.replace("\n", " ").replace("\t", " ").split(" ") if foreign else _PRETOKENS(t.lower())
+            split.append(words)
+            (other if foreign else plain).update(words)
+        if len(memo) > MEMO_SIZE:
             memo.clear()
-            new = list({w for words in split for w in words})
-        if new:
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
+        plain.difference_update(memo)
+        other.difference_update(memo)
+        self._learn(list(plain), list(other - plain))
         out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for w in new:
+        for w in (*plain, *other):
             if len(w) > MEMO_CHARS:
-                del memo[w]
+                memo.pop(w, None)
         return out
 
 
