@@ -176,7 +176,7 @@ def piece_ids(docs: DataFrame, pieces: DataFrame, path: str, few: bool = False)
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
     """x >= 0 with the least |a x - b|, by active sets."""
     n = a.shape[1]
-    gram, right, ridge = a.T @ a, a.T @ b, 1e-9  # the ridge keeps dependent columns solvable
+    right, ridge = a.T @ b, 1e-9  # the ridge keeps dependent columns solvable
     x, active = np.zeros(n), np.zeros(n, bool)
     limit = 1e-7 * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(steps):
@@ -188,7 +188,7 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
         active[best] = True
         while True:
             on = np.flatnonzero(active)
-            z = np.linalg.solve(gram[np.ix_(on, on)] + ridge * np.eye(len(on)), right[on])
+            z = np.linalg.solve(a[:, on].T @ a[:, on] + ridge * np.eye(len(on)), right[on])
             if (z > 0).all():
                 x[:] = 0
                 x[on] = z
