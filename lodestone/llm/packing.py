@@ -42,7 +42,7 @@ from lodestone.llm import common
 WINDOW, QUANTUM, DEPTH = 4096, 16, 3
 END_OF_DOCUMENT = 2
 #: Strings kept in a worker's memo, and the longest one that is kept.
-MEMO_SIZE, MEMO_CHARS = 400_000, 48
+MEMO_SIZE, MEMO_CHARS = 200_000, 48
 #: Cut tails up to this many are found again by a broadcast of their keys (24 bytes each).
 BROADCAST_CUTS = 200_000
 
@@ -142,7 +142,7 @@ def measure(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     "crcs": pa.array([[zlib.crc32(x[i : i + step]) for i in range(0, len(x), step)] for x in ids], pa.list_(pa.int64())),
                 })
 
-    return keyed(docs).mapInArrow(work, "doc_id long, text_hash long, doc_tokens long, crcs array<long>")
+    return keyed(docs).mapInArrow(common.tidied(work), "doc_id long, text_hash long, doc_tokens long, crcs array<long>")
 
 
 def piece_ids(docs: DataFrame, pieces: DataFrame, path: str, few: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def piece_ids(docs: DataFrame, pieces: DataFrame, path: str, few: bool = False)
                     "all_ids": pa.array(ids, pa.list_(pa.int32())),
                 })
 
-    coded = wanted.mapInArrow(work, "k_doc long, k_hash long, all_ids array<int>")
+    coded = wanted.mapInArrow(common.tidied(work), "k_doc long, k_hash long, all_ids array<int>")
     same = pieces.doc_id.eqNullSafe(F.col("k_doc")) & (pieces.text_hash == F.col("k_hash"))
     found = pieces.join(coded, same).drop("k_doc", "k_hash")
     return found.withColumn("ids", F.slice("all_ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))).drop("all_ids")
