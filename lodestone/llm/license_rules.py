@@ -14,7 +14,7 @@ from typing import NamedTuple
 class Family(NamedTuple):
     label: str
     name: str  # regex of the name
-    keyword: str  # lower-case literal that every form of the name holds
+    keyword: str  # lower-case literals, parted by |; every form of the name holds one
     spdx: tuple[str, ...] = ()
     urls: tuple[str, ...] = ()
     body: tuple[tuple[str, str], ...] = ()  # (keyword, regex)
@@ -40,7 +40,7 @@ FAMILIES = (
     Family("isc", r"isc\s+licen[cs]e", "isc", ("ISC",), ("opensource.org/licenses/isc",), (
         ("with or without fee is hereby granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any\s+purpose with or without fee is hereby granted"),
     )),
-    Family("apache-1.1", r"apache\s+(?:software\s+)?licen[cs]e" + _V + r"1\.1", "1.1", ("Apache-1.1",)),
+    Family("apache-1.1", r"apache\s+(?:software\s+)?licen[cs]e" + _V + r"1\.1", "apache", ("Apache-1.1",)),
     Family("apache-2.0", r"apache\s+(?:software\s+)?(?:licen[cs]e" + _V + r"|)2(?:\.0)?(?![\d.]*\d)", "apache", ("Apache-2.0",), ("apache.org/licenses/license-2.0", "opensource.org/licenses/apache-2.0"), (
         ("you may not use this file except", r"you may not use this file except in compliance with the licen[cs]e"),
         ("unless required by applicable law", r"unless required by applicable law or agreed to in writing, software\s+distributed under the licen[cs]e is distributed on an .as is. basis"),
@@ -57,10 +57,10 @@ FAMILIES = (
     )),
     Family("0bsd", r"(?:zero[\s-]clause\s+bsd|bsd\s+zero\s+clause|0bsd)(?:\s+licen[cs]e)?", "bsd", ("0BSD",)),
     Family("gpl-1.0", r"gnu\s+(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"1(?:\.0)?(?!\d)", "gnu", ("GPL-1.0", "GPL-1.0-only", "GPL-1.0-or-later")),
-    Family("gpl-2.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"2(?:\.0)?(?!\d)", "2", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), ("gnu.org/licenses/old-licenses/gpl-2.0", "gnu.org/licenses/gpl-2.0"), (
+    Family("gpl-2.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"2(?:\.0)?(?!\d)", "gpl|general", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), ("gnu.org/licenses/old-licenses/gpl-2.0", "gnu.org/licenses/gpl-2.0"), (
         ("either version 2 of the license", r"either version 2 of the licen[cs]e, or \(?at your option\)? any later version"),
     )),
-    Family("gpl-3.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"3(?:\.0)?(?!\d)", "3", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), ("gnu.org/licenses/gpl-3.0", "gnu.org/licenses/gpl.html"), (
+    Family("gpl-3.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"3(?:\.0)?(?!\d)", "gpl|general", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), ("gnu.org/licenses/gpl-3.0", "gnu.org/licenses/gpl.html"), (
         ("either version 3 of the license", r"either version 3 of the licen[cs]e, or \(?at your option\)? any later version"),
     )),
     Family("gpl", r"gnu\s+(?:general\s+public\s+licen[cs]e|gpl)", "gnu", ("GPL",), ("gnu.org/copyleft/gpl", "gnu.org/licenses/gpl"), (
@@ -68,19 +68,19 @@ FAMILIES = (
         ("terms of the gnu general public", r"under the terms of the gnu general public licen[cs]e"),
     )),
     Family("lgpl-2.1", r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[cs]e|lgpl)" + _V + r"2\.1", "2.1", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"), ("gnu.org/licenses/old-licenses/lgpl-2.1",)),
-    Family("lgpl-2.0", r"(?:gnu\s+)?(?:library\s+general\s+public\s+licen[cs]e|lgpl" + _V + r"2(?:\.0)?(?![\d.]))", "l", ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later")),
-    Family("lgpl-3.0", r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[cs]e|lgpl)" + _V + r"3(?:\.0)?(?!\d)", "3", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"), ("gnu.org/licenses/lgpl-3.0",)),
-    Family("lgpl", r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[cs]e|\blgpl\b)", "l", ("LGPL",), ("gnu.org/licenses/lgpl", "gnu.org/copyleft/lesser"), (
+    Family("lgpl-2.0", r"(?:gnu\s+)?(?:library\s+general\s+public\s+licen[cs]e|lgpl" + _V + r"2(?:\.0)?(?![\d.]))", "lgpl|library", ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later")),
+    Family("lgpl-3.0", r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[cs]e|lgpl)" + _V + r"3(?:\.0)?(?!\d)", "lgpl|lesser", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"), ("gnu.org/licenses/lgpl-3.0",)),
+    Family("lgpl", r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[cs]e|\blgpl\b)", "lgpl|lesser", ("LGPL",), ("gnu.org/licenses/lgpl", "gnu.org/copyleft/lesser"), (
         ("gnu lesser general public", r"terms of the gnu lesser general public licen[cs]e"),
     )),
-    Family("agpl-3.0", r"(?:gnu\s+)?(?:affero\s+general\s+public\s+licen[cs]e|agpl)(?:" + _V + r"3(?:\.0)?(?!\d))?", "a", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), ("gnu.org/licenses/agpl",), (
+    Family("agpl-3.0", r"(?:gnu\s+)?(?:affero\s+general\s+public\s+licen[cs]e|agpl)(?:" + _V + r"3(?:\.0)?(?!\d))?", "agpl|affero", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), ("gnu.org/licenses/agpl",), (
         ("gnu affero general public", r"terms of the gnu affero general public licen[cs]e"),
     )),
     Family("gfdl", r"gnu\s+free\s+documentation\s+licen[cs]e", "free documentation", ("GFDL-1.1", "GFDL-1.2", "GFDL-1.3", "GFDL-1.3-or-later"), ("gnu.org/licenses/fdl", "gnu.org/copyleft/fdl"), (
         ("with no invariant sections", r"with no invariant sections, (?:with )?no front-cover texts"),
     )),
     Family("mpl-1.1", r"mozilla\s+public\s+licen[cs]e" + _V + r"1\.1", "mozilla", ("MPL-1.1",), ("mozilla.org/mpl/1.1",)),
-    Family("mpl-2.0", r"(?:mozilla\s+public\s+licen[cs]e|\bmpl)(?:" + _V + r"2(?:\.0)?(?!\d))", "2", ("MPL-2.0",), ("mozilla.org/mpl/2.0", "mozilla.org/en-us/mpl"), (
+    Family("mpl-2.0", r"(?:mozilla\s+public\s+licen[cs]e|\bmpl)(?:" + _V + r"2(?:\.0)?(?!\d))", "mpl|mozilla", ("MPL-2.0",), ("mozilla.org/mpl/2.0", "mozilla.org/en-us/mpl"), (
         ("this source code form is subject", r"this source code form is subject to the terms of the mozilla public\s+licen[cs]e"),
     )),
     Family("epl-1.0", r"eclipse\s+public\s+licen[cs]e" + _V + r"1(?:\.0)?(?!\d)", "eclipse", ("EPL-1.0",), ("eclipse.org/legal/epl-v10",)),
@@ -88,7 +88,7 @@ FAMILIES = (
     Family("edl-1.0", r"eclipse\s+distribution\s+licen[cs]e", "eclipse", (), ("eclipse.org/org/documents/edl",)),
     Family("cddl-1.0", r"common\s+development\s+and\s+distribution\s+licen[cs]e", "common development", ("CDDL-1.0", "CDDL-1.1"), ("opensource.org/licenses/cddl",)),
     Family("cpl-1.0", r"common\s+public\s+licen[cs]e", "common public", ("CPL-1.0",), ("opensource.org/licenses/cpl",)),
-    Family("eupl", r"european\s+union\s+public\s+licen[cs]e|\beupl\b", "eu", ("EUPL-1.1", "EUPL-1.2"), ("joinup.ec.europa.eu/collection/eupl",)),
+    Family("eupl", r"european\s+union\s+public\s+licen[cs]e|\beupl\b", "eupl|european", ("EUPL-1.1", "EUPL-1.2"), ("joinup.ec.europa.eu/collection/eupl",)),
     Family("artistic-1.0", r"(?:perl\s+)?artistic\s+licen[cs]e" + _V + r"1(?:\.0)?(?!\d)", "artistic", ("Artistic-1.0", "Artistic-1.0-Perl")),
     Family("artistic-2.0", r"artistic\s+licen[cs]e" + _V + r"2(?:\.0)?(?!\d)", "artistic", ("Artistic-2.0",), ("opensource.org/licenses/artistic-license-2.0",)),
     Family("perl", r"same\s+terms\s+as\s+perl\s+itself", "perl"),
@@ -100,9 +100,9 @@ FAMILIES = (
     Family("unlicense", r"\bthe\s+unlicense\b|\bunlicense\b", "unlicense", ("Unlicense",), ("unlicense.org",), (
         ("released into the public domain", r"this is free and unencumbered software released into the public domain"),
     )),
-    Family("wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[cs]e|\bwtfpl\b", "w", ("WTFPL",), ("wtfpl.net",)),
+    Family("wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[cs]e|\bwtfpl\b", "wtfpl|want", ("WTFPL",), ("wtfpl.net",)),
     Family("postgresql", r"postgresql\s+licen[cs]e", "postgresql", ("PostgreSQL",), ("opensource.org/licenses/postgresql",)),
-    Family("python-2.0", r"(?:python\s+software\s+foundation|\bpsf)\s+licen[cs]e", "licen", ("Python-2.0", "PSF-2.0"), ("docs.python.org/3/license",)),
+    Family("python-2.0", r"(?:python\s+software\s+foundation|\bpsf)\s+licen[cs]e", "python|psf", ("Python-2.0", "PSF-2.0"), ("docs.python.org/3/license",)),
     Family("ruby", r"ruby(?:'s)?\s+licen[cs]e", "ruby", ("Ruby",), ("ruby-lang.org/en/about/license",)),
     Family("php-3.01", r"php\s+licen[cs]e" + _V + r"3\.0?1?", "php", ("PHP-3.0", "PHP-3.01"), ("php.net/license",)),
     Family("openssl", r"openssl\s+licen[cs]e", "openssl", ("OpenSSL",), ("openssl.org/source/license",)),
@@ -110,10 +110,10 @@ FAMILIES = (
     Family("afl-3.0", r"academic\s+free\s+licen[cs]e", "academic free", ("AFL-2.1", "AFL-3.0"), ("opensource.org/licenses/afl",)),
     Family("osl-3.0", r"open\s+software\s+licen[cs]e", "open software", ("OSL-2.1", "OSL-3.0"), ("opensource.org/licenses/osl",)),
     Family("ofl-1.1", r"sil\s+open\s+font\s+licen[cs]e", "open font", ("OFL-1.0", "OFL-1.1"), ("scripts.sil.org/ofl", "openfontlicense.org")),
-    Family("ms-pl", r"microsoft\s+public\s+licen[cs]e|\bms-pl\b", "m", ("MS-PL",), ("opensource.org/licenses/ms-pl",)),
-    Family("ms-rl", r"microsoft\s+reciprocal\s+licen[cs]e|\bms-rl\b", "m", ("MS-RL",)),
+    Family("ms-pl", r"microsoft\s+public\s+licen[cs]e|\bms-pl\b", "ms-pl|microsoft", ("MS-PL",), ("opensource.org/licenses/ms-pl",)),
+    Family("ms-rl", r"microsoft\s+reciprocal\s+licen[cs]e|\bms-rl\b", "ms-rl|microsoft", ("MS-RL",)),
     Family("bsl-1.1", r"business\s+source\s+licen[cs]e", "business source", ("BUSL-1.1",), ("mariadb.com/bsl11",)),
-    Family("sspl-1.0", r"server\s+side\s+public\s+licen[cs]e|\bsspl\b", "s", ("SSPL-1.0",), ("mongodb.com/licensing/server-side-public-license",)),
+    Family("sspl-1.0", r"server\s+side\s+public\s+licen[cs]e|\bsspl\b", "sspl|server", ("SSPL-1.0",), ("mongodb.com/licensing/server-side-public-license",)),
     Family("elastic-2.0", r"elastic\s+licen[cs]e", "elastic", ("Elastic-2.0",), ("elastic.co/licensing/elastic-license",)),
     Family("blueoak-1.0.0", r"blue\s+oak\s+model\s+licen[cs]e", "blue oak", ("BlueOak-1.0.0",), ("blueoakcouncil.org/license",)),
     Family("upl-1.0", r"universal\s+permissive\s+licen[cs]e", "universal permissive", ("UPL-1.0",), ("oss.oracle.com/licenses/upl",)),
@@ -121,14 +121,14 @@ FAMILIES = (
     Family("mulan-2.0", r"mulan\s+permissive\s+software\s+licen[cs]e", "mulan", ("MulanPSL-1.0", "MulanPSL-2.0"), ("license.coscl.org.cn/mulan",)),
     Family("json", r"json\s+licen[cs]e", "json", ("JSON",), ("json.org/license",), (("good, not evil", r"the software shall be used for good, not evil"),)),
     Family("beerware", r"beer-?ware\s+licen[cs]e", "beer", ("Beerware",)),
-    Family("cc0-1.0", r"(?:creative\s+commons\s+zero|\bcc0\b|\bcc\s+zero\b)(?:\s+1\.0)?(?:\s+universal)?", "cc|creative", ("CC0-1.0",), ("creativecommons.org/publicdomain/zero",)),
-    Family("cc-by-nc-nd", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial[\s-]+no-?deriv\w*|\bcc[\s-]+by-nc-nd)(?:[\s-]+[1-4]\.\d)?", "c", ("CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0"), ("creativecommons.org/licenses/by-nc-nd",)),
-    Family("cc-by-nc-sa", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial[\s-]+share-?alike|\bcc[\s-]+by-nc-sa)(?:[\s-]+[1-4]\.\d)?", "c", ("CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0"), ("creativecommons.org/licenses/by-nc-sa",)),
-    Family("cc-by-nc", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial|\bcc[\s-]+by-nc)(?:[\s-]+[1-4]\.\d)?", "c", ("CC-BY-NC-3.0", "CC-BY-NC-4.0"), ("creativecommons.org/licenses/by-nc/",)),
-    Family("cc-by-nd", r"(?:creative\s+commons\s+attribution[\s-]+no-?deriv\w*|\bcc[\s-]+by-nd)(?:[\s-]+[1-4]\.\d)?", "c", ("CC-BY-ND-3.0", "CC-BY-ND-4.0"), ("creativecommons.org/licenses/by-nd",)),
-    Family("cc-by-sa", r"(?:creative\s+commons\s+attribution[\s-]+share-?alike|\bcc[\s-]+by-sa)(?:[\s-]+[1-4]\.\d)?", "c", ("CC-BY-SA-3.0", "CC-BY-SA-4.0"), ("creativecommons.org/licenses/by-sa",)),
-    Family("cc-by", r"(?:creative\s+commons\s+attribution|\bcc[\s-]+by)(?:[\s-]+[1-4]\.\d)?(?![\w-])", "c", ("CC-BY-3.0", "CC-BY-4.0"), ("creativecommons.org/licenses/by/",)),
-    Family("odbl-1.0", r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[cs]e|\bodbl\b", "o", ("ODbL-1.0",), ("opendatacommons.org/licenses/odbl",)),
+    Family("cc0-1.0", r"(?:creative\s+commons\s+zero|\bcc0\b|\bcc\s+zero\b)(?:\s+1\.0)?(?:\s+universal)?", "cc0|creative|cc", ("CC0-1.0",), ("creativecommons.org/publicdomain/zero",)),
+    Family("cc-by-nc-nd", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial[\s-]+no-?deriv\w*|\bcc[\s-]+by-nc-nd)(?:[\s-]+[1-4]\.\d)?", "cc|creative", ("CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0"), ("creativecommons.org/licenses/by-nc-nd",)),
+    Family("cc-by-nc-sa", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial[\s-]+share-?alike|\bcc[\s-]+by-nc-sa)(?:[\s-]+[1-4]\.\d)?", "cc|creative", ("CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0"), ("creativecommons.org/licenses/by-nc-sa",)),
+    Family("cc-by-nc", r"(?:creative\s+commons\s+attribution[\s-]+non-?commercial|\bcc[\s-]+by-nc)(?:[\s-]+[1-4]\.\d)?", "cc|creative", ("CC-BY-NC-3.0", "CC-BY-NC-4.0"), ("creativecommons.org/licenses/by-nc/",)),
+    Family("cc-by-nd", r"(?:creative\s+commons\s+attribution[\s-]+no-?deriv\w*|\bcc[\s-]+by-nd)(?:[\s-]+[1-4]\.\d)?", "cc|creative", ("CC-BY-ND-3.0", "CC-BY-ND-4.0"), ("creativecommons.org/licenses/by-nd",)),
+    Family("cc-by-sa", r"(?:creative\s+commons\s+attribution[\s-]+share-?alike|\bcc[\s-]+by-sa)(?:[\s-]+[1-4]\.\d)?", "cc|creative", ("CC-BY-SA-3.0", "CC-BY-SA-4.0"), ("creativecommons.org/licenses/by-sa",)),
+    Family("cc-by", r"(?:creative\s+commons\s+attribution|\bcc[\s-]+by)(?:[\s-]+[1-4]\.\d)?(?![\w-])", "cc|creative", ("CC-BY-3.0", "CC-BY-4.0"), ("creativecommons.org/licenses/by/",)),
+    Family("odbl-1.0", r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[cs]e|\bodbl\b", "odbl|database", ("ODbL-1.0",), ("opendatacommons.org/licenses/odbl",)),
     Family("odc-by-1.0", r"open\s+data\s+commons\s+attribution\s+licen[cs]e", "open data commons", ("ODC-By-1.0",), ("opendatacommons.org/licenses/by",)),
     Family("pddl-1.0", r"public\s+domain\s+dedication\s+and\s+licen[cs]e", "public domain", ("PDDL-1.0",), ("opendatacommons.org/licenses/pddl",)),
     Family("openrail", r"(?:creativeml\s+)?open\s*rail(?:-?[ms]+)?(?:\s+licen[cs]e)?", "rail", ("OpenRAIL", "OpenRAIL-M", "CreativeML-OpenRAIL-M")),
@@ -136,7 +136,7 @@ FAMILIES = (
     Family("w3c", r"w3c\s+(?:software\s+(?:notice\s+and\s+)?)?licen[cs]e", "w3c", ("W3C",), ("w3.org/consortium/legal",)),
     Family("unicode", r"unicode\s+(?:data\s+files\s+and\s+software\s+)?licen[cs]e", "unicode", ("Unicode-DFS-2016", "Unicode-3.0"), ("unicode.org/copyright", "unicode.org/license")),
     Family("public-domain", r"(?:placed|released|dedicated)\s+(?:in|into|to)\s+the\s+public\s+domain", "public domain"),
-    Family("proprietary", r"(?:proprietary\s+and\s+confidential|unauthori[sz]ed\s+(?:copying|use)\s+(?:of\s+this\s+\w+\s+)?is\s+(?:strictly\s+)?prohibited)", "p", (), (), (
+    Family("proprietary", r"(?:proprietary\s+and\s+confidential|unauthori[sz]ed\s+(?:copying|use)\s+(?:of\s+this\s+\w+\s+)?is\s+(?:strictly\s+)?prohibited)", "proprietary|prohibited", (), (), (
         ("all rights reserved", r"all rights reserved"),
     )),
 )
@@ -165,7 +165,7 @@ def rules(families: tuple[Family, ...] = FAMILIES) -> list[Rule]:
             add("tag", f, i, rf"\blicen[cs]e[\"']?\s*[:=]\s*[\"']?{_literal(i)}(?![\w.-]*\w)")
         for url in f.urls:
             add("url", f, url, _literal(url))
-        add("grant", f, "under", rf"{_GRANT}(?:{f.name})")
         for keyword in f.keyword.split("|"):
+            add("grant", f, keyword, rf"{_GRANT}(?:{f.name})")
             add("name", f, keyword, rf"(?<![\w-])(?:{f.name})")
     return out

@@ -1,6 +1,6 @@
 """Licence scan by ordered signature rules (operator 4), DataFrame functions only.
 
-A text that holds none of a few gate words is done after one pass.  For the others,
+A text that holds none of a few gate strings is done after plain substring searches.  For the others,
 a rule's regex is tried only if its keyword occurs.  All detections of a text are
 then ordered by priority, length and place, and a detection is dropped when a
 stronger one contains it, or overlaps it with a higher priority.
@@ -17,6 +17,8 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,13 @@ WORDS = rf"[{_WORD}]+"
 #: label -> words of the phrase
 BASE = {"apache": ("apache", "license"), "gpl": ("general", "public", "license"), "mit": ("mit", "license")}
 BASE_SCORE = 60
-#: Every rule's regex needs one of these.
-GATE = r"(?i)licen[cs]|spdx|copyright|public domain|creative\s+commons|\bcc0\b|\bcc[\s-]+(?:by|zero)|permission|redistribution|all rights reserved|proprietary|prohibited|\bgpl|\b[al]gpl|\bmpl|cecill|eupl|wtfpl|ms-[pr]l|sspl|odbl|rail|0bsd|bsd|apache|\.org/|\.net/|\.com/|\.co/|\.info|\.eu/|\.cn/|warrant|liable|attribution|perl itself|not evil|advertising materials|invariant sections|endorse or promote|patent|gnu"
+#: What every rule's regex needs: one of these strings (in the lower-cased text), or the short form of a licence family.
+GATE = (
+    "licen|spdx|permission|warrant|hereby grants|redistribution|endorse or promote|advertising materials|invariant sections|held liable|public domain|not evil|"
+    "all rights reserved|attribution|apache|bsd|gpl|mpl|perl itself|wtfpl|eupl|ms-pl|ms-rl|sspl|cecill|cc0|creative|odbl|rail|proprietary|prohibited|"
+    "gnu.org|mozilla.org|eclipse.org|joinup.ec|opendatacommons|sil.org|mariadb|w3.org|unicode.org"
+).split("|")
+GATE_REGEX = r"\bcc[\s-]+(?:by|zero)"
 
 
 def phrase_regex(words: tuple[str, ...] | None = None) -> str:
@@ -41,17 +48,22 @@ def phrase_regex(words: tuple[str, ...] | None = None) -> str:
 
 def _spans(text: Column, rule: Column) -> Column:
     """Detections of one rule: where it matches, from what stands between its matches."""
-    hits = F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    gaps = F.split(text, rule["regex"], -1)
-    sizes = F.zip_with(F.transform(hits, F.char_length), F.transform(F.slice(gaps, 1, F.size(hits)), F.char_length), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
     empty = F.expr("cast(array() as array<struct<begin:int,end:int,number:int,label:string,priority:int>>)")
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["g"]
-        one = F.struct(begin.alias("begin"), (begin + s["h"]).alias("end"), rule["number"].alias("number"), rule["label"].alias("label"), rule["priority"].alias("priority"))
-        return F.struct((begin + s["h"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, rule["regex"], -1), F.lit(1), F.size(hits)), F.char_length)
+        sizes = F.zip_with(F.transform(hits, F.char_length), gaps, lambda h, g: F.struct(h.alias("h"), g.alias("g")))
+
+        def step(acc: Column, s: Column) -> Column:
+            begin = acc["at"] + s["g"]
+            one = F.struct(begin.alias("begin"), (begin + s["h"]).alias("end"), rule["number"].alias("number"), rule["label"].alias("label"), rule["priority"].alias("priority"))
+            return F.struct((begin + s["h"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+        found = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+        return F.when(F.size(hits) > 0, found).otherwise(empty)
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    # the matches are a lambda's variable, so the regex runs once, and the split only where it matched
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, rule["regex"], F.lit(0))), placed), F.lit(0))
 
 
 def _strongest(found: Column) -> Column:
@@ -75,12 +87,12 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
         for r in (rules() if signatures is None else signatures)
     ])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    gated = rows.select("*", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.col("text").rlike(GATE).alias("gate"))
-    lowered = gated.select("*", F.when(F.col("gate"), F.lower("text")).alias("low"))
+    lowered = rows.select("*", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.lower("text").alias("low"))
+    lowered = lowered.select("*", reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(g)) for g in GATE] + [F.col("low").rlike(GATE_REGEX)]).alias("gate"))
     tried = lowered.select(
         "*",
         F.when(F.col("gate"), F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("tried"),
-        F.when(F.contains(F.col("low"), F.lit("license")), F.regexp_count("text", F.lit(phrase_regex()))).otherwise(F.lit(0)).cast("long").alias("n_base"),
+        F.when(F.col("gate") & F.contains(F.col("low"), F.lit("license")), F.regexp_count("text", F.lit(phrase_regex()))).otherwise(F.lit(0)).cast("long").alias("n_base"),
     )
     found = tried.select("doc_id", "text", "n_words", "n_base", F.flatten(F.transform("tried", lambda r: _spans(F.col("text"), r))).alias("found"))
 
