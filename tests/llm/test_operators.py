@@ -158,6 +158,52 @@ def test_chat(spark):
     assert examples[1, 1].text.startswith(first.text)
 
 
+def test_chat_examples_are_written_and_read_back(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for conv in range(4):
+        turns = [(conv, k, "end" if k % 5 == 4 else ("assistant" if k % 2 else "user"), "\n|> <| \\ \u65e5" * rng.randint(0, 3) + prose(rng, rng.randint(0, 9))) for k in range((0, 1, 41, 60)[conv])]
+        rows += turns
+        text, loss, written = "", [], []
+        for _, _, role, t in turns:
+            escape = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|").replace("|>", "|\\>")
+            text += f"<|{role}|>{escape(t)}<|end|>\n"
+            if role == "assistant":
+                loss.append(t)
+                written.append(text)
+        want[conv] = (turns, loss, written, len(text))
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    ordered = formatted.orderBy("conv_id", "position").toArrow().to_batches(max_chunksize=7)
+    parts = list(chat._examples(iter(ordered), part=50, held=100))
+    got = collections.defaultdict(list)
+    for r in (r for batch in parts for r in batch.to_pylist()):
+        assert len(r["text"]) <= 50 and r["part"] == len(got[r["conv_id"], r["example"]])
+        got[r["conv_id"], r["example"]].append(r)
+    digests = {r["conv_id"]: r for batch in chat._digests(iter(parts)) for r in batch.to_pylist()}
+    assert digests == {r.conv_id: r.asDict() for r in chat.read_back(formatted).collect()}
+    assert {(r.conv_id, r.example): r.text for r in chat.expand(formatted).collect()} == {(c, e): x for c, w in want.items() for e, x in enumerate(w[2])}
+    for conv, (turns, loss, written, chars) in want.items():
+        if not turns:
+            continue
+        for e, x in enumerate(written):
+            text = "".join(r["text"] for r in got[conv, e])
+            assert text == x and chat.unescape(text[got[conv, e][0]["target_begin"] : got[conv, e][0]["target_end"]]) == loss[e]
+        r = digests[conv]
+        assert (r["n_examples"], r["expanded_chars"], r["formatted_chars"], r["n_turns"]) == (len(written), sum(map(len, written)), chars, len(turns))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{t}\n" for _, _, a, t in turns).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256("".join(loss).encode()).hexdigest()
+    # an example whose context lost a turn, or whose mask is off by one, is noticed
+    whole = [r for batch in chat._examples(iter(ordered)) for r in batch.to_pylist() if r["conv_id"] == 3]
+    schema = parts[0].schema
+    cut = [dict(r, text=r["text"][r["text"].index("<|end|>\n") + 8 :]) if r["example"] == 5 else r for r in whole]
+    moved = [dict(r, target_end=r["target_end"] - 1) if r["example"] == 5 else r for r in whole]
+    for broken in (cut, moved):
+        with pytest.raises(ValueError, match="example 5"):
+            import pyarrow as pa
+
+            list(chat._digests(iter([pa.RecordBatch.from_pylist(broken, schema=schema)])))
+
+
 def test_licenses(spark, texts):
     more = ["Released under the MIT License.", "xmit license; MIT  license mit\nLICENSE", "Licensed under the Apache License, Version 2.0.", "GNU General Public License, version 3 and general-public/license",
             "SPDX-License-Identifier: BSD-3-Clause", "Licensed under CC BY-NC 4.0.", "\u00e9mit license mit license\u00e9", "permit license"]
