@@ -1,21 +1,24 @@
 """Vector retrieval: exact nearest neighbours of a batch of queries, normalisation, diversity.
 
-A stated query set is compared with all rows in blocks: the queries' matrix (checked
-to be small) goes to every task, each block of rows is one matrix product, and a
-task keeps only its k best per query, so what is shuffled is k rows a query and task.
+A stated query set is compared with all rows in blocks: the queries' matrix goes to
+every task, each block of rows is one matrix product, and a task keeps only its k best
+per query, so what is shuffled is k rows a query and task.  A query set that is not
+small is dealt into blocks, which are searched one after the other.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors of one batch.
+#: Most query vectors that are searched at once.
 MAX_QUERIES = 50_000
 
 
@@ -43,11 +46,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", embedding: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, <id_>, score (clamped dot product), rank: the k best rows for each query (query_id, q)."""
     n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; search in batches of {MAX_QUERIES}")
+    if n <= MAX_QUERIES:
+        return _nearest(rows, queries, n, k, id_, embedding, exclude_self)[0]
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    # an eighth more blocks than needed, as hashing does not deal evenly
+    count = 9 * n // (8 * MAX_QUERIES) + 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    found: DataFrame | None = None
+    for b in range(count):
+        part = queries.filter(block == b)
+        near, shared = _nearest(rows, part, part.count(), k, id_, embedding, exclude_self)
+        done = near.checkpoint(eager=True)
+        if shared is not None:
+            shared.destroy()
+        found = done if found is None else found.unionByName(done)
+    return found
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embedding: str, exclude_self: bool) -> tuple[DataFrame, Broadcast | None]:
+    """`nearest` for n queries that fit the driver, and the broadcast that it reads."""
+    if not n:
+        return rows.select(F.lit(0).cast("long").alias("query_id"), F.col(id_).cast("long").alias(id_), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0), None
     held = queries.select("query_id", "q").toPandas()
     ids = held["query_id"].to_numpy(np.int64)
-    matrix = np.stack([np.asarray(v, np.float64) for v in held["q"]]) if n else np.zeros((0, 1))
+    matrix = np.stack([np.asarray(v, np.float64) for v in held["q"]])
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +94,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", em
         if top is not None and len(top):
             yield pa.RecordBatch.from_pandas(top, preserve_index=False)
 
-    if not n:
-        return rows.select(F.lit(0).cast("long").alias("query_id"), F.col(id_), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     near = rows.select(F.col(id_).cast("long").alias(id_), embedding).mapInArrow(best, f"query_id long, {id_} long, dot double")
     order = Window.partitionBy("query_id").orderBy(F.round("dot", 9).desc(), id_)
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", id_, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot"))).alias("score"), "rank")
+    return ranked.select("query_id", id_, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot"))).alias("score"), "rank"), shared
 
 
 def pooled(candidates: DataFrame) -> DataFrame:

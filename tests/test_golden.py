@@ -1,5 +1,6 @@
 """Golden cases of single operators."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import html, text
@@ -169,3 +170,15 @@ def test_evaluation_helpers(spark):
     assert one(spark, evaluate.declined(F.lit("Sorry, I couldn't find that."))) is True
     assert one(spark, evaluate.declined(F.lit("1. Contact the help desk"))) is False
     assert one(spark, evaluate.token_usage(F.lit('{"prompt_tokens": 5, "completion_tokens": 7}'))).asDict() == {"input": 5, "output": 7}
+
+
+def test_nearest_of_many_queries(spark, monkeypatch):
+    """More queries than are searched at once give what one search gives."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(120, 8))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = {(i, int(j), r + 1) for i in range(1, 120, 2) for r, j in enumerate(np.argsort(-(vectors @ vectors[i]), kind="stable")[:5])}
+    for most in (1000, 60, 7):
+        monkeypatch.setattr(vector, "MAX_QUERIES", most)
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in vector.nearest(rows, queries, 5).collect()} == want
