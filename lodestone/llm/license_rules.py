@@ -17,7 +17,7 @@ class Family(NamedTuple):
     keyword: str  # lower-case literals, parted by |; every form of the name holds one
     spdx: tuple[str, ...] = ()
     urls: tuple[str, ...] = ()
-    body: tuple[tuple[str, str], ...] = ()  # (keyword, regex)
+    body: tuple[tuple[str, str], ...] = ()  # (keyword, regex); a blank of the regex stands for any white space
 
 
 class Rule(NamedTuple):
@@ -29,6 +29,8 @@ class Rule(NamedTuple):
 
 
 _V = r"(?:,?\s*(?:v|ver\.?|version)?\s*)"
+#: Their notices name a version in the words of the GPL's.
+_NOT_OTHER_GPL = r"(?<!(?:lesser|library|affero)\s{1,9}general\s{1,9}public\s{1,9}licen[cs]e.{0,90})"
 
 FAMILIES = (
     Family("mit", r"(?:the\s+)?(?:expat/)?mit[\s/-]+licen[cs]e", "mit", ("MIT",), ("opensource.org/licenses/mit", "opensource.org/license/mit", "mit-license.org"), (
@@ -44,7 +46,7 @@ FAMILIES = (
     Family("apache-2.0", r"apache\s+(?:software\s+)?(?:licen[cs]e" + _V + r"|)2(?:\.0)?(?![\d.]*\d)", "apache", ("Apache-2.0",), ("apache.org/licenses/license-2.0", "opensource.org/licenses/apache-2.0"), (
         ("you may not use this file except", r"you may not use this file except in compliance with the licen[cs]e"),
         ("unless required by applicable law", r"unless required by applicable law or agreed to in writing, software\s+distributed under the licen[cs]e is distributed on an .as is. basis"),
-        ("grant of patent license", r"each contributor hereby grants to you a perpetual,\s+worldwide,\s+non-exclusive,\s+no-charge"),
+        ("each contributor hereby grants", r"each contributor hereby grants to you a perpetual,\s+worldwide,\s+non-exclusive,\s+no-charge"),
     )),
     Family("bsd-2-clause", r"(?:(?:simplified|freebsd|2[\s-]clause|two[\s-]clause)\s+bsd(?:\s+licen[cs]e)?|bsd[\s-]+(?:2|two)[\s-]clause(?:\s+licen[cs]e)?)", "bsd", ("BSD-2-Clause", "BSD-2-Clause-Views"), ("opensource.org/licenses/bsd-2-clause",), (
         ("redistribution and use in source", r"redistribution and use in source and binary forms, with or without\s+modification, are permitted"),
@@ -58,10 +60,10 @@ FAMILIES = (
     Family("0bsd", r"(?:zero[\s-]clause\s+bsd|bsd\s+zero\s+clause|0bsd)(?:\s+licen[cs]e)?", "bsd", ("0BSD",)),
     Family("gpl-1.0", r"gnu\s+(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"1(?:\.0)?(?!\d)", "gnu", ("GPL-1.0", "GPL-1.0-only", "GPL-1.0-or-later")),
     Family("gpl-2.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"2(?:\.0)?(?!\d)", "gpl|general", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), ("gnu.org/licenses/old-licenses/gpl-2.0", "gnu.org/licenses/gpl-2.0"), (
-        ("either version 2 of the license", r"either version 2 of the licen[cs]e, or \(?at your option\)? any later version"),
+        ("either version 2 of the", _NOT_OTHER_GPL + r"either version 2 of the licen[cs]e, or \(?at your option\)? any later version"),
     )),
     Family("gpl-3.0", r"(?:gnu\s+)?(?:general\s+public\s+licen[cs]e|gpl)" + _V + r"3(?:\.0)?(?!\d)", "gpl|general", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), ("gnu.org/licenses/gpl-3.0", "gnu.org/licenses/gpl.html"), (
-        ("either version 3 of the license", r"either version 3 of the licen[cs]e, or \(?at your option\)? any later version"),
+        ("either version 3 of the", _NOT_OTHER_GPL + r"either version 3 of the licen[cs]e, or \(?at your option\)? any later version"),
     )),
     Family("gpl", r"gnu\s+(?:general\s+public\s+licen[cs]e|gpl)", "gnu", ("GPL",), ("gnu.org/copyleft/gpl", "gnu.org/licenses/gpl"), (
         ("you should have received a copy of the gnu", r"you should have received a copy of the gnu general public licen[cs]e"),
@@ -159,7 +161,7 @@ def rules(families: tuple[Family, ...] = FAMILIES) -> list[Rule]:
 
     for f in families:
         for keyword, regex in f.body:
-            add("body", f, keyword, regex)
+            add("body", f, keyword, regex.replace(" ", r"\s+"))
         for i in f.spdx:
             add("spdx", f, "spdx", rf"spdx-license-identifier:\s*(?:\(?[\w.+-]+\s+(?:or|and|with)\s+)?{_literal(i)}(?![\w.-]*\w)")
             add("tag", f, i, rf"\blicen[cs]e[\"']?\s*[:=]\s*[\"']?{_literal(i)}(?![\w.-]*\w)")

@@ -1,7 +1,8 @@
 """Licence scan by ordered signature rules (operator 4), DataFrame functions only.
 
 A text that holds none of a few gate strings is done after plain substring searches.  For the others,
-a rule's regex is tried only if its keyword occurs.  All detections of a text are
+a rule's regex is tried only if its keyword occurs.  Both are searched in the lower-cased text with
+every run of white space made one blank, so that names and notices may be broken over lines.  All detections of a text are
 then ordered by priority, length and place, and a detection is dropped when a
 stronger one contains it, or overlaps it with a higher priority.
 
@@ -30,12 +31,14 @@ WORDS = rf"[{_WORD}]+"
 #: label -> words of the phrase
 BASE = {"apache": ("apache", "license"), "gpl": ("general", "public", "license"), "mit": ("mit", "license")}
 BASE_SCORE = 60
-#: What every rule's regex needs: one of these strings (in the lower-cased text), or the short form of a licence family.
+#: What every rule's regex needs: one of these strings (in the lower-cased text with single blanks), or the short form of a licence family.
 GATE = (
     "licen|spdx|permission|warrant|hereby grants|redistribution|endorse or promote|advertising materials|invariant sections|held liable|public domain|not evil|"
     "all rights reserved|attribution|apache|bsd|gpl|mpl|perl itself|wtfpl|eupl|ms-pl|ms-rl|sspl|cecill|cc0|creative|odbl|rail|proprietary|prohibited|"
     "gnu.org|mozilla.org|eclipse.org|joinup.ec|opendatacommons|sil.org|mariadb|w3.org|unicode.org"
 ).split("|")
+#: White space that is not one blank.
+WRAPS = r"\s{2,}|[^\S ]"
 GATE_REGEX = r"\bcc[\s-]+(?:by|zero)"
 
 
@@ -87,7 +90,7 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
         for r in (rules() if signatures is None else signatures)
     ])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    lowered = rows.select("*", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.lower("text").alias("low"))
+    lowered = rows.select("*", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.regexp_replace(F.lower("text"), WRAPS, " ").alias("low"))
     lowered = lowered.select("*", reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(g)) for g in GATE] + [F.col("low").rlike(GATE_REGEX)]).alias("gate"))
     tried = lowered.select(
         "*",

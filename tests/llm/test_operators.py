@@ -221,6 +221,31 @@ def test_licenses(spark, texts):
     assert own(more[2]) == {"apache-2.0"} and "gpl-3.0" in own(more[3]) and own(more[4]) == {"bsd-3-clause"} and own(more[5]) == {"cc-by-nc"}
 
 
+def test_wrapped_licenses(spark):
+    gnu = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version."""
+    wanted = [
+        (gnu.format("", 2), {"gpl", "gpl-2.0"}), (gnu.format("", 3), {"gpl", "gpl-3.0"}), (gnu.format("", 3).replace("License", "Licence"), {"gpl", "gpl-3.0"}),
+        (gnu.format("Affero ", 3), {"agpl-3.0"}), (gnu.format("Lesser ", 3), {"lgpl"}), (gnu.format("Library ", 2), {"lgpl-2.0"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n", {"mit"}),
+        ("You may not use this file\n   except in compliance with the License.", {"apache-2.0"}),
+        ("Each Contributor hereby\ngrants to You a perpetual,\nworldwide, non-exclusive, no-charge", {"apache-2.0"}),
+        ("Redistribution and use in source and binary\nforms, with or without\nmodification, are permitted", {"bsd-2-clause"}),
+        ("Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or\nwithout fee is hereby granted", {"isc"}),
+        ("released into the public\r\n\tdomain", {"public-domain"}), ("under the same terms as Perl\n itself", {"perl"}),
+        ("This Source Code Form is\nsubject to the terms of the Mozilla Public\nLicense", {"mpl-2.0"}),
+        *[(name.replace(" ", gap), {label}) for gap in ("\n", "  ", "\r\n  ") for name, label in (
+            ("GNU Free Documentation License", "gfdl"), ("Common Development and Distribution License", "cddl-1.0"), ("Common Public License", "cpl-1.0"),
+            ("Academic Free License", "afl-3.0"), ("Open Software License", "osl-3.0"), ("SIL Open Font License", "ofl-1.1"), ("Business Source License", "bsl-1.1"),
+            ("Blue Oak Model License", "blueoak-1.0.0"), ("Universal Permissive License", "upl-1.0"), ("Open Data Commons Attribution License", "odc-by-1.0"),
+            ("All rights reserved", "proprietary"), ("The software shall be used for Good, not Evil", "json"))],
+    ]
+    got = {r.doc_id: {d.label for d in r.detections or []} for r in licenses.scan(documents(spark, [t for t, _ in wanted])).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(wanted)] == wanted
+
+
 def test_rules_compile_and_pass_the_gate(spark):
     from lodestone.llm.license_rules import FAMILIES, rules
 
