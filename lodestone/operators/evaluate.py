@@ -76,6 +76,14 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def contained(left: DataFrame, right: DataFrame, least: float = CONTAINED) -> DataFrame:
+    """left_id, right_id, shared, share of the pairs (left_id, text; right_id, text) whose shingles' containment exceeds `least`."""
+    a = left.select("left_id", word_shingles(F.col("text")).alias("s")).select("left_id", F.size("s").alias("a"), F.explode("s").alias("g"))
+    b = right.select("right_id", word_shingles(F.col("text")).alias("s")).select("right_id", F.size("s").alias("b"), F.explode("s").alias("g"))
+    pairs = a.join(b, "g").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"))
+    return pairs.withColumn("share", F.col("shared") / F.least("a", "b")).filter(F.col("share") > least).select("left_id", "right_id", "shared", "share")
+
+
 def grounding(answer: Column, sources: Column) -> Column:
     """Share of the answer's distinct longer words that the sources hold; NaN for too few words."""
     terms = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= MIN_TERM))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
@@ -255,6 +256,26 @@ def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | No
     )
 
 
+def closest_terms(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_TERMS) -> DataFrame:
+    """`fuzzy_terms` for a vocabulary that is a table (term): each task finds its own closest, the best of them is taken.
+
+    Only the distinct unknown terms meet every part of the vocabulary.
+    """
+    odd = terms.select("term").distinct().filter(F.length("term") >= 4).join(vocabulary, "term", "left_anti")
+    pairs = vocabulary.select(F.col("term").alias("word")).crossJoin(F.broadcast(odd.agg(F.collect_list("term").alias("odd"))))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                near = vocabulary_match(part.column("odd")[0].as_py(), part.column("word").to_pylist(), cutoff)
+                rows = [(t, difflib.SequenceMatcher(None, w, t).ratio(), w) for t, w in near.items()]
+                columns = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string()), strict=True)], ["term", "ratio", "word"])
+
+    best = pairs.mapInArrow(closest, "term string, ratio double, word string").groupBy("term").agg(F.max(F.struct("ratio", "word")).alias("m"))
+    return terms.unionByName(terms.join(best, "term").select("query_id", F.col("m.word").alias("term")))
+
+
 def fuzzy_terms(terms: DataFrame, vocabulary: list[str], cutoff: float = FUZZY_TERMS) -> DataFrame:
     """(query_id, term) with the closest vocabulary term added beside those that are unknown and long enough."""
     known = set(vocabulary)
@@ -262,7 +283,8 @@ def fuzzy_terms(terms: DataFrame, vocabulary: list[str], cutoff: float = FUZZY_T
     @F.pandas_udf(StringType())
     def closest(term: pd.Series) -> pd.Series:
         odd = {t for t in term if len(t) >= 4 and t not in known}
-        return term.map(vocabulary_match(odd, vocabulary, cutoff))
+        near = vocabulary_match(odd, vocabulary, cutoff)
+        return pd.Series([near.get(t) for t in term], dtype=object)
 
     distinct = terms.select("term").distinct().withColumn("near", closest("term")).filter("near is not null")
     return terms.unionByName(terms.join(distinct, "term").select("query_id", F.col("near").alias("term")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import context, fusion, lexical, vector
+from lodestone.operators import context, fusion, lexical, understanding, vector
 
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOPWORDS)
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[''-][a-z0-9]+)*'), lambda t: t NOT IN (" + _STOP + "))"
@@ -66,6 +66,30 @@ Q["bm25_vocabulary"] = lambda s, d: lexical.vocabulary(chunks(s, d))
 S["bm25_vocabulary"] = f"WITH {_bm25_sql(10)} SELECT DISTINCT term FROM post WHERE length(term) >= 3"
 
 
+def fuzzy_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of each benchmark text, every seventh word misspelt (its last two letters swapped), and their closest in all documents."""
+    words = benchmark_queries(spark, sf_dir).select("query_id", F.posexplode(lexical.tokens(F.col("query"))).alias("at", "word"))
+    misspelt = F.when(F.col("at") % 7 == 0, F.concat(F.expr("substring(word, 1, length(word) - 2)"), F.reverse(F.substring("word", -2, 2)))).otherwise(F.col("word"))
+    terms = words.select("query_id", misspelt.alias("term")).distinct()
+    return understanding.closest_terms(terms, lexical.vocabulary(chunks(spark, sf_dir)))
+
+
+Q["fuzzy_query_terms"] = fuzzy_query_terms
+
+
+def weighted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, df, cf of all documents indexed with category and aliases (their words of two small synonym groups)."""
+    rows = chunks(spark, sf_dir)
+    groups = spark.sql("select * from values (1, 'the'), (1, 'thand'), (2, 'on'), (2, 'onth'), (3, 'ering'), (3, 'ingly') as g(group_id, term)")
+    aliases = lexical.alias_terms(rows.select("chunk_id", F.col("text").alias("title")), groups)
+    joined = rows.join(aliases, "chunk_id", "left")
+    text = lexical.weighted_text(F.col("text"), category=F.col("category"), aliases=F.col("aliases"))
+    return lexical.postings(joined.select("chunk_id", text.alias("text"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
+Q["weighted_index"] = weighted_index
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 

@@ -96,6 +96,10 @@ Q["benchmark_containment"] = lambda s, d: table(s, d, "benchmark").select("item_
 S["benchmark_containment"] = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM w), bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM b)
 SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL"""
+Q["contained_passages"] = lambda s, d: evaluate.contained(table(s, d, "benchmark").select(F.col("item_id").alias("left_id"), "text"), table(s, d, "documents").select(F.col("doc_id").alias("right_id"), "text")).select(F.col("left_id").alias("item_id"), F.col("right_id").alias("doc_id"), "shared", F.round("share", 6).alias("share"))
+S["contained_passages"] = S["benchmark_containment"].rsplit("\n", 1)[0] + f""", p AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL),
+bn AS (SELECT item_id, count(*) AS a FROM bg GROUP BY item_id), dn AS (SELECT doc_id, count(*) AS b FROM dg GROUP BY doc_id)
+SELECT item_id, doc_id, shared, round(shared / least(a, b)::DOUBLE, 6) AS share FROM p JOIN bn USING (item_id) JOIN dn USING (doc_id) WHERE shared / least(a, b)::DOUBLE > {evaluate.CONTAINED}"""
 Q["token_jaccard"] = lambda s, d: table(s, d, "documents").select("doc_id", F.split("text", " ").alias("a"), F.split("lang", " ").alias("b")).select("doc_id", F.round(jaccard(F.slice("a", 1, 5), F.slice("a", 3, 5)), 6).alias("j"))
 S["token_jaccard"] = "WITH t AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents) SELECT doc_id, round(len(list_intersect(a[1:5], a[3:7])) / len(list_distinct(list_concat(a[1:5], a[3:7])))::DOUBLE, 6) AS j FROM t"
 Q["declined_answers"] = lambda s, d: table(s, d, "conversations").filter("role = 'assistant'").groupBy(evaluate.declined(F.col("text")).alias("declined")).agg(F.count("*").alias("n"))

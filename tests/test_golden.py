@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import html, text
-from lodestone.operators import catalog, chunking, context, evaluate, fusion, metrics, summarize, understanding, vector
+from lodestone.operators import catalog, chunking, context, evaluate, fusion, lexical, metrics, summarize, understanding, vector
 from lodestone.sources import files
 from lodestone.streaming import streams
 
@@ -182,3 +182,28 @@ def test_nearest_of_many_queries(spark, monkeypatch):
     for most in (1000, 60, 7):
         monkeypatch.setattr(vector, "MAX_QUERIES", most)
         assert {(r.query_id, r.vec_id, r["rank"]) for r in vector.nearest(rows, queries, 5).collect()} == want
+
+
+def test_closest_terms(spark):
+    words = ["password", "passport", "network", "printer", "pointer"]
+    terms = spark.createDataFrame([(1, "pasword"), (1, "network"), (2, "prinnter"), (2, "zzzzzz"), (2, "pri")], "query_id long, term string")
+    table = spark.createDataFrame([(w,) for w in words], "term string").repartition(3)
+    got = sorted((r.query_id, r.term) for r in understanding.closest_terms(terms, table).collect())
+    assert got == sorted((r.query_id, r.term) for r in understanding.fuzzy_terms(terms, words).collect())
+    assert (1, "password") in got and (2, "printer") in got
+
+
+def test_contained(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    left = spark.createDataFrame([(1, " ".join(text.split()[:20])), (2, "no such words at all in the other text of ours")], "left_id long, text string")
+    right = spark.createDataFrame([(7, text), (8, " ".join(text.split()[12:])), (9, None)], "right_id long, text string")
+    got = {(r.left_id, r.right_id): (r.shared, r.share) for r in evaluate.contained(left, right).collect()}
+    assert got == {(1, 7): (13, 1.0)}
+
+
+def test_weighted_text_and_aliases(spark):
+    groups = spark.createDataFrame([(1, "vpn"), (1, "remote access"), (2, "mail")], "group_id long, term string")
+    titles = spark.createDataFrame([(1, "VPN setup"), (2, "other")], "chunk_id long, title string")
+    assert [(r.chunk_id, r.aliases) for r in lexical.alias_terms(titles, groups).collect()] == [(1, "remote access")]
+    text = lexical.weighted_text(F.col("t"), category=F.lit("cat"), aliases=F.lit("remote access"))
+    assert one(spark, text, t="[Head]\nbody") == "[Head]\nbody Head Head Head cat cat remote access"
