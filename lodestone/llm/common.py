@@ -41,12 +41,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, whose executors are the driver, may do without the setting.
+    """
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lodestone-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -54,6 +67,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores in front until no column has it (case ignored, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_column(docs: DataFrame) -> Column:
     """The text; a null one counts as empty."""
     return F.coalesce(F.col("text"), F.lit(""))
@@ -169,11 +190,19 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray, p
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df through a Parquet table in the shared folder that spark.checkpoint.dir names."""
+    """df through a Parquet table in the shared folder that spark.checkpoint.dir names; `removed` deletes it."""
     import uuid
 
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-tables-")
-    path = f"{shared.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(table: DataFrame) -> None:
+    """Delete the files of a table that `written` made."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("lodestone-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -293,9 +293,11 @@ def brute_components(texts, ids, size, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("large", [8192, 3])
-def test_minhash(spark, texts, large, monkeypatch):
+@pytest.mark.parametrize(("large", "fan", "small"), [(4096, 32, 500_000), (3, 2, 0)])
+def test_minhash(spark, texts, large, fan, small, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "FAN", fan)
+    monkeypatch.setattr(minhash, "SMALL_LINKS", small)
     rng = random.Random(9)
     base = prose(rng, 150).split()
     chain = []
@@ -310,6 +312,39 @@ def test_minhash(spark, texts, large, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_minhash_groups_are_bounded(spark, monkeypatch):
+    """Pages of one template share buckets without being links; some pairs among them are links."""
+    monkeypatch.setattr(minhash, "LARGE", 25)
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(100)]
+    pages = [template + [f"u{k}x{i}" for i in range(30)] for k in range(400)]
+    for k in range(0, 60, 3):  # the second and third of these are alike, and neither is like the first
+        pages[k + 2] = pages[k + 1][:-3] + [f"v{k}x{i}" for i in range(3)]
+    rng.shuffle(pages)
+    docs = documents(spark, [" ".join(p) for p in pages])
+    reps = minhash.sketches(docs, 2, 80).select(F.col("doc_id").alias("node"), "n_shingles", "sig", "keys").cache()
+    buckets = minhash.star_buckets(reps)
+    assert buckets.agg(F.max("n")).head()[0] >= 10 * minhash.LARGE
+    groups = minhash.open_groups(buckets, reps, spark.createDataFrame([], "node long, component long"))
+    assert groups.groupBy("g").count().agg(F.max("count")).head()[0] <= minhash.LARGE
+    want = brute_components([" ".join(p) for p in pages], list(range(400)), 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 380
+
+
+@pytest.mark.parametrize("percent", [30, 50, 90, 100])
+def test_minhash_thresholds(spark, percent):
+    rng = random.Random(percent)
+    base = [prose(rng, 60, [f"w{i}" for i in range(400)]).split() for _ in range(15)]
+    texts = [" ".join(w if rng.random() > change else f"x{rng.random()}" for w in b) for b in base for change in (0, 0.02, 0.1, 0.2, 0.3)]
+    want = brute_components(texts, list(range(len(texts))), 2, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, texts), 2, percent).collect()}
+    assert got == want
+    assert (1 - (percent / 100) ** minhash.rows_a_band(percent)) ** (minhash.BINS // minhash.rows_a_band(percent)) <= minhash.MISS
+    with pytest.raises(ValueError, match="percent"):
+        minhash.rows_a_band(5)
+
+
 def test_minhash_ids(spark):
     got = minhash.near_duplicates(documents(spark, ["a b c", "a b c", "a b c", "x y"], ids=[5, 5, None, 7])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (5, 5, True), (7, 7, True)]
@@ -317,10 +352,18 @@ def test_minhash_ids(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 11] and kept.columns == documents(spark, []).columns
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)]
-    got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and got[101] == got[102] == 100
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_LINKS", small)
+    rng = random.Random(3)
+    links = [(i + 1, i) for i in range(40)] + [(100, 102), (101, 102)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)]
+    got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    low = {x: x for e in links for x in e}
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    linked = {x for a, b in links for x in (a, b) if a != b}
+    assert {x: got[x] for x in linked} == {x: low[x] for x in linked}
 
 
 def test_language_id(spark):
