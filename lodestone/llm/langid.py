@@ -12,8 +12,8 @@ language.
 Defined results: null text, or text without a letter, is `und` with score 0; with
 no training text at all everything is `und`; ties go to the language first in
 alphabetical order, and to the smaller n-gram within a ranking; very long texts are
-counted whole; repeated rows train and score as rows; extra columns are ignored;
-an empty table gives no rows.
+counted whole; repeated rows train and score as rows; extra columns pass through
+`identify`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -159,7 +159,8 @@ class Ranker:
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]]) -> DataFrame:
-    """docs with _lang_pred and _lang_score."""
+    """docs with _lang_pred and _lang_score as last columns (under the next unused names if the table has these)."""
+    names = [common.unused("_lang_pred", docs.columns), common.unused("_lang_score", docs.columns)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(known)
@@ -170,10 +171,10 @@ def identify(docs: DataFrame, known: dict[str, list[int]]) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                    [*batch.schema.names, "_lang_pred", "_lang_score"],
+                    [*batch.schema.names, *names],
                 )
 
-    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return docs.mapInArrow(common.tidied(work), schema)
 
 

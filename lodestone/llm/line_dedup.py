@@ -13,8 +13,8 @@ Defined results: lines are what stands between newlines; a line without a
 character other than space, tab and carriage return never counts and always
 stays; comparison is exact; null text stays null; a null host is a host; a document
 of which nothing is left keeps an empty text; n_chars is that of the new text;
-repeated rows count as pages of their own; extra columns pass through (helper
-columns are prefixed `_ld_`); an empty table gives no rows.
+repeated rows count as pages of their own; extra columns pass through, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,35 +39,37 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """_ld_host, _ld_lines: hashes of each host's boilerplate lines."""
+    """host, lines: hashes of each host's boilerplate lines."""
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(_BLANK)), line_key))
     # the null line counts the pages themselves, so one pass serves both counts
-    rows = pages.select(F.col(host).alias("_ld_host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(lines, F.array().cast("array<bigint>")))).alias("_ld_line"))
-    counts = rows.groupBy("_ld_host", "_ld_line").agg(F.count("*").alias("_ld_n"))
-    counts = common.checkpointed(counts.filter((F.col("_ld_n") >= min_pages) | F.col("_ld_line").isNull()))
-    totals = counts.filter("_ld_line is null").select(F.col("_ld_host").alias("_ld_of"), F.col("_ld_n").alias("_ld_total"))
-    joined = counts.filter("_ld_line is not null").join(totals, F.col("_ld_host").eqNullSafe(F.col("_ld_of")))
-    return joined.filter(F.col("_ld_n") > ratio * F.col("_ld_total")).groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_lines"))
+    rows = pages.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(lines, F.array().cast("array<bigint>")))).alias("line"))
+    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = common.checkpointed(counts.filter((F.col("n") >= min_pages) | F.col("line").isNull()))
+    totals = counts.filter("line is null").select(F.col("host").alias("of"), F.col("n").alias("total"))
+    joined = counts.filter("line is not null").join(totals, F.col("host").eqNullSafe(F.col("of")))
+    return joined.filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def remove_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with the new text, n_chars where the table has it, and _ld_dropped (lines removed)."""
-    found = common.checkpointed(boilerplate(docs, host, text, ratio, min_pages))
-    size = found.agg(F.coalesce(F.sum(F.size("_ld_lines") + 5), F.lit(0)).alias("n")).head().n
+    """docs with the new text, n_chars where the table has it, and as last column _ld_dropped (lines removed; the next unused name if the table has that one)."""
+    of, bad, salt, own, kept, dropped = (common.unused(f"_ld_{n}", docs.columns) for n in ("of", "bad", "salt", "own", "kept", "dropped"))
+    found = common.checkpointed(boilerplate(docs, host, text, ratio, min_pages)).select(F.col("host").alias(of), F.col("lines").alias(bad))
+    size = found.agg(F.coalesce(F.sum(F.size(bad) + 5), F.lit(0)).alias("n")).head().n
+    same = F.col(host).eqNullSafe(F.col(of))
     if size <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(found), F.col(host).eqNullSafe(F.col("_ld_host")), "left")
+        joined = docs.join(F.broadcast(found), same, "left")
     else:
-        salted = found.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_ld_own", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, F.col(host).eqNullSafe(F.col("_ld_host")) & (F.col("_ld_own") == F.col("_ld_salt")), "left").drop("_ld_own", "_ld_salt")
+        salted = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(own, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col(own) == F.col(salt)), "left").drop(own, salt)
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: x.rlike(_BLANK) | ~F.array_contains(F.col("_ld_lines"), line_key(x)))
-    touched = joined.withColumn("_ld_kept", F.when(F.col("_ld_lines").isNotNull() & F.col(text).isNotNull(), kept))
-    out = touched.withColumn("_ld_dropped", F.when(F.col("_ld_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_ld_kept")))
-    out = out.withColumn(text, F.when(F.col("_ld_dropped") > 0, F.array_join("_ld_kept", "\n")).otherwise(F.col(text)))
+    left = F.filter(lines, lambda x: x.rlike(_BLANK) | ~F.array_contains(F.col(bad), line_key(x)))
+    touched = joined.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col(text).isNotNull(), left))
+    out = touched.withColumn(dropped, F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)))
+    out = out.withColumn(text, F.when(F.col(dropped) > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_ld_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "_ld_dropped")
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, dropped)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
