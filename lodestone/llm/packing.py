@@ -5,19 +5,20 @@ Steps, none of which gathers documents on the driver:
 1. Every document is tokenised once.  Its full windows are sequences of their
    own; what is left is its tail.
 2. Tails are counted by length class (QUANTUM tokens a class): the histogram has
-   WINDOW / QUANTUM entries however many documents there are.
+   WINDOW / QUANTUM entries however many documents and partitions there are.
 3. The driver enumerates the combinations of at most DEPTH classes that fill a
    window exactly, solves for repeat counts that reproduce the histogram by
    non-negative least squares, and rounds them to counts that the histogram holds.
-4. Tails that the rounded recipes leave over are packed greedily: laid end to end
-   from the longest class down, and cut where a window is full.
-5. A tail's number within its class (counted by class and salt, so that a class
-   with most of the rows is numbered by many tasks) decides its recipe, place and
-   sequence.
+4. Tails that the rounded recipes leave over are packed greedily: laid end to end,
+   token by token, from the longest class down, and cut where a window is full.
+5. A tail's number within its class decides its recipe, place and sequence.  Numbers
+   and running sums are taken within (class, salt), so that a class with most of the
+   rows is numbered by many tasks, and carried over a table of one row a (class, salt).
 
 Only rows of a few dozen bytes are shuffled.  Tails that step 4 cuts are tokenised
-a second time to give their parts' ids; they are at most two for each window of
-step 4.
+a second time to give their parts' ids; there is at most one for each window of
+step 4.  Windows of recipes lack (QUANTUM - 1) / 2 tokens a piece in the mean, those of
+step 4 lack none but the last.
 
 Defined results: a null or empty text is the end-of-document id alone; repeated
 rows are documents of their own; a null doc_id is kept; extra columns are ignored;
@@ -237,8 +238,22 @@ def recipes(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int,
     return out
 
 
+def _carried(table: DataFrame, sums: dict[str, str], bases: dict[int, dict[str, int]]) -> DataFrame:
+    """class, salt and for each name of `sums` what stands before: that class's base and the column's sum over smaller salts.
+
+    table: a row a (class, salt).
+    """
+    spark = table.sparkSession
+    before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    names = list(sums)
+    base = spark.createDataFrame([(c, *(b[n] for n in names)) for c, b in bases.items()] or [(-1, *(0 for _ in names))], "b_class int, " + ", ".join(f"b_{n} long" for n in names))
+    # at most WINDOW / QUANTUM + 1 rows
+    joined = table.join(F.broadcast(base), F.col("class") == F.col("b_class"))
+    return joined.select(F.col("class").alias("c_class"), F.col("salt").alias("c_salt"), *[(F.coalesce(F.sum(col).over(before), F.lit(0)) + F.col(f"b_{n}")).alias(n) for n, col in sums.items()])
+
+
 def pack(measured: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH) -> tuple[DataFrame, int]:
-    """Pieces (row_id, doc_id, text_hash, start, length, part, doc_tokens, sequence_id, offset), and how many tails can be cut.
+    """Pieces (row_id, doc_id, text_hash, start, length, part, doc_tokens, sequence_id, offset, cut), and how many tails can be cut.
 
     measured: doc_id, text_hash, doc_tokens and a unique row_id (its lineage cut, so that reading it again gives the same).
     part: number of the window within the document; `cut` tells pieces of tails that were cut.
@@ -254,35 +269,28 @@ def pack(measured: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, dept
         F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int").alias("salt"),
         F.floor(F.col("doc_tokens") / window).alias("windows"),
     )
-    counted = rows.groupBy("class", "salt").agg(F.count("*").alias("n"), F.sum("windows").alias("w")).orderBy("class", "salt").collect()
-    histogram = np.zeros(units + 1, np.int64)
-    bases, whole = [], 0
-    for r in counted:  # at most (units + 1) * salts rows
-        bases.append((r["class"], r["salt"], int(histogram[r["class"]]), whole))
-        histogram[r["class"]] += r.n
-        whole += r.w
-    histogram[0] = 0
-    segments: list[tuple[int, int, int, int, int, int]] = []  # class, first and end rank, first sequence, slot, first unit
+    counted = common.checkpointed(rows.groupBy("class", "salt").agg(F.count("*").alias("n"), F.sum("windows").alias("w")))
+    totals = {r["class"]: r for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()}  # at most units + 1 rows
+    histogram, whole, bases = np.zeros(units + 1, np.int64), 0, {}
+    for c in sorted(totals):
+        bases[c] = {"base": 0, "window_base": whole}
+        histogram[c] = totals[c].n if c else 0
+        whole += totals[c].w
+    segments: list[tuple[int, int, int, int, int]] = []  # class, first and end rank, first sequence, slot
     used, sequence = np.zeros(units + 1, np.int64), whole
     for combo, n in recipes(histogram, depth):
         for slot, c in enumerate(combo):
-            segments.append((c, int(used[c]), int(used[c]) + n, sequence, slot, -1))
+            segments.append((c, int(used[c]), int(used[c]) + n, sequence, slot))
             used[c] += n
         sequence += n
-    unit = 0
-    for c in range(units, 0, -1):
-        if histogram[c] > used[c]:
-            segments.append((c, int(used[c]), int(histogram[c]), sequence, 0, unit))
-            unit += int(histogram[c] - used[c]) * c
     order = Window.partitionBy("class", "salt").orderBy("doc_id", "text_hash", "row_id")
-    base = spark.createDataFrame(bases, "class int, salt int, base long, window_base long")
-    ranked = (
-        rows.withColumn("number", F.row_number().over(order) - 1)
-        .withColumn("windows_before", F.sum("windows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("windows"))
-        .join(F.broadcast(base), ["class", "salt"])
-        .withColumn("rank", F.col("number") + F.col("base"))
-        .withColumn("first_window", F.col("windows_before") + F.col("window_base"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = F.get(F.array(*[F.lit(int(x)) for x in used]), F.col("class"))
+    ranked = rows.join(_carried(counted, {"base": "n", "window_base": "w"}, bases), (F.col("class") == F.col("c_class")) & (F.col("salt") == F.col("c_salt"))).select(
+        *rows.columns, (F.row_number().over(order) - 1 + F.col("base")).alias("rank"),
+        (F.sum("windows").over(upto) - F.col("windows") + F.col("window_base")).alias("first_window"),
     )
+    ranked = common.checkpointed(ranked.withColumn("over", (F.col("class") > 0) & (F.col("rank") >= taken)))
     keep = ["row_id", "doc_id", "text_hash", "doc_tokens"]
     full = ranked.filter("windows > 0").select(
         *keep, F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)).alias("part", "w"), "first_window"
@@ -290,33 +298,37 @@ def pack(measured: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, dept
         *keep, (F.col("w") * window).alias("start"), F.lit(window).cast("long").alias("length"), "part",
         (F.col("first_window") + F.col("w")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("cut"),
     )
-    places = spark.createDataFrame(segments, "s_class int, low long, high long, sequence long, slot int, unit long")
-    tails = ranked.filter("class > 0").join(
-        F.broadcast(places), (F.col("class") == F.col("s_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    ).withColumn("nth", F.col("rank") - F.col("low"))
     part: Column = F.floor(F.col("tail_start") / window).cast("int")
-    by_recipe = tails.filter("unit < 0").select(
-        *keep, F.col("tail_start").alias("start"), F.col("tail").alias("length"), part.alias("part"),
-        (F.col("sequence") + F.col("nth")).alias("sequence_id"), F.col("slot").cast("long").alias("place"), F.lit(False).alias("cut"),
-    )
-    at = (F.col("unit") + F.col("nth") * F.col("class")) * quantum
-    room = window - F.pmod(at, F.lit(window))
-    first = F.struct(
-        F.col("tail_start").alias("start"), F.least("tail", room).alias("length"),
-        (F.col("sequence") + F.floor(at / window)).alias("sequence_id"), F.pmod(at, F.lit(window)).alias("place"), (F.col("tail") > room).alias("cut"),
-    )
-    second = F.struct(
-        (F.col("tail_start") + room).alias("start"), (F.col("tail") - room).alias("length"),
-        (F.col("sequence") + F.floor(at / window) + 1).alias("sequence_id"), F.lit(-1).cast("long").alias("place"), F.lit(True).alias("cut"),
-    )
-    greedy = tails.filter("unit >= 0").withColumn("p", F.explode(F.when(F.col("tail") > room, F.array(first, second)).otherwise(F.array(first)))).select(
-        *keep, "p.start", "p.length", part.alias("part"), "p.sequence_id", "p.place", "p.cut",
+    pieces = full
+    if segments:
+        # as many rows as recipes: at most three for each combination that the solution uses, of which there are at most as many as classes
+        places = spark.createDataFrame(segments, "s_class int, low long, high long, sequence long, slot int")
+        inside = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by_recipe = ranked.filter("class > 0 and not over").join(
+            F.broadcast(places), (F.col("class") == F.col("s_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+        ).withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("low"))
+        pieces = pieces.unionByName(by_recipe.select(
+            *keep, F.col("tail_start").alias("start"), F.col("tail").alias("length"), part.alias("part"), "sequence_id",
+            (F.sum("tail").over(inside) - F.col("tail")).alias("offset"), F.lit(False).alias("cut"),
+        ))
+    rest = ranked.filter("over")
+    left = common.checkpointed(rest.groupBy("class", "salt").agg(F.sum("tail").alias("t")))
+    at, bases = 0, {}
+    for r in sorted(left.groupBy("class").agg(F.sum("t").alias("t")).collect(), key=lambda r: -r["class"]):  # at most units rows
+        bases[r["class"]] = {"at_base": at}
+        at += r.t
+    if not at:
+        return pieces, 0
+    laid = rest.join(_carried(left, {"at_base": "t"}, bases), (F.col("class") == F.col("c_class")) & (F.col("salt") == F.col("c_salt")))
+    laid = laid.withColumn("at", F.col("at_base") + F.sum("tail").over(upto) - F.col("tail"))
+    place = F.pmod("at", F.lit(window))
+    room = window - place
+    first = F.struct(F.col("tail_start").alias("start"), F.least("tail", room).alias("length"), F.lit(0).alias("k"), place.alias("offset"), (F.col("tail") > room).alias("cut"))
+    second = F.struct((F.col("tail_start") + room).alias("start"), (F.col("tail") - room).alias("length"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("cut"))
+    greedy = laid.withColumn("p", F.explode(F.when(F.col("tail") > room, F.array(first, second)).otherwise(F.array(first)))).select(
+        *keep, "p.start", "p.length", part.alias("part"), (F.lit(sequence) + F.floor(F.col("at") / window) + F.col("p.k")).alias("sequence_id"), "p.offset", "p.cut",
     )
-    inside = Window.partitionBy("sequence_id").orderBy("place", "row_id")
-    placed = by_recipe.unionByName(greedy).withColumn(
-        "offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    ).drop("place")
-    return full.unionByName(placed), -(-unit * quantum // window)
+    return pieces.unionByName(greedy), -(-at // window)
 
 
 def packed_with_crc(docs: DataFrame, path: str) -> DataFrame:
