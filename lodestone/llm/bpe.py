@@ -211,7 +211,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids binary, decoded binary")
+    return common.in_batches(rows, work, "doc_id long, ids binary, decoded binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

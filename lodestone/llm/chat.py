@@ -147,7 +147,7 @@ def expand(formatted: DataFrame) -> DataFrame:
     and the target's bounds are relative to that text.
     """
     types = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in _EXAMPLE.items())
-    return _in_order(formatted).mapInArrow(_examples, types).filter("example is not null")
+    return common.in_batches(_in_order(formatted), _examples, types).filter("example is not null")
 
 
 class _Digest:
@@ -246,7 +246,7 @@ def _examples_read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, what writing all its examples and reading them back gives: turns, trained text and sizes."""
-    return _in_order(formatted).mapInArrow(_examples_read_back, ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in _COLUMNS))
+    return common.in_batches(_in_order(formatted), _examples_read_back, ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in _COLUMNS))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

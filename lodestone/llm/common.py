@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block of numpy work covers (a longer single text is one block).
 BLOCK_BYTES = 1 << 19
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -134,8 +138,11 @@ def tidy() -> None:
         pass
 
 
-def tidied(work):
-    """A mapInArrow function that tidies up when a task ends."""
+def in_batches(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema) in batches of BATCH_ROWS rows, unless the session sets a number; tidies up when a task ends.
+
+    Rows are whole texts, so the default of 10,000 would be as many texts in memory twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -143,7 +150,10 @@ def tidied(work):
         finally:
             tidy()
 
-    return run
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

@@ -123,7 +123,7 @@ def profiles(docs: DataFrame, train: Column, size: int = PROFILE) -> dict[str, l
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(codes), "gram": codes.astype(np.int64), "n": counts.astype(np.int64)})
 
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = rows.mapInArrow(common.tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = common.in_batches(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size).collect()
     out: dict[str, list[int]] = {}
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]]) -> DataFrame:
                 )
 
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(common.tidied(work), schema)
+    return common.in_batches(docs, work, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def measure(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     "crcs": pa.array([[zlib.crc32(x[i : i + step]) for i in range(0, len(x), step)] for x in ids], pa.list_(pa.int64())),
                 })
 
-    return keyed(docs).mapInArrow(common.tidied(work), "doc_id long, text_hash long, doc_tokens long, crcs array<long>")
+    return common.in_batches(keyed(docs), work, "doc_id long, text_hash long, doc_tokens long, crcs array<long>")
 
 
 def piece_ids(docs: DataFrame, pieces: DataFrame, path: str, few: bool = False) -> DataFrame:
@@ -168,7 +168,7 @@ def piece_ids(docs: DataFrame, pieces: DataFrame, path: str, few: bool = False)
                     "all_ids": pa.array(ids, pa.list_(pa.int32())),
                 })
 
-    coded = wanted.mapInArrow(common.tidied(work), "k_doc long, k_hash long, all_ids array<int>")
+    coded = common.in_batches(wanted, work, "k_doc long, k_hash long, all_ids array<int>")
     same = pieces.doc_id.eqNullSafe(F.col("k_doc")) & (pieces.text_hash == F.col("k_hash"))
     found = pieces.join(coded, same).drop("k_doc", "k_hash")
     return found.withColumn("ids", F.slice("all_ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))).drop("all_ids")
@@ -349,7 +349,7 @@ def packed_with_crc(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"ids_crc32": pa.array(crc, pa.int64())}).select(out)
 
     schema = ", ".join(f"{n} long" for n in out)
-    return kept.select(out).unionByName(split.select("ids", "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").mapInArrow(work, schema))
+    return kept.select(out).unionByName(common.in_batches(split.select("ids", "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"), work, schema))
 
 
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
