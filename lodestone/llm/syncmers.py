@@ -3,7 +3,9 @@
 A k-mer is kept when the smallest hash among its inner s-mers stands at its
 first or last place.  Whether a k-mer is kept depends on its own K characters
 only, so an edit moves or removes just the anchors that overlap it, and anchors
-of two texts can be matched by position.
+of two texts can be matched by position.  Anchors are K-mers; texts under SHORT code
+points, which hold few of them, have FINE_K-mers, and those from LONG on to SHORT have
+both, so that a text and its edited or slightly longer form always share a kind.
 
 A fingerprint is a string of eight characters an anchor (base64 of four bytes
 hash and two bytes distance from the anchor before it, capped at 65535).  The
@@ -25,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
 K, S = 32, 8
+#: For texts below SHORT code points; those from LONG on have the others (too).
+FINE_K, FINE_S, LONG, SHORT = 8, 3, 96, 192
 #: Code points that one block of numpy work covers.
 BLOCK_CHARS = 1 << 20
 _ANCHOR = np.dtype([("hash", ">u4"), ("gap", ">u2")])
@@ -52,35 +56,46 @@ def _window_min(v: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and places of the anchors of all texts, and where each text's begin (one more at the end)."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.concatenate(([0], np.cumsum(lengths)))
+def syncmers(texts: list[str], k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (32 bits), places and texts' numbers of the closed syncmers of all texts."""
+    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
     units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(units)
+    if n < k:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = common.prefix_hashes(units)
     _, down = common.powers(n + 1)
-    place = np.zeros(0, np.int64)
-    if n >= k:
-        inner = common.mix64((h[s:] - h[:-s]) * down[: n - s + 1])
-        least = _window_min(inner, k - s + 1)
-        m = n - k + 1
-        keep = (inner[:m] == least) | (inner[k - s : k - s + m] == least)
-        place = np.flatnonzero(keep)
-        owner = np.searchsorted(at, place, "right") - 1
-        place = place[place + k <= at[owner + 1]]
-    code = common.mix64((h[np.minimum(place + k, n)] - h[place]) * down[place]) >> np.uint64(32)
-    cut = np.searchsorted(place, at)
-    bare = np.flatnonzero((np.diff(cut) == 0) & (lengths > 0))
+    inner = common.mix64((h[s:] - h[:-s]) * down[: n - s + 1])
+    least = _window_min(inner, k - s + 1)
+    m = n - k + 1
+    place = np.flatnonzero((inner[:m] == least) | (inner[k - s : k - s + m] == least))
+    owner = np.searchsorted(at, place, "right") - 1
+    whole = place + k <= at[owner + 1]
+    place, owner = place[whole], owner[whole]
+    code = common.mix64((h[place + k] - h[place]) * down[place] + np.uint64(k)) >> np.uint64(32)
+    return code.astype(np.uint32), place - at[owner], owner
+
+
+def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (32 bits) and places of the anchors of all texts, and where each text's begin (one more at the end)."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    parts = []
+    for which, k, s in ((lengths >= LONG, K, S), (lengths < SHORT, FINE_K, FINE_S)):
+        chosen = np.flatnonzero(which)
+        code, place, owner = syncmers([texts[i] for i in chosen], k, s)
+        parts.append((code, place, chosen[owner]))
+    bare = np.flatnonzero((np.bincount(np.concatenate([p[2] for p in parts]), minlength=len(texts)) == 0) & (lengths > 0))
     if len(bare):
-        whole = common.mix64((h[at[bare + 1]] - h[at[bare]]) * down[at[bare]] + lengths[bare].astype(np.uint64)) >> np.uint64(32)
-        code = np.insert(code, cut[bare], whole)
-        place = np.insert(place, cut[bare], at[bare])
-        extra = np.zeros(len(cut), np.int64)
-        extra[bare + 1] = 1
-        cut = cut + np.cumsum(extra)
-    local = place - np.repeat(at[:-1], np.diff(cut))
-    return code.astype(np.uint32), local, cut
+        joined = "".join(texts[i] for i in bare)
+        ends = np.cumsum(lengths[bare])
+        h = common.prefix_hashes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+        _, down = common.powers(len(joined) + 1)
+        begin = ends - lengths[bare]
+        code = common.mix64((h[ends] - h[begin]) * down[begin] + lengths[bare].astype(np.uint64)) >> np.uint64(32)
+        parts.append((code.astype(np.uint32), np.zeros(len(bare), np.int64), bare))
+    code, place, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), place, owner))
+    return code[order], place[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
 
 
 def encode(code: np.ndarray, place: np.ndarray) -> str:
@@ -170,10 +185,22 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ids, texts, held = ids[n:], texts[n:], len(texts[-1])
 
 
+def _bucket(edges: list[int], of: Column) -> Column:
+    """How many edges (ascending) are at most the column's value; two short searches in place of one long."""
+    if not edges:
+        return F.lit(0)
+    step = int(len(edges) ** 0.5) or 1
+    listed = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
+    blocks = [edges[i : i + step] for i in range(0, len(edges), step)]
+    block = F.size(F.filter(listed([b[0] for b in blocks]), lambda e: e <= of))
+    inside = F.size(F.filter(F.get(F.array(*map(listed, blocks)), block - 1), lambda e: e <= of))
+    return F.when(of.isNull() | (block == 0), 0).otherwise((block - 1) * step + inside)
+
+
 def fingerprint(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row a document: its fingerprint, its edited text's, and how alike they and the next document's are.
 
-    Texts are shuffled once, into ranges of doc_id; the first document of a range
+    Texts are shuffled once, into ranges of doc_id, a range a partition; the first document of a range
     is sent to the range before it as well, so that each task has every `next`.
     Only the ranges' bounds (as many as partitions) reach the driver.
     """
@@ -182,9 +209,7 @@ def fingerprint(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     quantiles = [i / n for i in range(1, n)]
     edges = rows.agg(F.percentile_approx("doc_id", quantiles, 20 * n).alias("e")).head().e if quantiles else []
-    edges = sorted(set(edges or []))
-    number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(number)
+    number = _bucket(sorted(set(edges or [])), F.col("doc_id"))
     first = {
         r.bucket: r.first
         for r in rows.groupBy(number.alias("bucket"))
@@ -202,11 +227,8 @@ def fingerprint(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ahead = F.struct(F.try_element_at(fronts, F.col("bucket")).alias("bucket"), F.lit(True).alias("look"))
     sent = bucketed.select("doc_id", "text", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
     dealt = sent.select(F.col("to.bucket").alias("bucket"), "doc_id", "text", F.col("to.look").alias("look"))
-    return (
-        dealt.repartition(n, "bucket")
-        .sortWithinPartitions("bucket", "look", F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(_fingerprints, SCHEMA)
-    )
+    sorted_ = dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "look", F.col("doc_id").asc_nulls_first(), "text")
+    return common.in_batches(sorted_, _fingerprints, SCHEMA)
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
