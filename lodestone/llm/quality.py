@@ -2,28 +2,36 @@
 
 Each document has a few counts, and from them a vector of transformed statistics.
 For each (language, source) the minimum covariance determinant gives a centre and
-scatter that a minority of bad documents cannot move: from a start by quartiles,
-concentration steps alternate between the distances of all documents and the mean
-and covariance of the closest three quarters.  A document is rejected when its
-squared Mahalanobis distance exceeds CUT.
+scatter that a minority of bad documents cannot move.  Several starts (quartiles, all
+documents, and small random sets) are concentrated side by side: all documents'
+distances, then the mean and covariance of the closest CORE of them, whose determinant
+falls with each step.  After START_STEPS the start with the smallest determinant goes on
+until no group's determinant falls any more.  A document is rejected when its squared
+Mahalanobis distance exceeds CUT, the chi-square quantile that REJECTED of normal
+documents pass.
+
+Every group is judged: its centre and scatter are drawn towards those of its language
+with the weight of SHRINKAGE documents, and these towards those of all documents, so a
+group of a few documents has nearly its language's estimate and a large one its own.
+Scatter has a floor (FLOORS), since most documents share the value zero in some
+statistics.
 
 At scale: texts are read once and never shuffled; the statistics (a hundred bytes
 a document) are checkpointed.  Quantiles come from fixed bins, counted before the
-shuffle, and moments are plain sums, so a group with most rows is no single task's
-work, and the results do not depend on partitions beyond rounding.  Centres are
-broadcast only when there are at most BROADCAST_GROUPS of them.
-
-Groups with fewer than MIN_GROUP documents (of those that pass the base rules) are
-judged together; if even together they are fewer, all are kept.  Scatter has a
-floor (FLOORS), since most documents share the value zero in some statistics.
+shuffle; of the bin at the boundary every document counts with the share that makes the
+core exact.  Moments are plain sums, so a group with most rows is no single task's work,
+and the results do not depend on partitions beyond rounding.  Centres are broadcast only
+when there are at most BROADCAST_GROUPS of them.
 
 Defined results: null or empty texts have no words and fail the base rules; null
 language and source are groups like others; repeated rows count as rows; extra
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows; a document alone in its table is kept
+if it passes the base rules.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,17 +40,46 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated three-word windows
-#: Share of a group that the scatter is taken from, and what makes it that of all (5 statistics, normal).
-CORE, CONSISTENCY = 0.75, 1.41
-STEPS = 4
-#: Squared distance; about 2e-5 of 5 normal statistics lie beyond it.
-CUT = 30.0
-MIN_GROUP = 100
+#: Share of a group that the scatter is taken from, and of normal documents beyond CUT.
+CORE, REJECTED = 0.75, 2e-5
+#: Random starts, about how many documents each is taken from, and steps before the best start is chosen and in all.
+STARTS, START_SIZE, START_STEPS, STEPS = 3, 24, 2, 10
+#: A determinant that falls by a smaller share has converged.
+CONVERGED = 1e-3
+#: Documents that a group's language (a language's corpus) counts as in its estimate.
+SHRINKAGE = 50
 BROADCAST_GROUPS = 20_000
 #: Least standard deviation of each statistic.
 FLOORS = {"s_words": 0.5, "s_length": 0.05, "s_symbols": 0.7, "s_lines": 0.25, "s_repeats": 0.2}
 _P = len(FLOORS)
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Bins of a distance's logarithm, and of a statistic.
+_LOG_BINS, _BINS = 64, 256
+
+
+def chi_square_beyond(x: float, degrees: int) -> float:
+    """Share of chi-square values of an odd number of degrees of freedom beyond x."""
+    term, tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.erfc(math.sqrt(x / 2))
+    for k in range(1, degrees // 2 + 1):
+        tail += term
+        term *= x / (2 * k + 1)
+    return tail
+
+
+def chi_square_quantile(beyond: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_beyond(middle, degrees) > beyond else (low, middle)
+    return high
+
+
+CUT = chi_square_quantile(REJECTED, _P)
+#: What makes the scatter of the closest CORE that of all, for normal statistics.
+CONSISTENCY = CORE / (1 - chi_square_beyond(chi_square_quantile(1 - CORE, _P), _P + 2))
+_M = [f"m_{i}" for i in range(_P)]
+_C = [f"c_{i}_{j}" for i in range(_P) for j in range(i + 1)]
+_L = [f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -109,8 +146,13 @@ def _quantiles(rows: DataFrame, by: list[str], bin_: Column, shares: dict[str, f
     return running.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for name, q in shares.items()])
 
 
-def _with_cholesky(params: DataFrame, scale: float) -> DataFrame:
-    """grp, m_i and l_i_j (Cholesky factor of scatter * scale plus floors) from m_i and c_i_j."""
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of groups, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
+def with_cholesky(params: DataFrame, scale: float) -> DataFrame:
+    """grp, start, m_i, l_i_j (Cholesky factor of scatter * scale plus floors) and log_det from m_i and c_i_j."""
     floors = [f * f for f in FLOORS.values()]
     out = params
     for j in range(_P):
@@ -120,67 +162,113 @@ def _with_cholesky(params: DataFrame, scale: float) -> DataFrame:
             f"l_{i}_{j}": (F.col(f"c_{i}_{j}") * scale - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}_{j}")
             for i in range(j + 1, _P)
         })
-    return out.select("grp", *[f"m_{i}" for i in range(_P)], *[f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)])
+    return out.select("grp", "start", *_M, *_L, reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l_{i}_{i}")) for i in range(_P)]).alias("log_det"))
 
 
-def _distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows with d2, by forward substitution; null for groups without parameters."""
-    params = common.checkpointed(params).withColumnRenamed("grp", "p_grp")
-    small = params.count() <= BROADCAST_GROUPS
-    out = rows.join(F.broadcast(params) if small else params, F.col("grp") == F.col("p_grp"), "left")
+def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """rows with start and d2, a row for each start of params (checkpointed) of its group; by forward substitution."""
+    own = params.select(F.col("grp").alias("p_grp"), "start", *_M, *_L)
+    out = rows.join(_small(own), F.col("grp") == F.col("p_grp"))
     for i, name in enumerate(FLOORS):
         inner = sum((F.col(f"l_{i}_{j}") * F.col(f"z_{j}") for j in range(i)), F.lit(0.0))
         out = out.withColumn(f"z_{i}", (F.col(name) - F.col(f"m_{i}") - inner) / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]).alias("d2"))
+    return out.select(*rows.columns, "start", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]).alias("d2"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """grp, m_i, c_i_j of the rows."""
+def moments(rows: DataFrame, weight: Column) -> DataFrame:
+    """grp, tongue, start, w (sum of weights), m_i and c_i_j of the rows."""
     names = list(FLOORS)
-    sums = [F.avg(F.col(n)).alias(f"m_{i}") for i, n in enumerate(names)]
-    sums += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"e_{i}_{j}") for i in range(_P) for j in range(i + 1)]
-    got = rows.groupBy("grp").agg(*sums)
-    return got.select("grp", *[f"m_{i}" for i in range(_P)], *[(F.col(f"e_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)])
-
-
-def outlier_distances(rows: DataFrame) -> DataFrame:
-    """rows (checkpointed; grp and the statistics) with d2 from each group's minimum-covariance-determinant estimate."""
-    width = 1 / 256
-    stacked = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).alias("x")) for i, n in enumerate(FLOORS)])).alias("v")).select("grp", "v.*")
-    quartiles = _quantiles(stacked, ["grp", "which"], F.floor(F.col("x") / width), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    start = quartiles.groupBy("grp").agg(
-        *[F.max(F.when(F.col("which") == i, (F.col("q2") + 0.5) * width)).alias(f"m_{i}") for i in range(_P)],
-        *[F.max(F.when(F.col("which") == i, F.pow((F.col("q3") - F.col("q1")) * width / 1.349, F.lit(2)))).alias(f"c_{i}_{i}") for i in range(_P)],
+    sums = [F.sum(weight * F.col(n)).alias(f"s_{i}") for i, n in enumerate(names)]
+    sums += [F.sum(weight * F.col(names[i]) * F.col(names[j])).alias(f"e_{i}_{j}") for i in range(_P) for j in range(i + 1)]
+    got = rows.groupBy("grp", "tongue", "start").agg(F.sum(weight).alias("w"), *sums).filter("w > 0")
+    got = got.select("*", *[(F.col(f"s_{i}") / F.col("w")).alias(f"m_{i}") for i in range(_P)])
+    return got.select("grp", "tongue", "start", "w", *_M, *[(F.col(f"e_{i}_{j}") / F.col("w") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)])
+
+
+def shrunk(own: DataFrame) -> DataFrame:
+    """grp, tongue, start, m_i, c_i_j of moments (checkpointed), drawn towards the language's and these towards all documents'."""
+    pair = [(i, j) for i in range(_P) for j in range(i + 1)]
+
+    def pooled(by: list[str], mark: str) -> DataFrame:
+        """w, m, c of all the groups' rows together, named with a mark."""
+        sums = [F.sum(F.col("w") * F.col(f"m_{i}")).alias(f"s_{i}") for i in range(_P)]
+        sums += [F.sum(F.col("w") * (F.col(f"c_{i}_{j}") + F.col(f"m_{i}") * F.col(f"m_{j}"))).alias(f"e_{i}_{j}") for i, j in pair]
+        got = own.groupBy(*by).agg(F.sum("w").alias("n"), *sums)
+        means = [(F.col(f"s_{i}") / F.col("n")).alias(f"{mark}m_{i}") for i in range(_P)]
+        return got.select(*[F.col(c).alias(mark + c) for c in by], F.col("n").alias(f"{mark}w"), *means, *[
+            (F.col(f"e_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")).alias(f"{mark}c_{i}_{j}") for i, j in pair])
+
+    def drawn(w: str, a: str, b: str) -> Column:
+        return (F.col(w) * F.col(a) + SHRINKAGE * F.col(b)) / (F.col(w) + SHRINKAGE)
+
+    tongues, every = common.checkpointed(pooled(["tongue", "start"], "t")), pooled(["start"], "a")
+    # one row a start
+    tongues = tongues.join(F.broadcast(every), F.col("tstart") == F.col("astart")).select("ttongue", "tstart", *[drawn("tw", f"t{c}", f"a{c}").alias(f"t{c}") for c in (*_M, *_C)])
+    tongues = common.checkpointed(tongues)
+    joined = own.join(_small(tongues), (F.col("tongue") == F.col("ttongue")) & (F.col("start") == F.col("tstart")))
+    return joined.select("grp", "tongue", "start", *[drawn("w", c, f"t{c}").alias(c) for c in (*_M, *_C)])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Moments of each group's starts: 0 from quartiles, 1 of all rows, the others of about START_SIZE random rows each."""
+    stacked = rows.select("grp", "tongue", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).alias("x")) for i, n in enumerate(FLOORS)])).alias("v")).select("grp", "tongue", "v.*")
+    found = _quantiles(stacked, ["grp", "tongue", "which"], F.floor(F.col("x") * _BINS), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    quartiles = found.groupBy("grp", "tongue").agg(
+        *[F.max(F.when(F.col("which") == i, (F.col("q2") + 0.5) / _BINS)).alias(f"m_{i}") for i in range(_P)],
+        *[F.max(F.when(F.col("which") == i, F.pow((F.col("q3") - F.col("q1")) / _BINS / 1.349, F.lit(2)))).alias(f"c_{i}_{i}") for i in range(_P)],
     )
-    start = start.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(_P) for j in range(i)})
-    found = _distances(rows, _with_cholesky(start, 1.0))
-    for _ in range(STEPS):
-        binned = found.withColumn("d_bin", F.floor(64 * F.log(F.col("d2") + 1e-6)))
-        core = common.checkpointed(_quantiles(binned, ["grp"], F.col("d_bin"), {"limit": CORE}).withColumnRenamed("grp", "c_grp"))
-        small = core.count() <= BROADCAST_GROUPS
-        closest = binned.join(F.broadcast(core) if small else core, F.col("grp") == F.col("c_grp")).filter(F.col("d_bin") <= F.col("limit"))
-        found = _distances(rows, _with_cholesky(_moments(closest), CONSISTENCY))
-    return found
+    sizes = common.checkpointed(rows.groupBy(F.col("grp").alias("n_grp")).agg(F.count("*").alias("n")))
+    quartiles = quartiles.join(_small(sizes), F.col("grp") == F.col("n_grp")).withColumn("w", F.col("n").cast("double")).withColumn("start", F.lit(0))
+    quartiles = quartiles.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(_P) for j in range(i)})
+    sized = rows.join(_small(sizes), F.col("grp") == F.col("n_grp"))
+    share = F.greatest(F.lit(1), F.floor(F.col("n") / START_SIZE))
+    chosen = F.filter(F.sequence(F.lit(1), F.lit(1 + STARTS)), lambda s: (s == 1) | (F.pmod(F.xxhash64("doc_id", "s_words", "s_length", s), share) == 0))
+    drawn = moments(sized.select("grp", "tongue", *FLOORS, F.explode(chosen).alias("start")), F.lit(1.0))
+    names = ["grp", "tongue", "start", "w", *_M, *_C]
+    return quartiles.select(names).unionByName(drawn.select(names))
+
+
+def concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Moments of the closest CORE of each group's rows, for each start of params (checkpointed)."""
+    binned = distances(rows, params).withColumn("bin", F.floor(_LOG_BINS * F.log(F.col("d2") + 1e-6)))
+    counted = binned.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("grp", "start").orderBy("bin")  # some hundred bins a group
+    running = counted.select("*", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), (CORE * F.sum("n").over(Window.partitionBy("grp", "start"))).alias("core"))
+    at = running.filter((F.col("upto") >= F.col("core")) & (F.col("upto") - F.col("n") < F.col("core")))
+    limits = common.checkpointed(at.select(F.col("grp").alias("l_grp"), F.col("start").alias("l_start"), F.col("bin").alias("limit"), ((F.col("core") - F.col("upto") + F.col("n")) / F.col("n")).alias("part")))
+    closest = binned.join(_small(limits), (F.col("grp") == F.col("l_grp")) & (F.col("start") == F.col("l_start"))).filter(F.col("bin") <= F.col("limit"))
+    return moments(closest, F.when(F.col("bin") < F.col("limit"), F.lit(1.0)).otherwise(F.col("part")))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """grp, start, m_i, l_i_j, log_det: each group's minimum-covariance-determinant estimate; checkpointed.
+
+    rows: checkpointed, with grp, tongue (the language's group) and the statistics.
+    """
+    fitted = lambda own, scale: common.checkpointed(with_cholesky(shrunk(common.checkpointed(own)), scale))
+    params = fitted(starts(rows), 1.0)
+    for _ in range(START_STEPS):
+        params = fitted(concentrated(rows, params), CONSISTENCY)
+    best = Window.partitionBy("grp").orderBy("log_det", "start")  # 2 + STARTS rows a group
+    params = common.checkpointed(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"))
+    for _ in range(STEPS - START_STEPS):
+        after = fitted(concentrated(rows, params), CONSISTENCY)
+        before = params.select(F.col("grp").alias("b_grp"), F.col("log_det").alias("b_det"))
+        moving = after.join(before, F.col("grp") == F.col("b_grp")).filter(F.col("b_det") - F.col("log_det") > CONVERGED)
+        params = after
+        if moving.isEmpty():
+            break
+    return params
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (squared; null where not judged) and kept."""
-    stats = common.checkpointed(statistics(counts(docs)).withColumn("own", F.xxhash64("lang", F.lit("|"), "source", F.col("lang").isNull())))
-    passed = stats.filter("not base_failed")
-    sizes = common.checkpointed(passed.groupBy("own").agg(F.count("*").alias("size")).withColumn("grp", F.when(F.col("size") >= MIN_GROUP, F.col("own")).otherwise(F.lit(0).cast("long"))))
-    few = sizes.count() <= BROADCAST_GROUPS
-    rest = sizes.filter("grp = 0").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).head().n
-    names = sizes.select(F.col("own").alias("g_own"), "grp")
-    rows = passed.join(F.broadcast(names) if few else names, F.col("own") == F.col("g_own")).drop("g_own")
-    if rest < MIN_GROUP:
-        alone = rows.filter("grp = 0").withColumn("d2", F.lit(None).cast("double"))
-        rows = rows.filter("grp != 0")
-    else:
-        alone = None
-    found = outlier_distances(common.checkpointed(rows))
-    if alone is not None:
-        found = found.unionByName(alone)
-    failed = stats.filter("base_failed").withColumn("grp", F.lit(0).cast("long")).withColumn("d2", F.lit(None).cast("double"))
+    """doc_id, the counts, base_failed, distance (squared; null where the base rules fail) and kept."""
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  null is a name of its own
+    stats = statistics(counts(docs)).select("*", F.xxhash64(named("lang"), F.lit("|"), named("source")).alias("grp"), F.xxhash64(named("lang")).alias("tongue"))
+    stats = common.checkpointed(stats)
+    rows = stats.filter("not base_failed")
+    found = distances(rows, estimates(rows)).drop("start")
+    failed = stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return found.unionByName(failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))).alias("kept"),

@@ -59,17 +59,35 @@ def test_syncmers(spark, texts):
     assert got[10 * texts.index("same text here")].near_next == 1.0
 
 
-def test_syncmer_anchors_by_definition(texts):
-    text = texts[-1][:400]
-    k, s = syncmers.K, syncmers.S
-    inner = [int(syncmers.anchors([text[i : i + s]], s, s)[0][0]) for i in range(len(text) - s + 1)]
+@pytest.mark.parametrize(("size", "k", "s"), [(400, syncmers.K, syncmers.S), (90, syncmers.FINE_K, syncmers.FINE_S)])
+def test_syncmer_anchors_by_definition(texts, size, k, s):
+    text = texts[-1][:size]
+    whole = lambda t: common.mix64(common.prefix_hashes(np.array([ord(c) for c in t], np.uint32))[-1:])[0]
+    inner = [int(whole(text[i : i + s])) for i in range(len(text) - s + 1)]
     code, place, _ = syncmers.anchors([text])
-    # 32 of 64 bits are compared here, so ties apart the places agree
     want = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
     assert len(code) == len(place) and set(place.tolist()) == set(want)
-    moved = "unrelated words first. " + text
+    moved = "unlike. " + text
     assert set(code.tolist()) <= set(syncmers.anchors([moved])[0].tolist())
-    assert all(b - a == 23 for a, b in syncmers.align(syncmers.encode(code, place), syncmers.encode(*syncmers.anchors([moved])[:2])))
+    assert all(b - a == 8 for a, b in syncmers.align(syncmers.encode(code, place), syncmers.encode(*syncmers.anchors([moved])[:2])))
+
+
+def test_short_and_middle_texts_are_like_their_edited_text(spark):
+    rng = random.Random(21)
+    for n in (20, 30, 50, 64, 95, 96, 120, 150, 191, 192, 250, 400):
+        for k in range(8):
+            text = prose(rng, 90)[:n]
+            for after in ("", prose(rng, 3), "Q!x" * 200):
+                code, _, cut = syncmers.anchors([text, syncmers.edited(text, after)])
+                near = float(syncmers._likeness(code, cut, np.array([0]), np.array([1]))[0])
+                assert 0.1 < near <= 1, (n, after, near)
+
+
+def test_buckets_of_ranges(spark):
+    edges = sorted({k * k for k in range(1, 60)})
+    ids = [-5, 0, 1, 2, 3, 4, 100, 101, 3481, 9999, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", syncmers._bucket(edges, F.col("doc_id")).alias("b"))
+    assert {r.doc_id: r.b for r in df.collect()} == {i: 0 if i is None else sum(e <= i for e in edges) for i in ids}
 
 
 def test_empty_tables(spark):
@@ -507,18 +525,83 @@ def test_quality_outliers(spark):
     rng = random.Random(4)
     clean = [prose(rng, rng.randint(80, 300)) for _ in range(150)]
     junk = [" ".join(w + "%%%" for w in prose(rng, 120).split()) for _ in range(30)]
-    got = {r.doc_id: r.kept for r in quality.judged(documents(spark, clean + junk)).collect()}
-    assert not any(got[i] for i in range(150, 180)) and sum(got[i] for i in range(150)) >= 149
+    few = [prose(rng, rng.randint(80, 300)) for _ in range(5)] + [" ".join(w + "%%%" for w in prose(rng, 120).split())]
+    sources = ["s"] * 180 + ["small"] * 6
+    got = {r.doc_id: r for r in quality.judged(documents(spark, clean + junk + few, sources=sources)).collect()}
+    assert not any(got[i].kept for i in range(150, 180)) and sum(got[i].kept for i in range(150)) >= 149
+    # a group of a few documents is judged too, by its language
+    assert all(r.base_failed or r.distance is not None for r in got.values())
+    assert [got[i].kept for i in range(180, 186)] == [True] * 5 + [False]
+    alone = quality.judged(documents(spark, clean[:1])).collect()
+    assert [r.kept for r in alone] == [True]
+
+
+def stat_rows(spark, groups):
+    rows = [(1000 * g + i, g, g % 2, *map(float, r)) for g, x in groups.items() for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "doc_id long, grp long, tongue long, " + ", ".join(f"{n} double" for n in quality.FLOORS)).cache()
 
 
 def test_cholesky_distance(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) * 3
-    rows = spark.createDataFrame([(1, *map(float, r)) for r in x], "grp long, " + ", ".join(f"{n} double" for n in quality.FLOORS))
-    got = np.array([r.d2 for r in quality._distances(rows, quality._with_cholesky(quality._moments(rows), 1.0)).collect()])
-    mean, inverse = x.mean(axis=0), np.linalg.inv(np.cov(x.T, bias=True))
-    want = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    rows = stat_rows(spark, {1: x})
+    params = quality.with_cholesky(quality.moments(rows.withColumn("start", F.lit(0)), F.lit(1.0)), 1.0)
+    got = np.array([r.d2 for r in quality.distances(rows, params).collect()])
+    mean, cov = x.mean(axis=0), np.cov(x.T, bias=True)
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
     assert np.allclose(np.sort(got), np.sort(want), rtol=1e-6)
+    assert params.head().log_det == pytest.approx(np.linalg.slogdet(cov)[1])
+
+
+def test_chi_square():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(400_000, 5)) ** 2).sum(axis=1)
+    for q in (1.0, 5.0, 9.0):
+        assert quality.chi_square_beyond(q, 5) == pytest.approx((x > q).mean(), abs=0.004)
+    assert quality.chi_square_quantile(0.05, 5) == pytest.approx(11.0705, abs=1e-4) and quality.chi_square_quantile(0.05, 7) == pytest.approx(14.0671, abs=1e-4)
+
+
+def test_shrinkage(spark):
+    rng = np.random.default_rng(2)
+    groups = {g: rng.normal(size=(n, 5)) + g for g, n in ((0, 300), (2, 8), (1, 40), (3, 1))}
+    own = quality.moments(stat_rows(spark, groups).withColumn("start", F.lit(0)), F.lit(1.0)).cache()
+    got = {r.grp: r for r in quality.shrunk(own).collect()}
+    k = quality.SHRINKAGE
+
+    def both(x):
+        return len(x), x.mean(axis=0), np.cov(x.T, bias=True) if len(x) > 1 else np.zeros((5, 5))
+
+    def drawn(a, b):
+        return [(a[0] * u + k * v) / (a[0] + k) for u, v in zip(a[1:], b[1:], strict=True)]
+
+    every = both(np.concatenate(list(groups.values())))
+    for g, x in groups.items():
+        tongue = both(np.concatenate([y for h, y in groups.items() if h % 2 == g % 2]))
+        mean, cov = drawn(both(x), (None, *drawn(tongue, every)))
+        assert np.allclose([got[g][f"m_{i}"] for i in range(5)], mean)
+        assert np.allclose([got[g][f"c_{i}_{j}"] for i in range(5) for j in range(i + 1)], [cov[i, j] for i in range(5) for j in range(i + 1)])
+
+
+def test_minimum_covariance_determinant(spark, monkeypatch):
+    """The estimate of contaminated groups against the smallest determinant of many plain concentrations, and against all rows'."""
+    monkeypatch.setattr(quality, "SHRINKAGE", 0.0)
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g in (0, 1):
+        clean = rng.normal(size=(400, 5)) @ np.diag([2.0, 1.5, 3.0, 1.0, 1.2]) + 5
+        groups[g] = np.concatenate([clean, rng.normal(size=(90, 5)) * 0.3 + [30, 5, 5, -20, 5]])
+    got = {r.grp: r for r in quality.estimates(stat_rows(spark, groups)).collect()}
+    for g, x in groups.items():
+        h = int(quality.CORE * len(x))
+        best = np.inf
+        for _ in range(60):
+            core = rng.choice(len(x), 12, replace=False)
+            for _ in range(30):
+                mean, cov = x[core].mean(axis=0), np.cov(x[core].T, bias=True) + 1e-9 * np.eye(5)
+                core = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[:h]
+            best = min(best, np.linalg.slogdet(np.cov(x[core].T, bias=True) * quality.CONSISTENCY)[1])
+        assert got[g].log_det <= best + 0.15
+        assert np.allclose([got[g][f"m_{i}"] for i in range(5)], x[:400].mean(axis=0), atol=0.5)
 
 
 def test_bpe(spark, texts):
