@@ -413,10 +413,10 @@ def brute_components(texts, ids, size, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("large", "fan", "small"), [(4096, 32, 500_000), (3, 2, 0)])
-def test_minhash(spark, texts, large, fan, small, monkeypatch):
+@pytest.mark.parametrize(("large", "huge", "small"), [(2048, 16, 500_000), (3, 16, 0), (3, 1, 0)])
+def test_minhash(spark, texts, large, huge, small, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", large)
-    monkeypatch.setattr(minhash, "FAN", fan)
+    monkeypatch.setattr(minhash, "HUGE", huge)
     monkeypatch.setattr(minhash, "SMALL_LINKS", small)
     rng = random.Random(9)
     base = prose(rng, 150).split()
@@ -432,9 +432,12 @@ def test_minhash(spark, texts, large, fan, small, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-def test_minhash_groups_are_bounded(spark, monkeypatch):
+@pytest.mark.parametrize(("large", "shingles", "huge"), [(25, 1 << 21, 16), (25, 1 << 21, 1), (1000, 20_000, 16)])
+def test_minhash_groups_are_bounded(spark, large, shingles, huge, monkeypatch):
     """Pages of one template share buckets without being links; some pairs among them are links."""
-    monkeypatch.setattr(minhash, "LARGE", 25)
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "LARGE_SHINGLES", shingles)
+    monkeypatch.setattr(minhash, "HUGE", huge)
     rng = random.Random(12)
     template = [f"t{i}" for i in range(100)]
     pages = [template + [f"u{k}x{i}" for i in range(30)] for k in range(400)]
@@ -444,14 +447,22 @@ def test_minhash_groups_are_bounded(spark, monkeypatch):
     docs = documents(spark, [" ".join(p) for p in pages])
     reps = minhash.sketches(docs, 2, 80).select(F.col("doc_id").alias("node"), "n_shingles", "sig", "keys").cache()
     buckets = minhash.star_buckets(reps)
-    assert buckets.agg(F.max("n")).head()[0] >= 10 * minhash.LARGE
-    groups = minhash.open_groups(buckets, reps, spark.createDataFrame([], "node long, component long"))
-    assert groups.groupBy("g").count().agg(F.max("count")).head()[0] <= minhash.LARGE
+    assert buckets.agg(F.max("n")).head()[0] >= min(10 * large, 250)
+    groups = minhash.open_groups(buckets, reps, spark.createDataFrame([], "node long, component long")).join(reps, "node").groupBy("g")
+    most = groups.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).agg(F.max("n"), F.max("w")).head()
+    assert most[0] <= large and most[1] <= shingles
     want = brute_components([" ".join(p) for p in pages], list(range(400)), 2, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     assert got == want and len({c for _, c in want.values()}) == 380
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-50, 50, n)) for n in (1, 3, 40, 80, 200)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets[1:]]
+    assert minhash.shared_counts(sets[1:], sets, 7).tolist() == want
+
+
 @pytest.mark.parametrize("percent", [30, 50, 90, 100])
 def test_minhash_thresholds(spark, percent):
     rng = random.Random(percent)
