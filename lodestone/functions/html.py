@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -22,15 +22,19 @@ REMOVED_TAGS = "script style nav header footer aside noscript title".split()
 REMOVED_CLASSES = "navbar nav sidebar menu breadcrumb footer ticket__params".split()
 REMOVED_IDS = ["menu"]
 BOILERPLATE_LINES = [
-    "skip to main content", "amiu", "help desk", "knowledgebase", "knowledge base", "suggested knowledgebase articles:",
+    "skip to main content", "help desk", "knowledgebase", "knowledge base", "suggested knowledgebase articles:",
     "suggested knowledgebase articles", "go back", "related articles", "was this article helpful?", "yes", "no", "rating :",
     "rating:", "article details", "home", "print", "email",
 ]
 BOILERPLATE_PREFIXES = ["article id:", "category:", "rating :", "rating:", "views:"]
 GENERIC_TITLES = [
-    "article details", "knowledgebase", "knowledge base", "help desk", "amiu", "home", "suggested knowledgebase articles", "skip to main content",
+    "article details", "knowledgebase", "knowledge base", "help desk", "home", "suggested knowledgebase articles", "skip to main content",
 ]
-BOILERPLATE_IMAGES = ["amiuhelp.png", "logo.png", "spacer.gif"]
+BOILERPLATE_IMAGES = ["logo.png", "spacer.gif"]
+#: A site's own lines, titles and image files, in lower case, which count like those above; set them for the site at hand.
+SITE_LINES: list[str] = []
+SITE_TITLES: list[str] = []
+SITE_IMAGES: list[str] = []
 CAPTION_BLOCKS = "p li td h1 h2 h3 h4".split()
 TEMPLATE_NOISE = re.compile("custom code to be included", re.I)
 
@@ -177,7 +181,7 @@ def drop_boilerplate(text: Column) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         low = F.lower(line)
-        chrome = low.isin(BOILERPLATE_LINES) | ~line.rlike(r"(?U)[\p{L}\p{N}]")
+        chrome = low.isin(BOILERPLATE_LINES + SITE_LINES) | ~line.rlike(r"(?U)[\p{L}\p{N}]")
         for prefix in BOILERPLATE_PREFIXES:
             chrome = chrome | low.startswith(prefix)
         keep = lambda value, last: F.struct(F.concat(acc["kept"], F.array(value)).alias("kept"), last.alias("last"))
@@ -194,7 +198,7 @@ def clean_html(html: Column) -> Column:
 
 def _named(title: Column) -> Column:
     """The title, or null if it is empty or generic."""
-    return F.when((title != "") & ~F.lower(F.trim(title)).isin(GENERIC_TITLES), title)
+    return F.when((title != "") & ~F.lower(F.trim(title)).isin(GENERIC_TITLES + SITE_TITLES), title)
 
 
 def extract_title(html: Column) -> Column:
@@ -257,7 +261,7 @@ def page_images(html: str | None, base_url: str) -> list[dict[str, str]]:
             continue
         if not inline:
             src = "https:" + src if src.startswith("//") else src if src.startswith("http") else f"{base}/{src.lstrip('/')}"
-            if src.rsplit("/", 1)[-1].lower() in BOILERPLATE_IMAGES:
+            if src.rsplit("/", 1)[-1].lower() in [*BOILERPLATE_IMAGES, *SITE_IMAGES]:
                 continue
         alt = (img.attrs.get("alt") or img.attrs.get("title") or "").strip()
         figure = img.above(["figure"])
@@ -279,7 +283,7 @@ def images(base_url: str):
 
 def embed_text(title: Column, caption: Column, alt: Column, context: Column, category: Column) -> Column:
     """What an image is found by: its distinct descriptions (first wins, case ignored), joined."""
-    parts = F.filter(F.array(title, caption, alt, context, category, F.lit("screenshot")), lambda p: F.coalesce(F.trim(p), F.lit("")) != "")
+    parts = F.filter(F.transform(F.array(title, caption, alt, context, category, F.lit("screenshot")), lambda p: F.trim(p)), lambda p: F.coalesce(p, F.lit("")) != "")
     first = F.aggregate(
         parts, F.expr("cast(array() as array<string>)"),
         lambda acc, p: F.when(F.exists(acc, lambda q: F.lower(q) == F.lower(p)), acc).otherwise(F.concat(acc, F.array(p))),
@@ -287,6 +291,18 @@ def embed_text(title: Column, caption: Column, alt: Column, context: Column, cat
     return F.array_join(first, " | ")
 
 
+def image_records(pages: DataFrame, base_url: str) -> DataFrame:
+    """image_id, src, article_id, title, category, caption, alt_text, context, keywords, embed_text of all images of pages (article_id, title, category, html)."""
+    found = pages.select("article_id", "title", "category", F.explode(images(base_url)("html")).alias("i")).select("article_id", "title", "category", "i.*")
+    caption = F.coalesce(F.nullif("caption", F.lit("")), F.nullif("title", F.lit("")), F.concat(F.lit("Image from article "), F.col("article_id").cast("string")))
+    identity = F.when(F.col("src").startswith("data:"), inline_image_id(F.col("src"))).otherwise(image_id(F.col("src")))
+    words = F.array_join(F.array_compact(F.array(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("article_id", "category", "title", "alt")])), ",")
+    return found.select(
+        identity.alias("image_id"), "src", "article_id", "title", "category", caption.alias("caption"), F.col("alt").alias("alt_text"), "context", words.alias("keywords"),
+        embed_text(F.col("title"), F.col("caption"), F.col("alt"), F.col("context"), F.col("category")).alias("embed_text"),
+    )
+
+
 def image_id(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 16)
 

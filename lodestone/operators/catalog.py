@@ -94,9 +94,35 @@ def image_path(static_path: Column, filepath: Column) -> Column:
     return or_else(static_path, filepath)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new replaces old by key; write it to a new version, never over what it reads."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None, source_type: str | None = None) -> DataFrame:
+    """new replaces old by key; of new rows with one key the last by `order` counts (any, without an order).
+
+    source_type stamps the new rows.  Write the result to a new version, never over what it reads.
+    """
+    if order is None:
+        once = new.dropDuplicates([key])
+    else:
+        once = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+    stamped = once.withColumn("source_type", F.lit(source_type)) if source_type is not None else once
+    return stamped.unionByName(old.join(new.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def fresh_images(local: DataFrame, crawled: DataFrame) -> DataFrame:
+    """All crawled images, and local ones that were not crawled."""
+    return crawled.unionByName(local.join(crawled.select("image_id"), "image_id", "left_anti"), allowMissingColumns=True)
+
+
+def image_page(images: DataFrame, article_id: str | None = None, skip: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """A page of images in order of image_id, all or those of an article, and one row with their number."""
+    chosen = images if article_id is None else images.filter(F.col("article_id") == article_id)
+    return chosen.orderBy("image_id").offset(skip).limit(limit), chosen.agg(F.count("*").alias("total"))
+
+
+def users_by(users: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """key, user_id, email, found, active of the wanted keys (`email` or `user_id`), each named once; e-mails are compared exactly."""
+    u = users.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("user_id", "email", "is_active")])
+    j = wanted.select(key).distinct().join(u, F.col(key) == F.col("_key"), "left")
+    return j.select(F.col(key).alias("key"), F.col("_user_id").alias("user_id"), F.col("_email").alias("email"), F.col("_key").isNotNull().alias("found"), F.coalesce("_is_active", F.lit(False)).alias("active"))
 
 
 def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -170,5 +196,20 @@ def valid_request(message: Column) -> Column:
     return F.coalesce(F.char_length(message).between(1, 2000), F.lit(False))
 
 
+def valid_rating(rating: Column) -> Column:
+    return F.coalesce(rating.between(1, 5), F.lit(False))
+
+
+def quarantined(rows: DataFrame, *rules: tuple[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet all rules, and the others with the names of the rules that they break."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
+    return rows.filter(F.size(broken) == 0), rows.withColumn("broken", broken).filter(F.size("broken") > 0)
+
+
 def chat_event(message: Column, confidence: Column) -> Column:
     return F.to_json(F.struct(F.substring(message, 1, PREVIEW).alias("message"), confidence.alias("confidence")))
+
+
+def dimension_check(vectors: DataFrame, embedding: str, expected: int) -> DataFrame:
+    """One row: ok, whether the store's vectors have the expected size; null for an empty store."""
+    return vectors.agg(F.bool_and(F.size(embedding) == expected).alias("ok"))

@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import jaccard
+from lodestone.operators.metrics import ranked_counts
 
 # Fixed values.
-DECLINE_CUES = ("couldn't find", "could not find", "don't have information", "do not have information", "not covered", "no information")
+DECLINE_CUES = (
+    "isn't covered", "is not covered", "not covered", "outside the scope", "outside my scope", "not able to", "don't have information",
+    "do not have information", "no information", "cannot help with", "can't help with", "not something i can", "unrelated to",
+    "not related to", "i don't have", "not in the knowledge base", "no relevant articles", "doesn't appear in", "does not appear in",
+    "isn't something", "beyond what", "not part of",
+)
+# The site's own address belongs here as well; callers pass it.
+HELP_DESK = ("help desk", "knowledge base")
+FAILURE_CUES = ("could not generate an answer", "not a gap in the knowledge base", "check the server logs")
+STEP = r"(?i)(^|\n)\s*(?:\d+[.)]|step\s+\d)"
+FILLER = """
+the a an and or but if then than that this these those is are was were be been being to of in on at for with from by as it its
+you your we our they their i me my will can could should would may might do does did have has had not no yes please here there
+how what when where which who why step steps click select open go see use using need want help also any all more most some other
+into out up down after before once each both about
+""".split()
+# Names of the exceptions that a client raises.
+TIMEOUTS, REFUSED = ("ReadTimeout", "ConnectTimeout", "PoolTimeout"), ("ConnectError",)
+TARGET_S = 10.0
 SHINGLE, CONTAINED = 8, 0.15
+#: Shingles (8 bytes each) of the smaller side up to which the other is filtered by a broadcast.
+BROADCAST_SHINGLES = 1_000_000
 MIN_TERM, MIN_TERMS = 4, 8
 
 
@@ -37,12 +60,20 @@ def separation(rows: DataFrame) -> DataFrame:
 
 
 def stability(results: DataFrame) -> DataFrame:
-    """group, mean and least overlap of two phrasings, whether all agree on the first (results: group, phrasing, articles)."""
-    a = results.select("group", F.col("phrasing").alias("p"), F.col("articles").alias("x"))
-    b = results.select("group", F.col("phrasing").alias("q"), F.col("articles").alias("y"))
-    pairs = a.join(b, "group").filter("p < q").select("group", jaccard(F.col("x"), F.col("y")).alias("o"))
-    first = results.groupBy("group").agg(((F.countDistinct(F.try_element_at("articles", F.lit(1))) == 1) & (F.count(F.try_element_at("articles", F.lit(1))) == F.count("*"))).alias("agree"))
-    return pairs.groupBy("group").agg(F.avg("o").alias("mean_overlap"), F.min("o").alias("least_overlap")).join(first, "group")
+    """group, n_queries, mean and least overlap of two phrasings, agree (all have the same first article), spread of confidence.
+
+    results: group, phrasing, articles (distinct, in order), confidence.  A group is the handful of phrasings of one question.
+    """
+    top = F.try_element_at("articles", F.lit(1))
+    whole = results.groupBy("group").agg(
+        F.count("*").alias("n_queries"), ((F.countDistinct(top) == 1) & (F.count(top) == F.count("*"))).alias("agree"),
+        (F.max("confidence") - F.min("confidence")).alias("spread"), F.array_sort(F.collect_list(F.struct("phrasing", "articles"))).alias("p"),
+    )
+    at = lambda i: F.get("p", i)["articles"]
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda j: j > i), lambda j: jaccard(at(i), at(j)))))
+    got = whole.select("group", "n_queries", "agree", "spread", pairs.alias("o"))
+    mean = F.aggregate("o", F.lit(0.0), lambda x, y: x + y) / F.size("o")
+    return got.select("group", "n_queries", F.when(F.size("o") > 0, mean).otherwise(0.0).alias("mean_overlap"), F.coalesce(F.array_min("o"), F.lit(0.0)).alias("least_overlap"), "agree", "spread")
 
 
 def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -77,24 +108,43 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def contained(left: DataFrame, right: DataFrame, least: float = CONTAINED) -> DataFrame:
-    """left_id, right_id, shared, share of the pairs (left_id, text; right_id, text) whose shingles' containment exceeds `least`."""
-    a = left.select("left_id", word_shingles(F.col("text")).alias("s")).select("left_id", F.size("s").alias("a"), F.explode("s").alias("g"))
-    b = right.select("right_id", word_shingles(F.col("text")).alias("s")).select("right_id", F.size("s").alias("b"), F.explode("s").alias("g"))
+    """left_id, right_id, shared, share of the pairs (left_id, text; right_id, text) whose shingles' containment exceeds `least`.
+
+    Shingles meet as 64-bit hashes; only those of the left side's are shuffled.
+    """
+    hashed = lambda c: F.transform(word_shingles(F.col("text")), lambda g: F.xxhash64(g))  # noqa: E731, ARG005
+    a = left.select("left_id", hashed("text").alias("s")).select("left_id", F.size("s").alias("a"), F.explode("s").alias("g"))
+    b = right.select("right_id", hashed("text").alias("s")).select("right_id", F.size("s").alias("b"), F.explode("s").alias("g"))
+    wanted = a.select("g").distinct()
+    if wanted.count() <= BROADCAST_SHINGLES:
+        b = b.join(F.broadcast(wanted), "g", "left_semi")
     pairs = a.join(b, "g").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"))
     return pairs.withColumn("share", F.col("shared") / F.least("a", "b")).filter(F.col("share") > least).select("left_id", "right_id", "shared", "share")
 
 
+def distinctive(text: Column) -> Column:
+    """Distinct lower-cased words of at least MIN_TERM characters that are no filler."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= MIN_TERM) & ~t.isin(FILLER)))
+
+
 def grounding(answer: Column, sources: Column) -> Column:
-    """Share of the answer's distinct longer words that the sources hold; NaN for too few words."""
-    terms = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= MIN_TERM))
-    a = terms(answer)
-    return F.when(F.size(a) < MIN_TERMS, F.lit(float("nan"))).otherwise(F.size(F.array_intersect(a, terms(sources))) / F.size(a))
+    """Share of the answer's distinctive words that the sources hold; NaN for too few words, 0 without sources."""
+    a = distinctive(answer)
+    return F.when(F.size(a) < MIN_TERMS, F.lit(float("nan"))).otherwise(F.size(F.array_intersect(a, distinctive(F.coalesce(sources, F.lit(""))))) / F.size(a))
+
+
+def _holds(text: Column, cues: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, cues)), lambda m: F.contains(F.lower(text), m))
+
 
+def llm_failed(answer: Column) -> Column:
+    """The answer is the service's own error message."""
+    return _holds(answer, FAILURE_CUES)
 
-def declined(answer: Column) -> Column:
+
+def declined(answer: Column, help_desk: tuple[str, ...] = HELP_DESK) -> Column:
     """Says so, or only points to the help desk: no numbered step and short."""
-    says = F.exists(F.array(*map(F.lit, DECLINE_CUES)), lambda m: F.contains(F.lower(answer), m))
-    return says | (F.lower(answer).contains("help desk") & ~answer.rlike(r"(?m)^\s*\d+[.)]") & (F.char_length(answer) < 700))
+    return _holds(answer, DECLINE_CUES) | (_holds(answer, help_desk) & ~answer.rlike(STEP) & (F.char_length(answer) < 700))
 
 
 def answers_by_kind(rows: DataFrame) -> DataFrame:
@@ -107,13 +157,23 @@ def consistency(repeats: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with averaged ties; 1 where it is undefined."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    """Rank correlation with averaged ties; 1 where it is undefined.
+
+    Equal pairs are counted first; ranks come from `metrics.ranked_counts`, which no group's size makes one task's work.
+    """
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("k"))
 
-    ranked = rows.select(*by, rank(x).alias("rx"), rank(y).alias("ry"))
-    return ranked.groupBy(*by).agg(F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).otherwise(1.0).alias("rho"))
+    def ranks(c: str) -> DataFrame:
+        got = ranked_counts(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x if c == "x" else y)
+        return got.select(*[F.col(b).alias(f"{c}_{b}") for b in by], F.col("v").alias(f"{c}_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+
+    same = lambda c: reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"{c}_{b}")) for b in by]) & (F.col(c) == F.col(f"{c}_v"))
+    ranked = pairs.join(ranks("x"), same("x")).join(ranks("y"), same("y")).select(*by, F.col("k").cast("double").alias("k"), "rx", "ry")
+    n = F.sum("k")
+    middle = (n + 1) / 2  # the mean rank, whatever the ties
+    spread = lambda a, b: F.sum(F.col("k") * F.col(a) * F.col(b)) / n - middle * middle
+    got = ranked.groupBy(*by).agg(spread("rx", "ry").alias("xy"), spread("rx", "rx").alias("xx"), spread("ry", "ry").alias("yy"))
+    return got.select(*by, F.when((F.col("xx") > 1e-9) & (F.col("yy") > 1e-9), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(1.0).alias("rho"))
 
 
 def sign_test(pairs: DataFrame) -> DataFrame:
@@ -122,9 +182,13 @@ def sign_test(pairs: DataFrame) -> DataFrame:
     return r.withColumn("z", F.when(F.col("n") > 0, (F.col("wins") - F.col("n") / 2) / F.sqrt(F.col("n") / 4)).otherwise(0.0))
 
 
-def error_kind(status: Column, detail: Column) -> Column:
-    low = F.lower(F.coalesce(detail, F.lit("")))
-    return F.when(status == 429, "rate_limit").when(status >= 500, "server").when(status >= 400, "client").when(low.contains("timeout"), "timeout").when(low.contains("connect"), "connection").when(status.isNull(), "other")
+def error_kind(status: Column, exception: Column) -> Column:
+    """rate_limited, server_error, timeout, connection or other, from a status or else the name of the exception."""
+    name = F.coalesce(exception, F.lit(""))
+    return (
+        F.when(status == 429, "rate_limited").when(status >= 500, "server_error").when(status >= 400, "other")
+        .when(name.isin(*TIMEOUTS), "timeout").when(name.isin(*REFUSED), "connection").otherwise("other")
+    )
 
 
 def load_summary(rows: DataFrame) -> DataFrame:
@@ -133,18 +197,23 @@ def load_summary(rows: DataFrame) -> DataFrame:
 
 
 def saturation(levels: DataFrame) -> DataFrame:
-    """best_users, plateau (no later level is faster), first_miss (fewest users with p95 above 10 s)."""
+    """best_users, plateau (there are later levels and none is faster), first_miss (fewest users with p95 above TARGET_S)."""
     w = Window.orderBy("users").rowsBetween(1, Window.unboundedFollowing)  # a handful of levels
     later = levels.withColumn("later", F.max("throughput").over(w))
-    top = later.agg(F.max_by("users", F.struct("throughput", -F.col("users"))).alias("best_users"), F.max("throughput").alias("best"), F.min(F.when(F.col("p95") > 10, F.col("users"))).alias("first_miss"))
-    return later.join(F.broadcast(top), F.col("users") == F.col("best_users")).select("best_users", (F.coalesce("later", F.lit(0.0)) <= F.col("best")).alias("plateau"), "first_miss")
+    top = later.agg(F.max_by("users", F.struct("throughput", -F.col("users"))).alias("best_users"), F.max("throughput").alias("best"), F.min(F.when(F.col("p95") > TARGET_S, F.col("users"))).alias("first_miss"))
+    return later.join(F.broadcast(top), F.col("users") == F.col("best_users")).select("best_users", F.coalesce(F.col("later") <= F.col("best"), F.lit(False)).alias("plateau"), "first_miss")
+
+
+def passes(p95: Column, error_rate: Column) -> Column:
+    """A level meets the target: fast enough and without an error."""
+    return (p95 <= TARGET_S) & (error_rate == 0)
 
 
 def stage_means(traces: DataFrame) -> DataFrame:
     """level, stage, mean_ms over all traces of the level; a missing stage counts as 0."""
     n = traces.groupBy("level").agg(F.count("*").alias("n"))
     sums = traces.select("level", F.explode("timings").alias("stage", "ms")).groupBy("level", "stage").agg(F.sum("ms").alias("ms"))
-    return sums.join(F.broadcast(n), "level").select("level", "stage", (F.col("ms") / F.col("n")).alias("mean_ms"))
+    return sums.join(n, "level").select("level", "stage", (F.col("ms") / F.col("n")).alias("mean_ms"))
 
 
 def residual(total: Column, timings: Column) -> Column:
@@ -157,10 +226,17 @@ def stage_shares(calls: DataFrame, wall: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(wall)).select("stage", "total", (F.col("total") / F.col("n")).alias("per_query"), (F.col("calls") / F.col("n")).alias("calls_per_query"), (F.col("total") / F.col("wall_ms")).alias("share"))
 
 
-def workload(levels: DataFrame, requests: int, n_questions: int) -> DataFrame:
-    """level, user, request, q_index (levels: level, users)."""
+def dominant_stage(shares: DataFrame, wall: DataFrame) -> DataFrame:
+    """One row of `stage_shares`: the stage with most time, its share, and all stages' time by the wall time."""
+    top = shares.agg(F.max_by("stage", F.struct("total", "stage")).alias("stage"), F.max("share").alias("share"), F.sum("total").alias("all"))
+    return top.crossJoin(F.broadcast(wall)).select("stage", "share", (F.col("all") / F.col("wall_ms")).alias("covered"))  # one row each
+
+
+def workload(levels: DataFrame, requests: int, n_questions: int, unique: bool = True) -> DataFrame:
+    """level, user, request, q_index, suffix (levels: level, users); the suffix makes each message miss the cache, unless not unique."""
     rows = levels.select("level", F.explode(F.sequence(F.lit(0), F.col("users") - 1)).alias("user")).select("*", F.explode(F.sequence(F.lit(0), F.lit(requests - 1))).alias("request"))
-    return rows.withColumn("q_index", F.pmod(F.col("user") * 3 + F.col("request") + F.col("level") * 7, F.lit(n_questions)))
+    suffix = F.concat(F.lit(" (ref "), F.concat_ws("-", F.col("level").cast("string"), F.col("user").cast("string"), F.col("request").cast("string")), F.lit(")")) if unique else F.lit("")
+    return rows.withColumns({"q_index": F.pmod(F.col("user") * 3 + F.col("request") + F.col("level") * 7, F.lit(n_questions)), "suffix": suffix})
 
 
 def token_usage(usage: Column) -> Column:
@@ -170,16 +246,20 @@ def token_usage(usage: Column) -> Column:
 
 
 def cleaning_probe(text: Column, markers: list[str]) -> Column:
-    """(split_words: runs of single letters, leaked: markers of the chrome that are left)."""
-    return F.struct(F.regexp_count(text, F.lit(r"\b(?:\p{L} ){3,}\p{L}\b")).alias("split_words"), F.size(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(text), m))).alias("leaked"))
+    """(split_words: a letter, a blank and one to three small letters; leaked: markers of the chrome that are left)."""
+    return F.struct(F.regexp_count(text, F.lit(r"\b([A-Za-z]) ([a-z]{1,3})\b")).alias("split_words"), F.size(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(text), m))).alias("leaked"))
 
 
-def eval_set_faults(cases: DataFrame, known: DataFrame) -> DataFrame:
-    """fault, n: repeated queries, unknown ids, expectations that don't fit the kind."""
+def eval_set_faults(cases: DataFrame, known: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """fault, n: repeated queries, unknown ids, expectations that don't fit the kind, and groups (group, query) with fewer than two phrasings."""
     repeated = cases.groupBy("query").count().filter("count > 1").agg(F.lit("repeated").alias("fault"), F.count("*").alias("n"))
     unknown = cases.select(F.explode("expected").alias("article_id")).join(known, "article_id", "left_anti").agg(F.lit("unknown").alias("fault"), F.count("*").alias("n"))
     unfit = cases.filter((F.col("kind") == "offtopic") != (F.size("expected") == 0)).agg(F.lit("unfit").alias("fault"), F.count("*").alias("n"))
-    return repeated.unionByName(unknown).unionByName(unfit)
+    out = repeated.unionByName(unknown).unionByName(unfit)
+    if groups is not None:
+        lone = groups.groupBy("group").agg(F.countDistinct("query").alias("k")).filter("k < 2")
+        out = out.unionByName(lone.agg(F.lit("lone").alias("fault"), F.count("*").alias("n")))
+    return out
 
 
 def checks(*named: tuple[str, DataFrame]) -> DataFrame:

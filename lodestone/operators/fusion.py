@@ -38,9 +38,22 @@ def rrf(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
 def list_weights(list_: Column, hybrid: bool = True, n_lists: Column | None = None) -> Column:
     """Weight of list 0 (primary vector), -1 (lexical) or a variant; a single vector ranking counts fully."""
     vector = F.when(list_ == 0, PRIMARY).otherwise(VARIANT) * (VECTOR if hybrid else 1.0)
+    if n_lists is not None and not hybrid:
+        vector = F.when(n_lists == 1, 1.0).otherwise(vector)
     return F.when(list_ == -1, LEXICAL if hybrid else 0.0).otherwise(vector)
 
 
+def shortlist_by(strategy: str, candidates: DataFrame, n: int) -> DataFrame:
+    """The first n of each query's fused candidates (fused_rank, score, embedding) by strategy: rrf (fused order), cos (score) or mmr (diversity)."""
+    if strategy == "mmr":
+        from lodestone.operators.vector import diverse
+
+        picked = diverse(candidates.select("query_id", "chunk_id", F.col("fused_rank").alias("ord"), "score", "embedding"), n)
+        return candidates.join(picked, ["query_id", "chunk_id"])
+    order = [F.col("fused_rank")] if strategy == "rrf" else [F.round("score", 9).desc(), F.col("fused_rank")]
+    return _ranked(candidates, order, "picked").filter(F.col("picked") <= n)
+
+
 def shortlist(fused: DataFrame, n: int = SHORTLIST) -> DataFrame:
     """The first n by fused score; ties by the list and rank where they were first seen."""
     order = [F.round("rrf_score", 12).desc(), F.col("first_list"), F.col("first_rank"), F.col("chunk_id")]
@@ -127,8 +140,7 @@ def threshold(understood: Column) -> Column:
 
 
 def funnel(stages: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
-    """query_id and how many rows each stage has for it."""
-    out = queries.select("query_id").distinct()
-    for name, df in stages.items():
-        out = out.join(df.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left")
-    return out.na.fill(0)
+    """query_id and how many rows each stage has for it: one pass over all stages' ids."""
+    ids = reduce(DataFrame.unionByName, [df.select("query_id", F.lit(name).alias("stage")) for name, df in stages.items()])
+    counts = ids.groupBy("query_id").agg(*[F.count_if(F.col("stage") == name).alias(name) for name in stages])
+    return queries.select("query_id").distinct().join(counts, "query_id", "left").na.fill(0)

@@ -62,13 +62,41 @@ def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """query_id, chunk_id, score, rank: the best k chunks with a positive score for each query (query_id, query)."""
-    posts, stats = postings(chunks, text), collection(chunks, text)
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+#: Distinct query terms (about 30 bytes each) up to which they filter the chunks' terms by a broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def document_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """term, df: counted a task before the shuffle, so a frequent term is no single task's work."""
+    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qf of queries (query_id, query)."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the best k chunks with a positive score for each query (query_id, query, or terms: query_id, term, qf).
+
+    Chunks' terms that no query has are dropped in the task that reads them; frequencies of all terms are needed
+    only for the mean of their weights.
+    """
+    terms = query_terms(queries) if terms is None else terms
     wanted = terms.select("term").distinct()
-    weights = idf(posts, stats).join(wanted, "term", "left_semi")
-    hits = posts.join(weights, "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    few = wanted.count() <= BROADCAST_TERMS
+    shared = F.broadcast(wanted) if few else wanted
+    stats = collection(chunks, text)
+    df = document_frequencies(chunks, text)
+    raw = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # one row
+    # one pass over the frequencies: the mean of all, and the wanted ones by name
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    weights = raw.join(shared, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    listed = chunks.select("chunk_id", tokens(F.col(text)).alias("t"))
+    found = listed.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).join(shared, "term", "left_semi")
+    posts = found.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    weighted = terms.join(weights, "term")
+    hits = posts.join(F.broadcast(weighted) if few and weighted.count() <= BROADCAST_TERMS else weighted, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf").cast("double")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")

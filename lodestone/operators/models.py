@@ -7,6 +7,7 @@ can run without weights; thresholds of real models do not hold for them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 Embed = Callable[[list[str]], np.ndarray]
 Score = Callable[[list[str], list[str]], np.ndarray]
@@ -40,6 +41,29 @@ def hashing_embedder(size: int = 64) -> Callable[[], Embed]:
     return load
 
 
+def word_embedder(size: int = 64) -> Callable[[], Embed]:
+    """Counts of the words `[a-z0-9]+` by their hash (the first eight digits of MD5), L2-normalised: any engine can compute the same."""
+
+    def load() -> Embed:
+        memo: dict[str, int] = {}
+
+        def embed(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), size))
+            for i, t in enumerate(texts):
+                for w in re.findall("[a-z0-9]+", (t or "").lower()):
+                    if w not in memo:
+                        if len(memo) >= 200_000:
+                            memo.clear()
+                        memo[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
+                    out[i, memo[w]] += 1
+            length = np.linalg.norm(out, axis=1, keepdims=True)
+            return np.divide(out, length, out=out, where=length > 0)
+
+        return embed
+
+    return load
+
+
 def overlap_scorer() -> Score:
     """Share of the query's words that the passage holds, from -10 to 10."""
 
@@ -53,7 +77,7 @@ def overlap_scorer() -> Score:
 def embedding(load: Callable[[], Embed]):
     """A column function: text -> vector; the model is loaded once a task, rows keep their order."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = load()
         for texts in batches:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 MAX_VARIANTS, FUZZY, FUZZY_TERMS = 4, 0.86, 0.82
+# Questions made of short queries, and words that begin a question already.
+QUESTIONS = ("How do I use {}?", "What is {}?")
+QUESTION_WORDS = r"\s*(how|what|where|when|why|who|can|do|is)\b"
 
 
 @dataclass(frozen=True)
@@ -106,6 +109,42 @@ def vocabulary_match(words: Iterable[str], vocabulary: list[str], cutoff: float)
 _NORMAL = StructType([StructField("normalized", StringType()), StructField("corrections", MapType(StringType(), StringType()))])
 
 
+def rewrite_query(corrections: dict[str, str], vocabulary: list[str], lexicon: set[str], upper: tuple[str, ...] = (), cutoff: float = FUZZY):
+    """A column function: a query with its tokens corrected by a curated map, else by the closest vocabulary word; tokens that the lexicon knows stay.
+
+    upper: vocabulary words that are written in capitals.  A query of which nothing changes stays as it is.
+    """
+
+    @F.pandas_udf(StringType())
+    def run(query: pd.Series) -> pd.Series:
+        memo: dict[str, str | None] = {}
+
+        def better(word: str) -> str | None:
+            if word in corrections:
+                return corrections[word]
+            if len(word) < 3 or word in lexicon or not vocabulary:
+                return None
+            ratios = [difflib.SequenceMatcher(None, word, v).ratio() for v in vocabulary]
+            best = max(range(len(ratios)), key=ratios.__getitem__)
+            return (vocabulary[best].upper() if vocabulary[best] in upper else vocabulary[best]) if ratios[best] >= cutoff else None
+
+        def one(q: str | None) -> str | None:
+            if not q or not q.strip():
+                return q
+            out, changed = [], False
+            for token in q.split():
+                bare = re.sub(r"[^a-z0-9]", "", token, flags=re.I).lower()
+                if bare not in memo:
+                    memo[bare] = better(bare) if len(bare) >= 3 else None
+                changed |= memo[bare] is not None
+                out.append(memo[bare] or token)
+            return " ".join(out) if changed else q
+
+        return query.map(one)
+
+    return run
+
+
 def normalize(knowledge: Knowledge, vocabulary: list[str] | None = None, cutoff: float = FUZZY):
     """A column function: query -> (normalized, corrections). The first map that knows a token decides; then the vocabulary."""
     known = set(vocabulary or ())
@@ -225,23 +264,35 @@ def variant_list(knowledge: Knowledge, normalized: str, found: list[str], terms:
         longest = max(synonyms, key=len)
         if longest.lower() != term.lower() and longest != canonical:
             candidates.append(substituted(normalized, term, longest))
-    if len(normalized.split()) <= 3 and not re.match(r"\s*(how|what|where|when|why|who|can|do|is)\b", normalized, re.I):
-        candidates += [f"How do I use {normalized}?", f"What is {normalized}?"]
+    if len(normalized.split()) <= 3 and not re.match(QUESTION_WORDS, normalized, re.I):
+        candidates += [q.format(normalized) for q in QUESTIONS]
     out: dict[str, str] = {}
     for c in filter(None, map(str.strip, candidates)):
         out.setdefault(c.lower(), c)
     return list(out.values())[: most + 1]
 
 
-def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | None = None, most: int = MAX_VARIANTS) -> DataFrame:
-    """queries (query_id, query) with normalized, corrections, lexical, matches, intents, entities, boost_terms, procedural, variants, understood, changed."""
+def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | None = None, most: int = MAX_VARIANTS, stages: frozenset[str] = frozenset(("normalize", "synonyms", "intents", "variants"))) -> DataFrame:
+    """queries (query_id, query) with normalized, corrections, lexical, matches, intents, entities, boost_terms, procedural, variants, understood, changed.
+
+    stages: those that run; without normalize the query is taken as it is, without synonyms nothing is expanded, without intents
+    none is found, and without variants the query is its only one.
+    """
+    if "intents" not in stages:
+        knowledge = replace(knowledge, intents=())
+    if "synonyms" not in stages:
+        knowledge = replace(knowledge, groups=())
+    most = most if "variants" in stages else 0
 
     @F.pandas_udf(ArrayType(StringType()))
     def variants(normalized: pd.Series, found: pd.Series, added: pd.Series) -> pd.Series:
         rows = zip(normalized, found, added, strict=True)
         return pd.Series([variant_list(knowledge, n, list(f), [(a["term"], list(a["synonyms"])) for a in e], most) for n, f, e in rows])
 
-    base = queries.withColumn("_n", normalize(knowledge, vocabulary)("query")).select("*", "_n.*").drop("_n")
+    if "normalize" in stages:
+        base = queries.withColumn("_n", normalize(knowledge, vocabulary)("query")).select("*", "_n.*").drop("_n")
+    else:
+        base = queries.withColumns({"normalized": F.coalesce("query", F.lit("")), "corrections": F.create_map().cast("map<string,string>")})
     base = base.withColumn("matches", match_terms(knowledge)("normalized"))
     base = base.withColumns({"expansions": expansions(knowledge, F.col("matches")), "intents": intents(knowledge, F.col("normalized")), "entities": entities(knowledge, F.col("matches"))})
     boost = {i.name: sorted({b.lower() for b in i.boost}) for i in knowledge.intents}

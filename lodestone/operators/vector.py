@@ -8,7 +8,6 @@ small is dealt into blocks, which are searched one after the other.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors that are searched at once.
-MAX_QUERIES = 50_000
+from lodestone.operators.lineage import cut
+
+#: Most query vectors that are searched at once, and numbers that a block of scores holds.
+MAX_QUERIES, BLOCK = 50_000, 1 << 22
 
 
 def score_of_distance(distance: Column) -> Column:
@@ -44,13 +45,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", embedding: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """query_id, <id_>, score (clamped dot product), rank: the k best rows for each query (query_id, q)."""
+    """query_id, <id_>, score (clamped dot product), rank: the k best rows for each query (query_id, q).
+
+    Queries with a column `category` that is not null see rows of that category only.
+    """
     n = queries.count()
     if n <= MAX_QUERIES:
         return _nearest(rows, queries, n, k, id_, embedding, exclude_self)[0]
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     # an eighth more blocks than needed, as hashing does not deal evenly
     count = 9 * n // (8 * MAX_QUERIES) + 1
     block = F.pmod(F.xxhash64("query_id"), F.lit(count))
@@ -58,43 +59,66 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", em
     for b in range(count):
         part = queries.filter(block == b)
         near, shared = _nearest(rows, part, part.count(), k, id_, embedding, exclude_self)
-        done = near.checkpoint(eager=True)
+        done = cut(near)
         if shared is not None:
             shared.destroy()
         found = done if found is None else found.unionByName(done)
     return found
 
 
+def _best(query: np.ndarray, ids: np.ndarray, dots: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best by descending dot product, then id."""
+    order = np.lexsort((ids, -dots, query))
+    sorted_ = query[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+
+
 def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embedding: str, exclude_self: bool) -> tuple[DataFrame, Broadcast | None]:
     """`nearest` for n queries that fit the driver, and the broadcast that it reads."""
     if not n:
         return rows.select(F.lit(0).cast("long").alias("query_id"), F.col(id_).cast("long").alias(id_), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0), None
-    held = queries.select("query_id", "q").toPandas()
+    filtered = "category" in queries.columns
+    held = queries.select("query_id", "q", *(["category"] if filtered else [])).toPandas()
     ids = held["query_id"].to_numpy(np.int64)
     matrix = np.stack([np.asarray(v, np.float64) for v in held["q"]])
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+    wanted = held["category"].to_numpy(object) if filtered else None
+    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix, wanted))
+    step = max(1, BLOCK // n)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, q = shared.value
-        top: pd.DataFrame | None = None
+        query, q, wanted = shared.value
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        waiting, held = [], 0
+
+        def merged(parts: list[tuple]) -> tuple:
+            every = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            at = _best(*every, k)
+            return tuple(c[at] for c in every)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 score = q @ _matrix(part.column(1)).T
                 if exclude_self:
                     score[query[:, None] == own[None, :]] = -np.inf
+                if wanted is not None:
+                    kinds = np.array(part.column(2).to_pylist(), object)
+                    score[(wanted[:, None] != kinds[None, :]) & np.array([w is not None for w in wanted])[:, None]] = -np.inf
                 m = min(k, score.shape[1])
                 # ties beyond the k-th place are settled by id, so take all of them
                 least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
                 r, c = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                found = pd.DataFrame({"query_id": query[r], id_: own[c], "dot": score[r, c]})
-                top = found if top is None else pd.concat([top, found])
-                top = top.sort_values(["query_id", "dot", id_], ascending=[True, False, True]).groupby("query_id").head(k)
-        if top is not None and len(top):
-            yield pa.RecordBatch.from_pandas(top, preserve_index=False)
-
-    near = rows.select(F.col(id_).cast("long").alias(id_), embedding).mapInArrow(best, f"query_id long, {id_} long, dot double")
+                waiting.append((query[r], own[c].astype(np.int64), score[r, c]))
+                held += len(r)
+                if held > BLOCK:
+                    top, waiting, held = merged([top, *waiting]), [], 0
+        top = merged([top, *waiting]) if waiting else top
+        if len(top[0]):
+            yield pa.RecordBatch.from_pydict({"query_id": top[0], id_: top[1], "dot": top[2]})
+
+    near = rows.select(F.col(id_).cast("long").alias(id_), embedding, *(["category"] if filtered else [])).mapInArrow(best, f"query_id long, {id_} long, dot double")
     order = Window.partitionBy("query_id").orderBy(F.round("dot", 9).desc(), id_)
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", id_, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot"))).alias("score"), "rank"), shared

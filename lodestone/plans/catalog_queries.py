@@ -41,8 +41,15 @@ Q["history_window"] = lambda s, d: catalog.history_window(messages(s, d))
 S["history_window"] = f"WITH {_MESSAGES} SELECT session_id, string_agg(role || ': ' || left(content, 500), chr(10) ORDER BY created_at) AS history FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC) AS n FROM m) WHERE n <= 6 GROUP BY session_id"
 Q["resolve_sessions"] = lambda s, d: catalog.resolved_sessions(table(s, d, "benchmark").select(F.col("item_id").alias("request_id"), (F.col("item_id") * 7 % 150).alias("session_id")), sessions(s, d))
 S["resolve_sessions"] = "SELECT item_id AS request_id, CASE WHEN c.conv_id IS NULL THEN 'new-' || left(sha256(item_id::VARCHAR), 16) ELSE c.conv_id::VARCHAR END AS resolved_id, c.conv_id IS NULL AS created FROM benchmark b LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id = b.item_id * 7 % 150"
-Q["valid_messages"] = lambda s, d: messages(s, d).groupBy(catalog.valid_request(F.col("content")).alias("valid")).agg(F.count("*").alias("n"))
-S["valid_messages"] = f"WITH {_MESSAGES} SELECT length(content) BETWEEN 1 AND 2000 AS valid, count(*) AS n FROM m GROUP BY 1"
+def valid_messages(s: SparkSession, d: str) -> DataFrame:
+    """Feedback and messages that may pass, and those that are put aside with the rules that they break."""
+    rows = messages(s, d).select("message_id", "content", (F.col("message_id") % 7).alias("rating"))
+    good, bad = catalog.quarantined(rows, ("length", catalog.valid_request(F.col("content"))), ("rating", catalog.valid_rating(F.col("rating"))))
+    return good.groupBy(F.lit("").alias("broken")).agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.array_join("broken", ",").alias("broken")).agg(F.count("*").alias("n")))
+
+
+Q["valid_messages"] = valid_messages
+S["valid_messages"] = f"WITH {_MESSAGES} SELECT concat_ws(',', CASE WHEN length(content) NOT BETWEEN 1 AND 2000 THEN 'length' END, CASE WHEN message_id % 7 NOT BETWEEN 1 AND 5 THEN 'rating' END) AS broken, count(*) AS n FROM m GROUP BY 1"
 Q["answer_stream"] = lambda s, d: messages(s, d).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("created_at", "content"))).getField("content"), "").alias("answer"))
 S["answer_stream"] = f"WITH {_MESSAGES} SELECT session_id, string_agg(content, '' ORDER BY created_at) AS answer FROM m GROUP BY session_id"
 
@@ -107,8 +114,11 @@ Q["upsert_articles"] = _upserted
 S["upsert_articles"] = """SELECT doc_id AS article_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE lang END AS title,
  CASE WHEN doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 'new' WHEN doc_id % 3 <> 0 THEN 'old' END AS summary, CASE WHEN doc_id % 3 <> 0 THEN 'kept' END AS llm_summary,
  CASE WHEN doc_id % 2 = 0 THEN least(50000, length(text)) ELSE length(text) END AS n FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0"""
-Q["upsert_vectors"] = lambda s, d: catalog.upsert(table(s, d, "embeddings").select("vec_id", F.lit("old").alias("v")), table(s, d, "embeddings").filter("label % 2 = 0").select(F.col("vec_id") + 100, F.lit("new").alias("v")).toDF("vec_id", "v"), "vec_id")
-S["upsert_vectors"] = "WITH n AS (SELECT vec_id + 100 AS vec_id, 'new' AS v FROM embeddings WHERE label % 2 = 0) SELECT * FROM n UNION ALL SELECT vec_id, 'old' FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n)"
+Q["upsert_vectors"] = lambda s, d: catalog.upsert(
+    table(s, d, "embeddings").select("vec_id", F.lit("old").alias("v"), F.lit(0).alias("at")),
+    table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("vec_id"), F.concat(F.lit("new "), F.col("vec_id").cast("string")).alias("v"), F.col("vec_id").cast("int").alias("at")), "vec_id", "at", "text",
+).select("vec_id", "v", "source_type")
+S["upsert_vectors"] = "WITH n AS (SELECT vec_id // 2 AS vec_id, 'new ' || max(vec_id) AS v, 'text' AS source_type FROM embeddings GROUP BY 1) SELECT * FROM n UNION ALL SELECT vec_id, 'old', NULL FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n)"
 Q["first_of_each"] = lambda s, d: catalog.first_of_each(table(s, d, "documents").select("source", "doc_id"), "source", "doc_id")
 S["first_of_each"] = "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source"
 Q["article_join"] = lambda s, d: catalog.with_article(
@@ -162,17 +172,76 @@ S["summary_statistics"] = "SELECT event_type, round(avg(value), 6) AS mean, roun
 
 
 def traces(s: SparkSession, d: str) -> DataFrame:
+    value = F.coalesce("value", F.lit(0.0)).cast("double")
     return measured(s, d).select(
         F.when(F.col("event_id") % 4 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("event_type", F.lit("x"))).alias("intents"),
-        ((F.col("event_id") % 100) / 100.0).alias("confidence"), F.lit(0.35).alias("threshold"), (F.col("event_id") % 9).alias("n_final"), F.col("value").alias("total_ms"))
-
-
-Q["trace_fan_out"] = lambda s, d: metrics.trace_samples(traces(s, d)).groupBy("name", metrics.labels_key(F.col("labels")).alias("labels")).agg(F.count("*").alias("n"))
-S["trace_fan_out"] = """SELECT 'queries_total' AS name, 'intent="' || CASE WHEN event_id % 4 = 0 THEN 'none' ELSE event_type END || '"' AS labels, count(*) AS n FROM events GROUP BY 2
- UNION ALL SELECT unnest(['confidence', 'chunks', 'latency_ms']), '', count(*) FROM events
- UNION ALL SELECT 'below_threshold_total', '', count(*) FROM events WHERE event_id % 100 / 100.0 < 0.35 UNION ALL SELECT 'empty_total', '', count(*) FROM events WHERE event_id % 9 = 0"""
-Q["exposition"] = lambda s, d: metrics.exposition(metrics.counters(metrics.trace_samples(traces(s, d)).filter("name like '%total'")), "counter").select("name", "line")
-S["exposition"] = f"""WITH c AS ({S['trace_fan_out']}), t AS (SELECT * FROM c WHERE name LIKE '%total')
- SELECT name, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY labels) = 1 THEN '# TYPE ' || name || ' counter' || chr(10) ELSE '' END || name || CASE WHEN labels <> '' THEN '{{' || labels || '}}' ELSE '' END || ' ' || n AS line FROM t"""
-Q["exposition_scan"] = lambda s, d: metrics.parse_exposition(metrics.exposition(metrics.counters(metrics.trace_samples(traces(s, d)).filter("name like '%total'")), "counter").select(F.explode(F.split("line", "\n")).alias("value"))).select("series", F.col("value").cast("long").alias("value"))
-S["exposition_scan"] = f"WITH c AS ({S['trace_fan_out']}) SELECT name || CASE WHEN labels <> '' THEN '{{' || labels || '}}' ELSE '' END AS series, n AS value FROM c WHERE name LIKE '%total'"
+        (F.col("event_id") % 3 == 0).alias("cache_hit"), (F.col("event_id") % 5 != 0).alias("understood"), ((F.col("event_id") % 100) / 100.0 >= 0.35).alias("passed"),
+        ((F.col("event_id") % 100) / 100.0).alias("confidence"), (F.col("event_id") % 9).alias("n_final"), value.alias("total_ms"),
+        F.create_map(F.lit("vector"), value * 0.5, F.lit("rerank"), value * 0.25).alias("timings"))
+
+
+def trace_fan_out(s: SparkSession, d: str) -> DataFrame:
+    rows = metrics.trace_counters(traces(s, d)).unionByName(metrics.trace_observations(traces(s, d)))
+    return rows.groupBy("name", "labels").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+Q["trace_fan_out"] = trace_fan_out
+_TRACES = """t AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'none' ELSE event_type END AS i, CASE WHEN event_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS r, event_id % 5 <> 0 AS u, event_id % 100 / 100.0 >= 0.35 AS p,
+  coalesce(value, 0)::DOUBLE AS ms, (event_id % 100 / 100.0)::DOUBLE AS conf, (event_id % 9)::DOUBLE AS k FROM events),
+c AS (SELECT 'rag_queries_total' AS name, 'cache="' || r || '",intent="' || i || '"' AS labels, 1.0::DOUBLE AS value FROM t UNION ALL SELECT 'rag_cache_total', 'result="' || r || '"', 1.0 FROM t
+  UNION ALL SELECT 'rag_query_understood_total', '', 1.0 FROM t WHERE u UNION ALL SELECT 'rag_below_threshold_total', 'intent="' || i || '"', 1.0 FROM t WHERE NOT p),
+o AS (SELECT 'rag_request_duration_ms' AS name, 'intent="' || i || '"' AS labels, ms AS value FROM t UNION ALL SELECT 'rag_stage_duration_ms', 'stage="vector"', ms * 0.5 FROM t UNION ALL SELECT 'rag_stage_duration_ms', 'stage="rerank"', ms * 0.25 FROM t
+  UNION ALL SELECT 'rag_confidence', '', conf FROM t UNION ALL SELECT 'rag_chunks_returned', '', k FROM t)"""
+S["trace_fan_out"] = f"WITH {_TRACES} SELECT name, labels, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT * FROM c UNION ALL SELECT * FROM o) GROUP BY name, labels"
+
+
+def exposition(s: SparkSession, d: str) -> DataFrame:
+    return metrics.exposition(metrics.trace_counters(traces(s, d)).groupBy("name", "labels").agg(F.sum("value").alias("value")), None, metrics.trace_histograms(metrics.trace_observations(traces(s, d))), metrics.TRACE_HELP, 12.5)
+
+
+Q["exposition"] = lambda s, d: exposition(s, d).select("kind", "name", "labels", "place", "line")
+_HELP = " ".join(f"WHEN '{n}' THEN '{h}'" for n, h in metrics.TRACE_HELP.items())
+_BOUNDS = " ".join(f"WHEN '{n}' THEN [{', '.join(map(str, b))}, 'inf'::DOUBLE]" for n, b in metrics.TRACE_BUCKETS.items())
+_BRACED = "CASE WHEN {0} <> '' THEN '{{' || {0} || '}}' ELSE '' END"
+S["exposition"] = f"""WITH {_TRACES}, cs AS (SELECT name, labels, sum(value) AS value FROM c GROUP BY ALL),
+hb AS (SELECT name, labels, le, count(*) FILTER (WHERE value <= le) AS n FROM (SELECT o.*, unnest(CASE name {_BOUNDS} END) AS le FROM o) GROUP BY ALL),
+hs AS (SELECT name, labels, sum(value) AS total, count(*) AS n FROM o GROUP BY ALL)
+SELECT 0 AS kind, name, '' AS labels, -1 AS place, '# HELP ' || name || ' ' || CASE name {_HELP} END || chr(10) || '# TYPE ' || name || ' counter' AS line FROM (SELECT DISTINCT name FROM cs)
+UNION ALL SELECT 0, name, labels, 0, name || {_BRACED.format('labels')} || ' ' || printf('%g', value) FROM cs
+UNION ALL SELECT 2, name, '', -1, '# HELP ' || name || ' ' || CASE name {_HELP} END || chr(10) || '# TYPE ' || name || ' histogram' FROM (SELECT DISTINCT name FROM hs)
+UNION ALL SELECT 2, name, labels, row_number() OVER (PARTITION BY name, labels ORDER BY le)::INT,
+  name || '_bucket{{' || CASE WHEN labels <> '' THEN labels || ',' ELSE '' END || 'le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE printf('%g', le) END || '"}} ' || n FROM hb
+UNION ALL SELECT 2, name, labels, 1000, name || '_sum' || {_BRACED.format('labels')} || ' ' || printf('%g', total) FROM hs
+UNION ALL SELECT 2, name, labels, 1001, name || '_count' || {_BRACED.format('labels')} || ' ' || n FROM hs
+UNION ALL SELECT 3, 'rag_uptime_seconds', '', -1, '# HELP rag_uptime_seconds {metrics.UPTIME_HELP}' || chr(10) || '# TYPE rag_uptime_seconds gauge'
+UNION ALL SELECT 3, 'rag_uptime_seconds', '', 0, 'rag_uptime_seconds 12.5'"""
+Q["exposition_scan"] = lambda s, d: metrics.parse_exposition(exposition(s, d).filter("kind = 0").select(F.explode(F.split("line", "\n")).alias("value"))).select("series", F.col("value").cast("long").alias("value"))
+S["exposition_scan"] = f"WITH {_TRACES} SELECT name || {_BRACED.format('labels')} AS series, count(*) AS value FROM c GROUP BY name, labels"
+
+
+def users(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.col("c_name"), F.lit("@example.org")).alias("email"), (F.col("c_custkey") % 5 != 0).alias("is_active"))
+
+
+Q["user_lookup"] = lambda s, d: catalog.users_by(users(s, d), table(s, d, "orders").select((F.col("o_custkey") * 2).alias("user_id")), "user_id").select("key", "email", "found", "active")
+S["user_lookup"] = "SELECT w.k AS key, CASE WHEN c_custkey IS NOT NULL THEN c_name || '@example.org' END AS email, c_custkey IS NOT NULL AS found, coalesce(c_custkey % 5 <> 0, false) AS active FROM (SELECT DISTINCT o_custkey * 2 AS k FROM orders) w LEFT JOIN customer ON c_custkey = w.k"
+
+
+def images(s: SparkSession, d: str) -> DataFrame:
+    """Parts stand for images; their makers for articles."""
+    return table(s, d, "part").select(F.col("p_partkey").alias("image_id"), F.concat("p_name", F.lit(".png")).alias("filename"), F.col("p_brand").alias("article_id"), F.col("p_type").alias("caption"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/i/"), F.col("p_name"))).alias("static_path"))
+
+
+Q["image_page"] = lambda s, d: catalog.image_page(images(s, d), None, 20, 30)[0].select("image_id", "filename", "article_id")
+S["image_page"] = "SELECT p_partkey AS image_id, p_name || '.png' AS filename, p_brand AS article_id FROM part ORDER BY p_partkey LIMIT 30 OFFSET 20"
+Q["image_totals"] = lambda s, d: catalog.image_page(images(s, d), "Brand#1", 0, 5)[1].unionByName(catalog.image_page(images(s, d))[1])
+S["image_totals"] = "SELECT count(*) AS total FROM part WHERE p_brand = 'Brand#1' UNION ALL SELECT count(*) FROM part"
+Q["image_join"] = lambda s, d: catalog.with_image(
+    table(s, d, "lineitem").select((F.col("l_partkey") * 2).alias("image_id"), F.lit("x.png").alias("filename"), F.lit("own").alias("caption"), F.lit(None).cast("string").alias("static_path")), images(s, d),
+).groupBy("image_id", "filename", "caption", "static_path").agg(F.count("*").alias("n"))
+S["image_join"] = """WITH i AS (SELECT p_partkey AS image_id, p_name || '.png' AS filename, p_type AS caption, CASE WHEN p_partkey % 3 = 0 THEN '/i/' || p_name END AS static_path FROM part), l AS (SELECT l_partkey * 2 AS image_id FROM lineitem)
+SELECT l.image_id, coalesce(i.filename, 'x.png') AS filename, coalesce(i.caption, 'own') AS caption, coalesce(i.static_path, '/static/images/' || coalesce(i.filename, 'x.png')) AS static_path, count(*) AS n FROM l LEFT JOIN i USING (image_id) GROUP BY ALL"""
+Q["fresh_images"] = lambda s, d: catalog.fresh_images(images(s, d).select((F.col("image_id") * 2).alias("image_id"), F.lit("local").alias("origin")), images(s, d).select("image_id", F.lit("crawled").alias("origin")))
+S["fresh_images"] = "SELECT p_partkey AS image_id, 'crawled' AS origin FROM part UNION ALL SELECT p_partkey * 2, 'local' FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part)"
+Q["store_dimension"] = lambda s, d: catalog.dimension_check(table(s, d, "embeddings"), "embedding", 64).unionByName(catalog.dimension_check(table(s, d, "embeddings"), "embedding", 65)).unionByName(catalog.dimension_check(table(s, d, "embeddings").filter("false"), "embedding", 64))
+S["store_dimension"] = "SELECT len(embedding) = 64 AS ok FROM embeddings WHERE vec_id = 0 UNION ALL SELECT false UNION ALL SELECT NULL"

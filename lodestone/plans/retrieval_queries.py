@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import context, fusion, lexical, understanding, vector
+from lodestone.functions import text as text_functions
+from lodestone.operators import context, evaluate, fusion, lexical, lineage, models, retrieval, understanding, vector
 
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOPWORDS)
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[''-][a-z0-9]+)*'), lambda t: t NOT IN (" + _STOP + "))"
@@ -32,9 +33,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _bm25_sql(k: int) -> str:
+def _bm25_sql(k: int, text: str = "coalesce(text, '')") -> str:
     return f"""
-tok AS (SELECT doc_id AS chunk_id, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents),
+tok AS (SELECT doc_id AS chunk_id, {_TOKENS.format(text)} AS t FROM documents),
 stat AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, term, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stat),
@@ -134,65 +135,58 @@ Q["vector_dimensions"] = lambda s, d: embeddings(s, d).agg(F.min(F.size("embeddi
 S["vector_dimensions"] = "SELECT min(len(embedding))::BIGINT AS least, max(len(embedding))::BIGINT AS most, count_if(len(embedding) <> 64) = 0 AS ok FROM embeddings"
 
 
-# Two rankings of the vector store: by nearness (list 0), and by nearness among vectors of the query's parity (list 1);
-# a third (list -1) stands for the lexical one: vectors of the query's label by id.
-def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embeddings(spark, sf_dir)
-    queries = vector_queries(rows)
-    near = vector.nearest(rows, queries, 40)
-    even = vector.nearest(rows.filter("vec_id % 2 = 0"), queries, 40)
-    own = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    members = rows.select("vec_id", "label").filter("vec_id < 2000")
-    lexical_ = own.join(members, "label").withColumn("rank", F.expr("row_number() over (partition by query_id order by (vec_id * 7919 + query_id) % 1009, vec_id)")).filter("rank <= 40")
-    parts = [
-        near.select("query_id", F.lit(0).alias("list"), "rank", F.col("vec_id").alias("chunk_id"), "score"),
-        even.select("query_id", F.lit(1).alias("list"), "rank", F.col("vec_id").alias("chunk_id"), "score"),
-        lexical_.select("query_id", F.lit(-1).alias("list"), "rank", F.col("vec_id").alias("chunk_id"), F.lit(None).cast("double").alias("score")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("weight", fusion.list_weights(F.col("list")))
+#: A small example of knowledge; the query's phrasings by intent are its variants.
+INTENTS = understanding.Knowledge(intents=(
+    understanding.Intent("ask", (r"\bth\w+ing\b",), ("how to ask",), ("thing", "ering"), True), understanding.Intent("be", (r"\bbe\b", r"\bbeen\b"), ("what to be",), ("be",)),
+))
+
+
+def titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks that begin with their article's title."""
+    rows = chunks(spark, sf_dir)
+    return rows.select("chunk_id", F.concat(F.lit("[Title "), F.col("article_id").cast("string"), F.lit("]\n "), text_functions.strip(F.col("text")), F.lit(" ")).alias("text"), "article_id", "chunk_index", "category")
 
 
+def retrieved(spark: SparkSession, sf_dir: str) -> retrieval.Retrieval:
+    """The benchmark's passages as queries over all documents."""
+    return retrieval.retrieve(benchmark_queries(spark, sf_dir), titled_chunks(spark, sf_dir), INTENTS, models.word_embedder(64), models.overlap_scorer)
+
+
+_TITLED = "'[Title ' || (doc_id // 5) || ']' || chr(10) || ' ' || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || ' '"
+_L, _R = r"(?i)(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+_HASHED = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64)"
+_COUNTED = "list_transform(range(0, 64), lambda x: len(list_filter(b, lambda y: y = x))::DOUBLE)"
+_UNIT = "CASE WHEN list_dot_product(c, c) > 0 THEN list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) ELSE c END"
+_SET = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
 _RANKINGS = f"""
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 20 = 0),
-dots AS (SELECT query_id, vec_id, list_dot_product(v, embedding::DOUBLE[]) AS d FROM q, embeddings e),
-l0 AS (SELECT query_id, 0 AS list, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) DESC, vec_id) AS rank, vec_id AS chunk_id, d, 0.6 AS weight FROM dots),
-l1 AS (SELECT query_id, 1 AS list, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) DESC, vec_id) AS rank, vec_id AS chunk_id, d, 0.3 AS weight FROM dots WHERE vec_id % 2 = 0),
-l2 AS (SELECT query_id, -1 AS list, row_number() OVER (PARTITION BY query_id ORDER BY (e.vec_id * 7919 + query_id) % 1009, e.vec_id) AS rank, e.vec_id AS chunk_id, 0.0 AS d, 0.4 AS weight FROM q JOIN embeddings e USING (label) WHERE e.vec_id < 2000),
-lists AS (SELECT * FROM l0 WHERE rank <= 40 UNION ALL SELECT * FROM l1 WHERE rank <= 40 UNION ALL SELECT * FROM l2 WHERE rank <= 40),
+{_bm25_sql(40, _TITLED)},
+q AS MATERIALIZED (SELECT *, regexp_matches(norm, '{_L}th[A-Za-z0-9_]+ing{_R}') AS ask, regexp_matches(norm, '{_L}be(en)?{_R}') AS be FROM (SELECT item_id AS query_id,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s''-]+', ' ', 'g'), '\\s+'), lambda t: trim(lower(t), chr(39) || '-')), lambda t: t <> ''), ' ') AS norm FROM benchmark)),
+forms AS (SELECT query_id, 0 AS list, norm AS form FROM q UNION ALL SELECT query_id, 1, CASE WHEN ask THEN 'how to ask' ELSE 'what to be' END FROM q WHERE ask OR be UNION ALL SELECT query_id, 2, 'what to be' FROM q WHERE ask AND be),
+fe AS MATERIALIZED (SELECT query_id, list, {_UNIT} AS e FROM (SELECT query_id, list, {_COUNTED} AS c FROM (SELECT query_id, list, {_HASHED.format('form')} AS b FROM forms))),
+de AS MATERIALIZED (SELECT chunk_id, {_UNIT} AS e FROM (SELECT chunk_id, {_COUNTED} AS c FROM (SELECT doc_id AS chunk_id, {_HASHED.format(_TITLED)} AS b FROM documents))),
+dots AS MATERIALIZED (SELECT query_id, list, chunk_id, list_dot_product(fe.e, de.e) AS d FROM fe, de),
+near AS (SELECT query_id, list, row_number() OVER (PARTITION BY query_id, list ORDER BY round(d, 9) DESC, chunk_id) AS rank, chunk_id, d FROM dots),
+lists AS MATERIALIZED (SELECT *, CASE WHEN list = 0 THEN 0.6 ELSE 0.3 END AS weight FROM near WHERE rank <= 40 UNION ALL SELECT query_id, -1, rank, chunk_id, NULL, 0.4 FROM bm25),
 fused AS (SELECT query_id, chunk_id, sum(weight / (60 + rank)) AS rrf_score, arg_min(list, list) AS first_list, arg_min(rank, list) AS first_rank FROM lists GROUP BY query_id, chunk_id),
-short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, first_list, first_rank, chunk_id) AS fused_rank FROM fused) WHERE fused_rank <= 16)"""
+short AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, first_list, first_rank, chunk_id) AS fused_rank FROM fused) WHERE fused_rank <= 16)"""
 
-Q["candidate_pool"] = lambda s, d: vector.pooled(rankings(s, d).filter("list >= 0").select("query_id", F.col("list").alias("variant"), "chunk_id", F.round("score", 6).alias("score"))).select(
+Q["candidate_pool"] = lambda s, d: vector.pooled(retrieved(s, d).rankings.filter("list >= 0").select("query_id", F.col("list").alias("variant"), "chunk_id", F.round("score", 6).alias("score"))).select(
     "query_id", "chunk_id", "score", F.col("first_variant").cast("long").alias("first_variant"), F.size("found_by").cast("long").alias("n_found"), "source")
 S["candidate_pool"] = f"WITH {_RANKINGS} SELECT query_id, chunk_id, max(round(least(1.0, greatest(0.0, d)), 6)) AS score, min(list)::BIGINT AS first_variant, count(DISTINCT list) AS n_found, CASE WHEN min(list) = 0 THEN 'vector' ELSE 'variant' END AS source FROM lists WHERE list >= 0 GROUP BY query_id, chunk_id"
 
-Q["rrf_fusion"] = lambda s, d: fusion.shortlist(fusion.rrf(rankings(s, d))).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
+Q["rrf_fusion"] = lambda s, d: fusion.shortlist(fusion.rrf(retrieved(s, d).rankings)).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
 S["rrf_fusion"] = f"WITH {_RANKINGS} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, fused_rank FROM short"
 
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortlist with cosine, a stand-in rerank score (a function of ids) and a boost; chunks with text and article."""
-    listed = rankings(spark, sf_dir)
-    short = fusion.shortlist(fusion.rrf(listed))
-    rows = embeddings(spark, sf_dir)
-    q = vector_queries(rows)
-    pairs = short.join(rows.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), "chunk_id").join(q, "query_id")
-    lexical_hits = listed.filter("list = -1").select("query_id", "chunk_id", F.lit(True).alias("is_lexical"))
-    pairs = pairs.join(lexical_hits, ["query_id", "chunk_id"], "left").withColumn("is_lexical", F.coalesce("is_lexical", F.lit(False)))
-    return pairs.select(
-        "query_id", "chunk_id", "rrf_score", "fused_rank", "is_lexical", F.floor(F.col("chunk_id") / 5).alias("article_id"), (F.col("chunk_id") % 5).alias("chunk_index"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), vector.dot(F.col("embedding"), F.col("q")))).alias("score"),
-        ((F.col("chunk_id") * 31 + F.col("query_id")) % 19 - 9.5).cast("double").alias("rerank_score"),
-        ((F.col("chunk_id") % 4) / 4.0).cast("double").alias("boost"),
-        F.concat(F.lit("[Title "), F.floor(F.col("chunk_id") / 5).cast("string"), F.lit("]\n passage "), (F.col("chunk_id") % 97).cast("string"), F.lit(" ")).alias("text"),
-    )
-
-
-_SCORED = _RANKINGS + """,
-cand AS (SELECT s.query_id, s.chunk_id, rrf_score, fused_rank, l.chunk_id IS NOT NULL AS is_lexical, s.chunk_id // 5 AS article_id, s.chunk_id % 5 AS chunk_index,
-  least(1.0, greatest(0.0, dots.d)) AS score, ((s.chunk_id * 31 + s.query_id) % 19 - 9.5)::DOUBLE AS rerank_score, (s.chunk_id % 4) / 4.0 AS boost,
-  'passage ' || (s.chunk_id % 97) AS body, s.chunk_id // 5 AS title
-  FROM short s JOIN dots ON dots.query_id = s.query_id AND dots.vec_id = s.chunk_id LEFT JOIN (SELECT * FROM lists WHERE list = -1) l ON l.query_id = s.query_id AND l.chunk_id = s.chunk_id),
+_SCORED = _RANKINGS + f""",
+body AS (SELECT doc_id AS chunk_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, {_TITLED} AS text FROM documents WHERE doc_id IN (SELECT chunk_id FROM short)),
+words AS (SELECT s.query_id, s.chunk_id, max(20 * len(list_intersect(x, y)) / len(x)::DOUBLE - 10) AS rerank_score FROM short s JOIN (SELECT chunk_id, {_SET.format('text')} AS y FROM body) USING (chunk_id)
+  JOIN (SELECT query_id, {_SET.format('form')} AS x FROM forms WHERE list <= 1) f ON f.query_id = s.query_id GROUP BY ALL),
+cand AS (SELECT s.query_id, s.chunk_id, rrf_score, fused_rank, l.chunk_id IS NOT NULL AS is_lexical, s.chunk_id // 5 AS article_id, s.chunk_id % 5 AS chunk_index, least(1.0, greatest(0.0, dots.d)) AS score, rerank_score,
+  CASE WHEN ask OR be THEN len(list_filter(CASE WHEN ask AND be THEN ['be', 'ering', 'thing'] WHEN ask THEN ['ering', 'thing'] ELSE ['be'] END, lambda t: contains(lower(body.text), t))) / (CASE WHEN ask AND be THEN 3 WHEN ask THEN 2 ELSE 1 END)::DOUBLE ELSE 0 END AS boost,
+  ask, body, s.chunk_id // 5 AS title
+  FROM short s JOIN dots ON dots.query_id = s.query_id AND dots.chunk_id = s.chunk_id AND dots.list = 0 JOIN body ON body.chunk_id = s.chunk_id JOIN words w ON w.query_id = s.query_id AND w.chunk_id = s.chunk_id JOIN q ON q.query_id = s.query_id
+  LEFT JOIN (SELECT * FROM lists WHERE list = -1) l ON l.query_id = s.query_id AND l.chunk_id = s.chunk_id),
 norm AS (SELECT *, CASE WHEN max(rerank_score) OVER w - min(rerank_score) OVER w < 1e-9 THEN 0.5 ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END AS nce,
   CASE WHEN max(rrf_score) OVER w - min(rrf_score) OVER w < 1e-9 THEN 0.5 ELSE (rrf_score - min(rrf_score) OVER w) / (max(rrf_score) OVER w - min(rrf_score) OVER w) END AS nrrf FROM cand WINDOW w AS (PARTITION BY query_id)),
 ordered AS (SELECT *, 0.5 * nce + 0.5 * nrrf + 0.15 * boost AS order_score FROM norm),
@@ -200,35 +194,34 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ord
   CASE WHEN NOT is_lexical AND score < 0.25 THEN 'cosine' WHEN rerank_score < -8.0 THEN 'rerank' END AS drop_reason FROM ordered),
 uniq AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, body ORDER BY ord) AS n FROM ranked WHERE drop_reason IS NULL),
 coll AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY query_id ORDER BY ord) AS position FROM uniq WHERE n = 1) WHERE position <= 10),
-adapt AS (SELECT * FROM (SELECT *, CASE WHEN round(avg(score) OVER (PARTITION BY query_id), 12) >= 0.62 THEN 3 WHEN round(avg(score) OVER (PARTITION BY query_id), 12) >= 0.45 THEN 5 ELSE 8 END AS k FROM coll) WHERE position <= least(k, 10)),
+adapt AS (SELECT * FROM (SELECT *, CASE WHEN round(avg(score) OVER (PARTITION BY query_id), 12) >= 0.62 THEN 3 WHEN round(avg(score) OVER (PARTITION BY query_id), 12) >= 0.45 THEN 5 ELSE 8 END + CASE WHEN ask THEN 2 ELSE 0 END AS k FROM coll) WHERE position <= least(k, 10)),
 arts AS (SELECT *, max(rs) OVER a + 0.4 * avg(rs) OVER a AS article_score, min(position) OVER a AS first_pos, row_number() OVER (PARTITION BY query_id, article_id ORDER BY position) AS ap
   FROM (SELECT *, (count(*) OVER (PARTITION BY query_id) - position + 1)::DOUBLE AS rs FROM adapt) WINDOW a AS (PARTITION BY query_id, article_id)),
 fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ar, ap) AS final_rank FROM
   (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY round(article_score, 9) DESC, first_pos) AS ar FROM arts) WHERE ar <= 3 AND ap <= 4)"""
 
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.blended(scored(spark, sf_dir)).withColumn("drop_reason", fusion.drop_reason(F.col("is_lexical")))
-
-
-def final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = fusion.adaptive(fusion.distinct_texts(gated(spark, sf_dir)))
-    return fusion.article_selection(chosen)
-
-
-Q["rerank_blend"] = lambda s, d: gated(s, d).select("query_id", "chunk_id", F.round("order_score", 6).alias("order_score"), F.col("ord").cast("long").alias("ord"), "drop_reason")
+Q["rerank_blend"] = lambda s, d: retrieved(s, d).gated.select("query_id", "chunk_id", F.round("order_score", 6).alias("order_score"), F.col("ord").cast("long").alias("ord"), "drop_reason")
 S["rerank_blend"] = f"WITH {_SCORED} SELECT query_id, chunk_id, round(order_score, 6) AS order_score, ord, drop_reason FROM ranked"
-Q["distinct_texts"] = lambda s, d: fusion.distinct_texts(gated(s, d)).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
+Q["distinct_texts"] = lambda s, d: retrieved(s, d).collected.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
 S["distinct_texts"] = f"WITH {_SCORED} SELECT query_id, chunk_id, position FROM coll"
-Q["adaptive_k"] = lambda s, d: fusion.adaptive(fusion.distinct_texts(gated(s, d))).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
+Q["adaptive_k"] = lambda s, d: fusion.adaptive(retrieved(s, d).collected, F.col("procedural")).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
 S["adaptive_k"] = f"WITH {_SCORED} SELECT query_id, chunk_id, position FROM adapt"
-Q["hybrid_search"] = lambda s, d: final(s, d).select("query_id", "chunk_id", "article_id", F.round("article_score", 6).alias("article_score"), F.col("final_rank").cast("long").alias("final_rank"))
+Q["hybrid_search"] = lambda s, d: retrieved(s, d).final.select("query_id", "chunk_id", "article_id", F.round("article_score", 6).alias("article_score"), F.col("final_rank").cast("long").alias("final_rank"))
 S["hybrid_search"] = f"WITH {_SCORED} SELECT query_id, chunk_id, article_id, round(article_score, 6) AS article_score, final_rank FROM fin"
-Q["confidence"] = lambda s, d: fusion.confidence(vector_queries(embeddings(s, d)), final(s, d)).select("query_id", F.round("confidence", 6).alias("confidence"), (F.col("confidence") >= fusion.threshold(F.col("query_id") % 40 == 0)).alias("passes"))
-S["confidence"] = f"WITH {_SCORED}, c AS (SELECT q.query_id, coalesce(avg(score), 0.0) AS confidence FROM q LEFT JOIN fin USING (query_id) GROUP BY q.query_id) SELECT query_id, round(confidence, 6) AS confidence, confidence >= CASE WHEN query_id % 40 = 0 THEN 0.30 ELSE 0.35 END AS passes FROM c"
-Q["citations"] = lambda s, d: context.citations(final(s, d)).select("query_id", "article_id", "chunk_id", F.col("citation").cast("long").alias("citation"))
+
+
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieved(spark, sf_dir)
+    sure = fusion.confidence(found.queries, found.final).join(found.queries.select("query_id", "understood"), "query_id")
+    return sure.select("query_id", F.round("confidence", 6).alias("confidence"), (F.col("confidence") >= fusion.threshold(F.col("understood"))).alias("passes"))
+
+
+Q["confidence"] = confidence
+S["confidence"] = f"WITH {_SCORED}, c AS (SELECT q.query_id, coalesce(avg(score), 0.0) AS confidence FROM q LEFT JOIN fin USING (query_id) GROUP BY q.query_id) SELECT query_id, round(confidence, 6) AS confidence, confidence >= CASE WHEN ask OR be THEN 0.30 ELSE 0.35 END AS passes FROM c JOIN q USING (query_id)"
+Q["citations"] = lambda s, d: context.citations(retrieved(s, d).final).select("query_id", "article_id", "chunk_id", F.col("citation").cast("long").alias("citation"))
 S["citations"] = f"WITH {_SCORED} SELECT query_id, article_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS citation FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY final_rank) AS n FROM fin) WHERE n = 1"
-Q["group_adjacent"] = lambda s, d: context.group_adjacent(final(s, d)).select("query_id", "article_id", "chunk_index", "n_chunks", F.col("final_rank").cast("long").alias("final_rank"), F.round("score", 6).alias("score"), "text")
+Q["group_adjacent"] = lambda s, d: context.group_adjacent(retrieved(s, d).final).select("query_id", "article_id", "chunk_index", "n_chunks", F.col("final_rank").cast("long").alias("final_rank"), F.round("score", 6).alias("score"), "text")
 S["group_adjacent"] = f"""WITH {_SCORED}, isl AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, article_id ORDER BY chunk_index) AS island FROM fin),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id, island ORDER BY chunk_index) AS m FROM isl)
 SELECT query_id, article_id, min(chunk_index) AS chunk_index, count(*) AS n_chunks, min(final_rank) AS final_rank, round(arg_min(score, final_rank), 6) AS score,
@@ -236,8 +229,9 @@ SELECT query_id, article_id, min(chunk_index) AS chunk_index, count(*) AS n_chun
 
 
 def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = final(spark, sf_dir).select("*", F.concat(F.lit("Title "), F.col("article_id").cast("string")).alias("title"), F.concat(F.lit("u/"), F.col("article_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("category"), F.lit("").alias("summary"))
-    return context.with_sentinel(vector_queries(embeddings(spark, sf_dir)), context.context_by_article(rows))
+    found = retrieved(spark, sf_dir)
+    rows = found.final.drop("category").select("*", F.concat(F.lit("Title "), F.col("article_id").cast("string")).alias("title"), F.concat(F.lit("u/"), F.col("article_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("category"), F.lit("").alias("summary"))
+    return context.with_sentinel(found.queries, context.context_by_article(rows))
 
 
 Q["article_context"] = article_context
@@ -247,9 +241,56 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS n
 c AS (SELECT query_id, string_agg('--- Article ' || no || ': Title ' || article_id || chr(10) || 'Category: General' || chr(10) || body || chr(10) || 'Source: u/' || article_id || chr(10) || '---', chr(10) ORDER BY no) AS context FROM n GROUP BY query_id)
 SELECT q.query_id, coalesce(context, '{context.NO_CONTEXT}') AS context FROM q LEFT JOIN c USING (query_id)"""
 
-Q["retrieval_funnel"] = lambda s, d: fusion.funnel({"n_vector": rankings(s, d).filter("list = 0"), "n_lexical": rankings(s, d).filter("list = -1"), "n_fused": fusion.rrf(rankings(s, d)), "n_final": final(s, d)}, vector_queries(embeddings(s, d)))
-S["retrieval_funnel"] = f"""WITH {_SCORED} SELECT query_id, (SELECT count(*) FROM lists l WHERE l.query_id = q.query_id AND list = 0) AS n_vector, (SELECT count(*) FROM lists l WHERE l.query_id = q.query_id AND list = -1) AS n_lexical,
- (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) AS n_fused, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id) AS n_final FROM q"""
+
+
+def retrieval_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieved(spark, sf_dir)
+    images = vector.nearest(embeddings(spark, sf_dir).filter("label = 0"), vector_queries(embeddings(spark, sf_dir)), 6).filter(F.col("score") >= fusion.IMAGE_FLOOR).filter("rank <= 3")
+    return fusion.funnel({
+        "n_vector": found.rankings.filter("list = 0"), "n_lexical": found.rankings.filter("list = -1"), "n_fused": fusion.rrf(found.rankings),
+        "n_after_rerank": found.gated.filter("drop_reason is null"), "n_final": found.final, "n_images": images,
+    }, found.queries)
+
+
+Q["retrieval_funnel"] = retrieval_funnel
+S["retrieval_funnel"] = f"""WITH {_SCORED}, im AS (SELECT query_id FROM (SELECT a.vec_id AS query_id, list_dot_product(a.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
+  FROM embeddings a, embeddings e WHERE a.vec_id % 20 = 0 AND e.label = 0) WHERE rank <= 3 AND d >= 0.30)
+ SELECT query_id, (SELECT count(*) FROM lists l WHERE l.query_id = q.query_id AND list = 0) AS n_vector, (SELECT count(*) FROM lists l WHERE l.query_id = q.query_id AND list = -1) AS n_lexical,
+ (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) AS n_fused, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id AND drop_reason IS NULL) AS n_after_rerank, (SELECT count(*) FROM fin f WHERE f.query_id = q.query_id) AS n_final,
+ (SELECT count(*) FROM im WHERE im.query_id = q.query_id) AS n_images FROM q"""
+
+
+def shortlist_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """strategy, hits_at_1, hits_at_k, leaks of three ways to choose six candidates; a query's own passage is in documents that share eight words in a row with it."""
+    found = retrieved(spark, sf_dir)
+    items = benchmark_queries(spark, sf_dir)
+    right = evaluate.contained(items.select(F.col("query_id").alias("left_id"), F.col("query").alias("text")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), "text"), 0.0)
+    expected = lineage.cut(right.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("chunk_id")))
+    out = None
+    for strategy in ("mmr", "rrf", "cos"):
+        chosen = fusion.shortlist_by(strategy, found.candidates, 6)
+        hit = chosen.join(expected.withColumn("right", F.lit(True)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min(F.when(F.col("right"), F.col("picked"))).alias("first"))
+        known = expected.select("query_id").distinct().withColumn("known", F.lit(True))
+        row = hit.join(known, "query_id", "left").agg(
+            F.count_if(F.col("first") == 1).alias("hits_at_1"), F.count("first").alias("hits_at_k"), F.count_if(F.col("known").isNull()).alias("leaks"),
+        ).select(F.lit(strategy).alias("strategy"), "hits_at_1", "hits_at_k", "leaks")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+Q["shortlist_strategies"] = shortlist_strategies
+
+
+def category_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every query vector, within the query's own label where its id is a multiple of 40."""
+    rows = embeddings(spark, sf_dir).withColumn("category", F.col("label").cast("string"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 40 == 0, F.col("category")).alias("category"))
+    return vector.nearest(rows, asked, 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+Q["category_search"] = category_search
+S["category_search"] = """SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
+ FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND (q.vec_id % 40 <> 0 OR q.label = e.label)) WHERE rank <= 10"""
 
 
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:

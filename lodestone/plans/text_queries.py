@@ -59,17 +59,17 @@ S["classify_intents"] = rf"SELECT doc_id, concat_ws(',', CASE WHEN regexp_matche
 
 def results(s: SparkSession, d: str) -> DataFrame:
     """query_id, rank, article_id: a stand-in ranking, ten rows a query, derived from labels."""
-    ids = table(s, d, "labels").select("doc_id").filter("doc_id % 4 = 0")
+    ids = table(s, d, "labels").select("doc_id")
     return ids.select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).withColumn("article_id", (F.col("query_id") * 7 + F.col("rank") * F.col("rank")) % 23)
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
-    ids = table(s, d, "labels").filter("doc_id % 4 = 0")
+    ids = table(s, d, "labels")
     kind = F.when(F.col("doc_id") % 12 == 0, "offtopic").when(F.col("quality") == 1, "covered").otherwise("typo")
     return ids.select(F.col("doc_id").alias("query_id"), kind.alias("kind"), F.when(kind == "offtopic", F.expr("cast(array() as array<bigint>)")).otherwise(F.array((F.col("doc_id") * 7 + 4) % 23, F.col("doc_id") % 23)).alias("expected"))
 
 
-_RESULTS = "res AS (SELECT doc_id AS query_id, rank, (doc_id * 7 + rank * rank) % 23 AS article_id FROM labels, (SELECT unnest(range(1, 11)) AS rank) WHERE doc_id % 4 = 0), cas AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 12 = 0 THEN 'offtopic' WHEN quality = 1 THEN 'covered' ELSE 'typo' END AS kind, CASE WHEN doc_id % 12 = 0 THEN []::BIGINT[] ELSE [(doc_id * 7 + 4) % 23, doc_id % 23] END AS expected FROM labels WHERE doc_id % 4 = 0)"
+_RESULTS = "res AS (SELECT doc_id AS query_id, rank, (doc_id * 7 + rank * rank) % 23 AS article_id FROM labels, (SELECT unnest(range(1, 11)) AS rank)), cas AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 12 = 0 THEN 'offtopic' WHEN quality = 1 THEN 'covered' ELSE 'typo' END AS kind, CASE WHEN doc_id % 12 = 0 THEN []::BIGINT[] ELSE [(doc_id * 7 + 4) % 23, doc_id % 23] END AS expected FROM labels)"
 _QUALITY = _RESULTS + """, got AS (SELECT query_id, list(article_id ORDER BY rank) AS got FROM res GROUP BY query_id),
 qual AS (SELECT query_id, kind, CASE WHEN len(expected) = 0 THEN (len(got) = 0)::INT::DOUBLE ELSE len(list_intersect(got, expected)) / len(expected)::DOUBLE END AS recall,
  CASE WHEN len(expected) = 0 THEN (len(got) = 0)::INT::DOUBLE ELSE len(list_filter(got, lambda a: list_contains(expected, a))) / len(got)::DOUBLE END AS precision FROM cas JOIN got USING (query_id))"""
@@ -84,15 +84,18 @@ S["confidence_separation"] = f"WITH {_RESULTS} SELECT round(avg(CASE WHEN kind =
 
 
 def grouped(s: SparkSession, d: str) -> DataFrame:
-    got = results(s, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "article_id"))).getField("article_id").alias("articles"))
-    return got.select((F.col("query_id") % 20).alias("group"), F.col("query_id").alias("phrasing"), "articles")
-
-
-Q["stability"] = lambda s, d: evaluate.stability(grouped(s, d)).select("group", F.round("mean_overlap", 6).alias("mean_overlap"), F.round("least_overlap", 6).alias("least_overlap"), "agree")
-S["stability"] = f"""WITH {_RESULTS}, g AS (SELECT query_id % 20 AS "group", query_id AS p, list(article_id ORDER BY rank) AS x FROM res GROUP BY query_id),
-o AS (SELECT a."group", len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE AS o FROM g a JOIN g b ON a."group" = b."group" AND a.p < b.p)
-SELECT "group", round(avg(o), 6) AS mean_overlap, round(min(o), 6) AS least_overlap, (SELECT count(DISTINCT x[1]) = 1 FROM g WHERE g."group" = o."group") AS agree FROM o GROUP BY "group" """
-Q["benchmark_containment"] = lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(evaluate.word_shingles(F.col("text"))).alias("g")).join(table(s, d, "documents").select("doc_id", F.explode(evaluate.word_shingles(F.col("text"))).alias("g")), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    """Five labels in a row are the phrasings of one question; their articles in order of first occurrence."""
+    first = results(s, d).groupBy("query_id", "article_id").agg(F.min("rank").alias("rank"))
+    got = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "article_id"))).getField("article_id").alias("articles"))
+    return got.select(F.floor(F.col("query_id") / 5).alias("group"), F.col("query_id").alias("phrasing"), "articles", (F.col("query_id") % 97 / 97.0).alias("confidence"))
+
+
+Q["stability"] = lambda s, d: evaluate.stability(grouped(s, d)).select("group", "n_queries", F.round("mean_overlap", 6).alias("mean_overlap"), F.round("least_overlap", 6).alias("least_overlap"), "agree", F.round("spread", 6).alias("spread"))
+S["stability"] = f"""WITH {_RESULTS}, g AS (SELECT query_id // 5 AS "group", query_id AS p, query_id % 97 / 97.0 AS c, list(article_id ORDER BY rank) AS x FROM (SELECT query_id, article_id, min(rank) AS rank FROM res GROUP BY ALL) GROUP BY query_id),
+o AS (SELECT a."group", len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE AS o FROM g a JOIN g b ON a."group" = b."group" AND a.p < b.p),
+m AS (SELECT "group", avg(o) AS mean, min(o) AS least FROM o GROUP BY ALL)
+SELECT "group", count(*) AS n_queries, round(coalesce(any_value(mean), 0.0), 6) AS mean_overlap, round(coalesce(any_value(least), 0.0), 6) AS least_overlap, count(DISTINCT x[1]) = 1 AS agree, round(max(c) - min(c), 6) AS spread FROM g LEFT JOIN m USING ("group") GROUP BY "group" """
+Q["benchmark_containment"] = lambda s, d: evaluate.contained(table(s, d, "benchmark").select(F.col("item_id").alias("left_id"), "text"), table(s, d, "documents").select(F.col("doc_id").alias("right_id"), "text"), 0.0).select(F.col("left_id").alias("item_id"), F.col("right_id").alias("doc_id"), "shared")
 S["benchmark_containment"] = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM w), bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM b)
 SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL"""
@@ -100,10 +103,23 @@ Q["contained_passages"] = lambda s, d: evaluate.contained(table(s, d, "benchmark
 S["contained_passages"] = S["benchmark_containment"].rsplit("\n", 1)[0] + f""", p AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL),
 bn AS (SELECT item_id, count(*) AS a FROM bg GROUP BY item_id), dn AS (SELECT doc_id, count(*) AS b FROM dg GROUP BY doc_id)
 SELECT item_id, doc_id, shared, round(shared / least(a, b)::DOUBLE, 6) AS share FROM p JOIN bn USING (item_id) JOIN dn USING (doc_id) WHERE shared / least(a, b)::DOUBLE > {evaluate.CONTAINED}"""
-Q["token_jaccard"] = lambda s, d: table(s, d, "documents").select("doc_id", F.split("text", " ").alias("a"), F.split("lang", " ").alias("b")).select("doc_id", F.round(jaccard(F.slice("a", 1, 5), F.slice("a", 3, 5)), 6).alias("j"))
-S["token_jaccard"] = "WITH t AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents) SELECT doc_id, round(len(list_intersect(a[1:5], a[3:7])) / len(list_distinct(list_concat(a[1:5], a[3:7])))::DOUBLE, 6) AS j FROM t"
-Q["declined_answers"] = lambda s, d: table(s, d, "conversations").filter("role = 'assistant'").groupBy(evaluate.declined(F.col("text")).alias("declined")).agg(F.count("*").alias("n"))
-S["declined_answers"] = "SELECT " + " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in evaluate.DECLINE_CUES) + " OR (contains(lower(text), 'help desk') AND NOT regexp_matches(text, '(?m)^\\s*\\d+[.)]') AND length(text) < 700) AS declined, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1"
+def passage_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts of a passage and each document that shares a run of eight words with it."""
+    found = evaluate.contained(table(s, d, "benchmark").select(F.col("item_id").alias("left_id"), "text"), table(s, d, "documents").select(F.col("doc_id").alias("right_id"), "text"), 0.0).select("left_id", "right_id")
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("a"))
+    return found.join(items, "left_id").join(table(s, d, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("b")), "right_id").select(F.col("left_id").alias("item_id"), F.col("right_id").alias("doc_id"), "a", "b")
+
+
+_PASSAGES = S["benchmark_containment"].rsplit("\n", 1)[0] + """, pp AS (SELECT DISTINCT item_id, doc_id FROM bg JOIN dg USING (g)),
+pt AS (SELECT pp.item_id, pp.doc_id, bb.text AS a, dd.text AS b FROM pp JOIN benchmark bb USING (item_id) JOIN documents dd USING (doc_id))"""
+Q["token_jaccard"] = lambda s, d: passage_pairs(s, d).select("item_id", "doc_id", F.round(jaccard(F.split("a", " "), F.split("b", " ")), 6).alias("j"))
+S["token_jaccard"] = f"{_PASSAGES} SELECT item_id, doc_id, round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))::DOUBLE, 6) AS j FROM pt"
+Q["declined_answers"] = lambda s, d: table(s, d, "conversations").filter("role = 'assistant'").groupBy(evaluate.declined(F.col("text")).alias("declined"), evaluate.llm_failed(F.col("text")).alias("failed")).agg(F.count("*").alias("n"))
+_CUES = lambda cues: "(" + " OR ".join("contains(lower(text), '" + c.replace("'", "''") + "')" for c in cues) + ")"
+S["declined_answers"] = f"SELECT {_CUES(evaluate.DECLINE_CUES)} OR ({_CUES(evaluate.HELP_DESK)} AND NOT regexp_matches(text, '(?i)(^|\\n)\\s*(?:\\d+[.)]|step\\s+\\d)') AND length(text) < 700) AS declined, {_CUES(evaluate.FAILURE_CUES)} AS failed, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL".replace("\\\\", "\\")
+Q["answer_grounding"] = lambda s, d: passage_pairs(s, d).select("item_id", "doc_id", F.round(F.nanvl(evaluate.grounding(F.col("a"), F.col("b")), F.lit(-1.0)), 6).alias("grounding"))
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in evaluate.FILLER) + ")))"
+S["answer_grounding"] = f"{_PASSAGES}, tt AS (SELECT item_id, doc_id, {_TERMS.format('a')} AS x, {_TERMS.format('b')} AS y FROM pt) SELECT item_id, doc_id, round(CASE WHEN len(x) < 8 THEN -1.0 ELSE len(list_intersect(x, y)) / len(x)::DOUBLE END, 6) AS grounding FROM tt"
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
@@ -123,38 +139,43 @@ def load(s: SparkSession, d: str) -> DataFrame:
 
 Q["load_summary"] = lambda s, d: evaluate.load_summary(load(s, d)).select("users", "requests", F.round("error_rate", 6).alias("error_rate"), F.round("throughput", 6).alias("throughput"))
 S["load_summary"] = "SELECT user_id % 4 * 10 + 10 AS users, count(*) AS requests, round(avg((event_id % 9 = 0)::INT), 6) AS error_rate, round(count_if(event_id % 9 <> 0) / 100.0, 6) AS throughput FROM events GROUP BY 1"
-Q["error_taxonomy"] = lambda s, d: load(s, d).filter("not ok").groupBy(evaluate.error_kind(F.col("status"), F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
-S["error_taxonomy"] = "SELECT CASE WHEN s = 429 THEN 'rate_limit' WHEN s >= 500 THEN 'server' WHEN s >= 400 THEN 'client' END AS kind, count(*) AS n FROM (SELECT event_id % 5 * 100 + 200 AS s FROM events WHERE event_id % 9 = 0) GROUP BY 1"
+Q["error_taxonomy"] = lambda s, d: table(s, d, "events").filter("event_id % 3 = 0").select(
+    F.when(F.col("event_id") % 2 == 0, F.get(F.array(*map(F.lit, (429, 404, 500, 503, 200))), (F.col("event_id") % 5).cast("int"))).alias("status"),
+    F.get(F.array(*map(F.lit, ("ReadTimeout", "ConnectTimeout", "PoolTimeout", "ConnectError", "ValueError"))), (F.col("event_id") % 5).cast("int")).alias("exception"),
+).groupBy(evaluate.error_kind(F.col("status"), F.col("exception")).alias("kind")).agg(F.count("*").alias("n"))
+S["error_taxonomy"] = """SELECT CASE WHEN s = 429 THEN 'rate_limited' WHEN s >= 500 THEN 'server_error' WHEN s >= 400 THEN 'other' WHEN e IN ('ReadTimeout', 'ConnectTimeout', 'PoolTimeout') THEN 'timeout' WHEN e = 'ConnectError' THEN 'connection' ELSE 'other' END AS kind, count(*) AS n
+FROM (SELECT CASE WHEN event_id % 2 = 0 THEN [429, 404, 500, 503, 200][event_id % 5 + 1] END AS s, ['ReadTimeout', 'ConnectTimeout', 'PoolTimeout', 'ConnectError', 'ValueError'][event_id % 5 + 1] AS e FROM events WHERE event_id % 3 = 0) GROUP BY 1"""
 Q["saturation"] = lambda s, d: evaluate.saturation(evaluate.load_summary(load(s, d)).withColumn("p95", F.col("users") / 3.0)).select("best_users", "plateau", "first_miss")
-S["saturation"] = f"WITH l AS ({S['load_summary']}) SELECT arg_max(users, throughput) AS best_users, true AS plateau, min(CASE WHEN users / 3.0 > 10 THEN users END) AS first_miss FROM l"
-Q["workload"] = lambda s, d: evaluate.workload(table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("level"), (F.col("r_regionkey") * 10 + 10).cast("int").alias("users")), 3, 19).select(*[F.col(c).cast("long").alias(c) for c in ("level", "user", "request", "q_index")])
-S["workload"] = 'SELECT r_regionkey::BIGINT AS level, u AS "user", q AS request, ((u * 3 + q + r_regionkey * 7) % 19)::BIGINT AS q_index FROM region, LATERAL (SELECT unnest(range(0, r_regionkey * 10 + 10)) AS u), (SELECT unnest(range(0, 3)) AS q)'
+S["saturation"] = f"WITH l AS ({S['load_summary']}) SELECT arg_max(users, (throughput, -users)) AS best_users, coalesce((SELECT max(throughput) FROM l k WHERE k.users > (SELECT arg_max(users, (throughput, -users)) FROM l)) <= max(throughput), false) AS plateau, min(CASE WHEN users / 3.0 > 10 THEN users END) AS first_miss FROM l"
+Q["workload"] = lambda s, d: evaluate.workload(table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("level"), (F.col("r_regionkey") * 10 + 10).cast("int").alias("users")), 3, 19).select(*[F.col(c).cast("long").alias(c) for c in ("level", "user", "request", "q_index")], "suffix")
+S["workload"] = """SELECT r_regionkey::BIGINT AS level, u AS "user", q AS request, ((u * 3 + q + r_regionkey * 7) % 19)::BIGINT AS q_index, ' (ref ' || r_regionkey || '-' || u || '-' || q || ')' AS suffix FROM region, LATERAL (SELECT unnest(range(0, r_regionkey * 10 + 10)) AS u), (SELECT unnest(range(0, 3)) AS q)"""
 Q["rate_limit"] = lambda s, d: streams.rate_limited(table(s, d, "events").select(F.col("user_id").alias("client"), "ts", "event_id"), 2, "1 hour").groupBy("client").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("rejected"))
 S["rate_limit"] = "SELECT user_id AS client, count_if(n <= 2)::BIGINT AS admitted, count_if(n > 2)::BIGINT AS rejected FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id"
 Q["window_counts"] = lambda s, d: streams.window_counts(table(s, d, "events").select(F.col("user_id").alias("client"), "ts"), "1 hour")
 S["window_counts"] = "SELECT user_id AS client, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2"
-Q["null_frames"] = lambda s, d: streams.without_null_frames(table(s, d, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), F.concat(F.when(F.col("turn") % 2 == 0, F.lit("data: null\n\n")).otherwise(F.lit("")), F.lit("data: x\n\n")).alias("text")))
-S["null_frames"] = "SELECT conv_id AS stream, repeat('data: x' || chr(10) || chr(10), count(*)) AS text FROM conversations GROUP BY conv_id"
+Q["null_frames"] = lambda s, d: streams.without_null_frames(table(s, d, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), F.concat(F.when(F.col("turn") % 2 == 0, F.lit(" data: null\r\n\r\n")).otherwise(F.lit("")), F.lit("data: x\r\n\n")).alias("text")))
+S["null_frames"] = "SELECT conv_id AS stream, repeat('data: x' || chr(13) || chr(10) || chr(10), count(*)) AS text FROM conversations GROUP BY conv_id"
 Q["cache_replay"] = lambda s, d: streams.cache_replay(table(s, d, "events").select(F.col("event_type").alias("cache"), F.unix_timestamp("ts").cast("double").alias("at"), F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("key")), 16, 3600.0)
 
 
 def _run(s: SparkSession, d: str) -> ingest.Run:
-    """Even documents are ingested over a store that holds the multiples of three."""
+    """All documents are ingested over a store that holds the multiples of three."""
     rows = articles(s, d).withColumn("updated_at", F.lit(2))
     stored = rows.filter("article_id % 3 = 0").select("article_id", "title", "url", "category", F.lit(1).alias("chunk_count"), F.col("text").alias("raw_content"), F.lit("old").alias("summary"), F.lit(1).alias("updated_at"), F.lit(None).cast("string").alias("llm_summary"), F.lit(None).cast("int").alias("llm_summary_at"))
     chunks = rows.select("article_id", F.explode(F.array(F.lit(0), F.lit(100_000))).alias("i")).select("article_id", F.concat(F.col("article_id").cast("string"), F.lit("_chunk_"), F.col("i").cast("string")).alias("chunk_id"))
-    return ingest.run(rows.filter("article_id % 2 = 0"), stored, chunks)
+    return ingest.run(rows, stored, chunks)
 
 
 Q["ingest_report"] = lambda s, d: _run(s, d).report
 Q["ingest_stale"] = lambda s, d: _run(s, d).stale.select("chunk_id")
-S["ingest_stale"] = "SELECT doc_id || '_chunk_100000' AS chunk_id FROM documents WHERE doc_id % 2 = 0 AND trim(coalesce(text, '')) <> ''"
+S["ingest_stale"] = "SELECT doc_id || '_chunk_100000' AS chunk_id FROM documents WHERE trim(coalesce(text, '')) <> ''"
 Q["store_summary"] = lambda s, d: ingest.store_summary(articles(s, d))
 S["store_summary"] = "SELECT count(*) AS n, count(DISTINCT doc_id) AS articles, count(DISTINCT source) AS categories FROM documents"
 Q["embed_texts"] = lambda s, d: table(s, d, "documents").select("doc_id", models.embedding(models.hashing_embedder())("text").alias("embedding"))
 Q["pair_scores"] = lambda s, d: models.reranked(table(s, d, "benchmark").select(F.lit(0).alias("query_id"), F.col("item_id").alias("chunk_id"), F.array(F.lit("the on"), F.lit("and of")).alias("forms"), "text"), models.overlap_scorer)
-Q["shared_words"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(evaluate.shared_words(F.substring("text", 1, 200), F.substring("text", 201, 200))).cast("long").alias("n"))
-S["shared_words"] = "SELECT doc_id, len(list_distinct(list_intersect(list_filter(regexp_extract_all(lower(text[1:200]), '[a-z0-9]+'), lambda w: length(w) > 2), list_filter(regexp_extract_all(lower(text[201:400]), '[a-z0-9]+'), lambda w: length(w) > 2))))::BIGINT AS n FROM documents"
+Q["shared_words"] = lambda s, d: passage_pairs(s, d).select("item_id", "doc_id", F.size(evaluate.shared_words(F.col("a"), F.col("b"))).cast("long").alias("n"))
+_WORDS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 2)"
+S["shared_words"] = f"{_PASSAGES} SELECT item_id, doc_id, len(list_distinct(list_intersect({_WORDS.format('a')}, {_WORDS.format('b')})))::BIGINT AS n FROM pt"
 Q["little_law"] = lambda s, d: evaluate.little_law(table(s, d, "region").select((F.col("r_regionkey") * 10).cast("long").alias("users"), (F.col("r_regionkey") * 2).cast("double").alias("latency_s"))).select("users", F.round("throughput", 6).alias("throughput"))
 S["little_law"] = "SELECT (r_regionkey * 10)::BIGINT AS users, CASE WHEN r_regionkey > 0 THEN round(r_regionkey * 10 / (r_regionkey * 2.0), 6) END AS throughput FROM region"
 
@@ -170,5 +191,7 @@ S["parameter_sweep"] = f"""WITH {_RESULTS}, c AS (SELECT query_id, article_id AS
 m AS (SELECT *, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(weight * a + (1 - weight) * b, 9) DESC, chunk_id) AS rank FROM c, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS weight)),
 h AS (SELECT weight, query_id, min(rank) AS first FROM m JOIN (SELECT query_id, unnest(expected) AS chunk_id FROM cas) e USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY ALL)
 SELECT weight, count_if(first = 1)::BIGINT AS hits_at_1, count(*) AS hits_at_k FROM h GROUP BY weight"""
-Q["score_parity"] = lambda s, d: evaluate.parity(table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("item"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") + F.col("l_linenumber") * 1e-7).cast("double").alias("b"))).select((F.col("max_diff") < 1e-5).alias("close"))
-S["score_parity"] = "SELECT max(abs(l_linenumber * 1e-7)) < 1e-5 AS close FROM lineitem"
+Q["score_parity"] = lambda s, d: evaluate.parity(table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("item"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") + F.col("l_linenumber") * 1e-7).cast("double").alias("b"))).select(F.round("max_diff", 9).alias("max_diff"), "same_order", "ok")
+S["score_parity"] = """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, (l_quantity + l_linenumber * 1e-7)::DOUBLE AS b FROM lineitem),
+k AS (SELECT a, b, row_number() OVER (PARTITION BY l_orderkey ORDER BY a DESC, l_linenumber) AS ra, row_number() OVER (PARTITION BY l_orderkey ORDER BY b DESC, l_linenumber) AS rb FROM r)
+SELECT round(max(abs(a - b)), 9) AS max_diff, bool_and(ra = rb) AS same_order, max(abs(a - b)) < 1e-5 AND bool_and(ra = rb) AS ok FROM k"""

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import or_else
+
 # Link forms and image kinds.
 ARTICLE_LINK = r"(?i)knowledgebase\.php\?article=(\d+)"
 CATEGORY_LINK = r"(?i)knowledgebase\.php\?category=(\d+)"
@@ -42,11 +44,27 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_folder(spark: SparkSession, path: str, metadata: DataFrame) -> DataFrame:
-    """Images of a folder with what a side table (filename, image_id, caption, alt_text, article_id, category, keywords) says of them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"))
-    kept = files.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(*IMAGE_KINDS))
+    """Images of a folder with what a side table (filename, image_id, caption, alt_text, article_id, category, keywords) says of them.
+
+    filepath is the path within the file system; an image without an id is named by its hash.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "").alias("filepath")).withColumn("filename", F.element_at(F.split("filepath", "/"), -1))
+    kept = named.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(*IMAGE_KINDS))
     j = kept.join(metadata, "filename", "left")
-    return j.withColumn("image_id", F.coalesce(F.nullif("image_id", F.lit("")), F.substring(F.sha2("path", 256), 1, 16))).withColumn("caption", F.coalesce(F.nullif("caption", F.lit("")), F.col("filename")))
+    filled = j.withColumn("image_id", or_else(F.col("image_id"), F.substring(F.sha2("filepath", 256), 1, 16))).withColumn("caption", F.coalesce("caption", "filename"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    described = F.concat_ws(" | ", "caption", blank("alt_text"), blank("category"), F.concat(F.lit("article "), blank("article_id")))
+    return filled.withColumns({"static_path": F.concat(F.lit("/static/images/"), F.col("filename")), "embed_text": described})
+
+
+def inline_images(sources: DataFrame) -> DataFrame:
+    """image_id, extension, data of data addresses (src) that can be decoded; an unknown kind is .png."""
+    kind = F.lower(F.regexp_extract("src", r"^data:image/([a-zA-Z0-9.+-]+)", 1))
+    body = F.expr(r"try_to_binary(regexp_replace(regexp_extract(src, '^data:image/[^,]*;base64,(.*)$', 1), '\\s', ''), 'base64')")
+    known = F.create_map(*[F.lit(x) for k, e in {"png": ".png", "jpeg": ".jpg", "jpg": ".jpg", "gif": ".gif", "webp": ".webp", "svg+xml": ".svg"}.items() for x in (k, e)])
+    rows = sources.select("src", F.coalesce(F.try_element_at(known, kind), F.lit(".png")).alias("extension"), body.alias("data")).filter("src rlike '^data:image/[^,]*;base64,' and octet_length(data) > 0")
+    return rows.select(F.substring(F.sha2(F.sha2("data", 256), 256), 1, 16).alias("image_id"), "extension", "data")
 
 
 def static_path(path: Column, filename: Column) -> Column:

@@ -18,14 +18,17 @@ def reassembled(tokens: DataFrame) -> DataFrame:
 def without_null_frames(chunks: DataFrame) -> DataFrame:
     """stream, text: `data: null` lines and the one blank line after each are gone, all else is as it was.
 
-    Chunks (stream, seq, text) may split anywhere, so lines are looked at after joining.
+    Lines are compared without the white space around them.  Chunks (stream, seq, text) may split
+    anywhere, so lines are looked at after joining; what stands after the last newline goes only if it is a null frame.
     """
     lines = reassembled(chunks).select("stream", F.split("answer", "\n").alias("l"))
+    bare = lines.select("*", F.transform("l", lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")).alias("t"))
+    last = F.size("l") - 1
     keep = F.filter(
-        F.transform("l", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda e: (e["x"] != "data: null") & ~((e["x"] == "") & (e["i"] > 0) & (F.get("l", e["i"] - 1) == "data: null") & (e["i"] < F.size("l") - 1)),
+        F.transform("l", lambda x, i: F.struct(F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x).alias("x"), i.alias("i"))),
+        lambda e: (F.get("t", e["i"]) != "data: null") & ~((F.get("t", e["i"]) == "") & (e["i"] > 0) & (F.get("t", e["i"] - 1) == "data: null") & (e["i"] < last)),
     )
-    return lines.select("stream", F.array_join(F.transform(keep, lambda e: e["x"]), "\n").alias("text"))
+    return bare.select("stream", F.array_join(F.transform(keep, lambda e: e["x"]), "").alias("text"))
 
 
 def rate_limited(events: DataFrame, limit: int, window: str = "1 minute") -> DataFrame:

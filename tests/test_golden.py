@@ -167,7 +167,7 @@ def test_store(spark, tmp_path):
 
 
 def test_evaluation_helpers(spark):
-    assert one(spark, evaluate.declined(F.lit("Sorry, I couldn't find that."))) is True
+    assert one(spark, evaluate.declined(F.lit("Sorry, I don't have that."))) is True
     assert one(spark, evaluate.declined(F.lit("1. Contact the help desk"))) is False
     assert one(spark, evaluate.token_usage(F.lit('{"prompt_tokens": 5, "completion_tokens": 7}'))).asDict() == {"input": 5, "output": 7}
 
