@@ -516,6 +516,33 @@ def test_language_id(spark):
     assert [got[i]._lang_pred for i in (80, 81, 82, 83)] == ["und", "und", "und", "aa"]
 
 
+def test_language_distance_by_definition(spark):
+    """Predictions and scores against a plain rank-order comparison, with ties and repeated rows."""
+    rng = random.Random(31)
+    vocab = {"aa": ["the", "and", "ing", "tion"], "bb": ["und", "schen", "ver"], "cc": ["les", "aux", "tre"]}
+    train = [(prose(rng, 30, vocab[x]), x) for x in ("aa", "bb", "cc") for _ in range(8)] * 2
+    tests = [prose(rng, rng.randint(1, 40), vocab[rng.choice(["aa", "bb", "cc"])]) for _ in range(30)] + ["a", "zz", "Q1 q", prose(rng, 40_000, vocab["bb"]), "the und les"]
+    known = langid.profiles(documents(spark, [t for t, _ in train], [x for _, x in train]), F.lit(True))
+
+    def ranking(texts):
+        found = collections.Counter()
+        for t in texts:
+            u = "".join(c.lower() if c.isalpha() else " " for c in t)
+            u = re.sub(" +", " ", u)
+            found.update(g for n in (1, 2, 3) for k in range(len(u) - n + 1) if (g := u[k : k + n]) != " ")
+        code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+        return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], code(x[0])))][: langid.PROFILE]
+
+    profiles = {x: {g: k for k, g in enumerate(ranking([t for t, y in train if y == x]))} for x in vocab}
+    got = {r.doc_id: r for r in langid.identify(documents(spark, tests), known).collect()}
+    for i, t in enumerate(tests):
+        own = ranking([t])
+        cost = {x: sum(min(abs(p[g] - k), langid.PROFILE) if g in p else langid.PROFILE for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert got[i]._lang_pred == best, (t[:40], cost)
+        assert got[i]._lang_score == pytest.approx(1 - cost[best] / (langid.PROFILE * len(own)))
+
+
 def test_quality_counts(spark, texts):
     more = ["a b c a b c a b c", "x\nx\n \n\nx y\nx", "# $ * | <>", "a a a a", "one two three", "a b c x a b c"]
     all_ = texts + more
@@ -649,6 +676,96 @@ def test_toxicity(spark):
     assert right >= 0.95 and all(0 <= s <= 1 for s in got.values()) and len(got) == 602
 
 
+def test_toxicity_forward_pass_and_gradient():
+    """Scores against plain loops, and the direction of a training step against numeric differences."""
+    rng = np.random.default_rng(7)
+    kept = np.arange(5, 45, dtype=np.int32)
+    n = 1 + len(toxicity.PREFIXES)
+    model = toxicity.Model(
+        kept, rng.normal(size=(len(kept) + 2, toxicity.DIM)).astype(np.float32), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), 0.3, 0.5,
+    )
+    model.embed[toxicity.PAD] = 0
+    docs = [rng.integers(0, 42, (k, n)).astype(np.int32) for k in (0, 1, 2, 3, 17)]
+    want = []
+    for d in docs:
+        rows = np.vstack([d, np.zeros((max(toxicity.WIDTHS) - 1 + (len(d) == 0), n), np.int32)])
+        x = model.embed[rows].sum(axis=1)
+        pooled = []
+        for w, b in zip(model.conv, model.bias, strict=True):
+            windows = [sum(x[i + k] @ w[k] for k in range(len(w))) + b for i in range(len(rows) - len(w) + 1)]
+            pooled.append(np.max(windows, axis=0))
+        want.append(np.maximum(np.concatenate(pooled), 0) @ model.out + model.out_bias)
+    assert np.allclose(model.logits(docs), want, rtol=1e-3, atol=1e-3)
+    assert np.allclose(model.logits(docs[3:]), want[3:], rtol=1e-3, atol=1e-3)
+    y = np.array([1, 0, 1, 0, 1], np.float32)
+
+    def loss():
+        p = 1 / (1 + np.exp(-model.logits(docs)))
+        return float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
+
+    before = loss()
+    toxicity._train(model, docs, y, np.random.default_rng(1), 60)
+    assert loss() < 0.5 * before
+
+
+def test_toxicity_threshold_is_the_best_f1():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        p, y, w = rng.random(40).round(1), (rng.random(40) < 0.4).astype(float), np.where(rng.random(40) < 0.5, 1.0, 3.0)
+        if not y.sum():
+            continue
+        f1 = lambda t: 2 * (w * y * (p >= t)).sum() / ((w * (p >= t)).sum() + (w * y).sum())
+        assert f1(toxicity._threshold(p, y, w)) == pytest.approx(max(f1(t) for t in p))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 5)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 6)
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 60)
+    docs = documents(spark, ["x" * (12 if i else 100) for i in range(40)] + [None])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(41)] + [(3, 1, 1), (None, 1, 1), (5, 1, None), (7, 1, 9)], "doc_id long, quality long, toxic long")
+    rows, weight = toxicity.sampled(docs, labels, F.lit(True))
+    got = rows.collect()
+    for kind, most in ((0, 5), (1, 5)):
+        own = [r for r in got if r.toxic == kind]
+        assert 0 < len(own) <= most and sum(len(r.text) for r in own) <= 60
+    assert weight == pytest.approx((21 / 6) / (21 / 5))
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _lang_pred string, _Tox_Score double, _ld_own int, _ld_bad string, gone int"
+
+
+def test_very_long_repeated_and_clashing_rows(spark, texts):
+    public = pytest.importorskip("public_tokenizers")
+    long = prose(random.Random(2), 150_000)
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", 1, "p", 0.5, i, "b", 1) for i, t in enumerate([*ODD, long, long, texts[20], texts[20]])]
+    docs = spark.createDataFrame(rows + rows[-2:], CLASH)
+    found = langid.identify(docs, langid.profiles(docs, F.lit(True)))
+    assert found.count() == 14 and found.columns[:-2] == docs.columns and len({r[-2:] for r in found.filter("doc_id in (8, 9)").collect()}) == 1
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality long, toxic long")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, F.lit(True)))
+    assert scored.columns[:-1] == docs.columns and scored.count() == 14
+    assert len({round(r[-1], 9) for r in scored.filter("doc_id in (8, 9)").collect()}) == 1  # equal texts have equal scores
+    cleaned = line_dedup.remove_boilerplate(docs, ratio=0.1, min_pages=2)
+    assert cleaned.columns[:-1] == docs.columns and cleaned.count() == 14
+    assert minhash.one_of_each(docs, 5, 80).columns == docs.columns
+    judged = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert judged[8].n_words == 150_000 and judged[8].kept == judged[9].kept
+    coded = bpe.round_trip(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).filter("doc_id >= 8").collect()
+    assert all(r.decoded.decode() == rows[r.doc_id][1] for r in coded) and len(coded) == 6
+    talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_turns(talk)).head()
+    assert (r.n_turns, r.loss_chars) == (3, 2 * len(long))
+
+
+def test_empty_conversations_and_codec(spark):
+    public = pytest.importorskip("public_tokenizers")
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, piece string")
+    assert chat.read_back(chat.format_turns(none)).count() == 0 and chat.expand(chat.format_turns(none)).count() == 0
+    assert bpe.round_trip(documents(spark, []), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", "c d"])
     model = toxicity.train(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality long, toxic long"), F.lit(True))
