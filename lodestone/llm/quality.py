@@ -146,119 +146,122 @@ def _quantiles(rows: DataFrame, by: list[str], bin_: Column, shares: dict[str, f
     return running.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for name, q in shares.items()])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of groups, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+def _held(df: DataFrame, few: bool) -> DataFrame:
+    """A checkpointed table of groups, in a few parts if it is small."""
+    return common.checkpointed(df.coalesce(4) if few else df)
+
+
+def _joined(rows: DataFrame, groups: DataFrame, on: Column, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(groups) if few else groups, on)
+
+
+# The following build SQL text: as column objects, the thousands of terms of all steps take longer to build than to run.
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
 def with_cholesky(params: DataFrame, scale: float) -> DataFrame:
     """grp, start, m_i, l_i_j (Cholesky factor of scatter * scale plus floors) and log_det from m_i and c_i_j."""
-    floors = [f * f for f in FLOORS.values()]
     out = params
-    for j in range(_P):
-        diag = F.greatest(F.col(f"c_{j}_{j}") * scale, F.lit(floors[j])) - sum((F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(diag, F.lit(floors[j] / 4))))
-        out = out.withColumns({
-            f"l_{i}_{j}": (F.col(f"c_{i}_{j}") * scale - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}_{j}")
-            for i in range(j + 1, _P)
-        })
-    return out.select("grp", "start", *_M, *_L, reduce(lambda a, b: a + b, [2 * F.log(F.col(f"l_{i}_{i}")) for i in range(_P)]).alias("log_det"))
-
-
-def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows with start and d2, a row for each start of params (checkpointed) of its group; by forward substitution."""
-    own = params.select(F.col("grp").alias("p_grp"), "start", *_M, *_L)
-    out = rows.join(_small(own), F.col("grp") == F.col("p_grp"))
+    for j, floor in enumerate(FLOORS.values()):
+        taken = "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j))
+        out = out.selectExpr("*", f"sqrt(greatest(greatest(c_{j}_{j} * {scale}D, {floor**2}D){taken}, {floor**2 / 4}D)) AS l_{j}_{j}")
+        out = out.selectExpr("*", *[
+            f"(c_{i}_{j} * {scale}D" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j)) + f") / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, _P)
+        ])
+    return out.selectExpr("grp", "start", *_M, *_L, " + ".join(f"2 * ln(l_{i}_{i})" for i in range(_P)) + " AS log_det")
+
+
+def distances(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """rows with start and d2, a row for each start of params (checkpointed) of its group; by forward substitution.
+
+    few: params has at most BROADCAST_GROUPS rows.
+    """
+    out = _joined(rows, params.select(F.col("grp").alias("p_grp"), "start", *_M, *_L), F.col("grp") == F.col("p_grp"), few)
     for i, name in enumerate(FLOORS):
-        inner = sum((F.col(f"l_{i}_{j}") * F.col(f"z_{j}") for j in range(i)), F.lit(0.0))
-        out = out.withColumn(f"z_{i}", (F.col(name) - F.col(f"m_{i}") - inner) / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, "start", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]).alias("d2"))
+        out = out.selectExpr("*", f"({name} - m_{i}" + "".join(f" - l_{i}_{j} * z_{j}" for j in range(i)) + f") / l_{i}_{i} AS z_{i}")
+    return out.selectExpr(*rows.columns, "start", " + ".join(f"z_{i} * z_{i}" for i in range(_P)) + " AS d2")
 
 
-def moments(rows: DataFrame, weight: Column) -> DataFrame:
+def moments(rows: DataFrame, weight: str) -> DataFrame:
     """grp, tongue, start, w (sum of weights), m_i and c_i_j of the rows."""
     names = list(FLOORS)
-    sums = [F.sum(weight * F.col(n)).alias(f"s_{i}") for i, n in enumerate(names)]
-    sums += [F.sum(weight * F.col(names[i]) * F.col(names[j])).alias(f"e_{i}_{j}") for i in range(_P) for j in range(i + 1)]
-    got = rows.groupBy("grp", "tongue", "start").agg(F.sum(weight).alias("w"), *sums).filter("w > 0")
-    got = got.select("*", *[(F.col(f"s_{i}") / F.col("w")).alias(f"m_{i}") for i in range(_P)])
-    return got.select("grp", "tongue", "start", "w", *_M, *[(F.col(f"e_{i}_{j}") / F.col("w") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i in range(_P) for j in range(i + 1)])
+    sums = [f"sum(({weight}) * {n}) AS s_{i}" for i, n in enumerate(names)] + [f"sum(({weight}) * {names[i]} * {names[j]}) AS e_{i}_{j}" for i, j in _PAIRS]
+    got = rows.groupBy("grp", "tongue", "start").agg(F.expr(f"sum({weight}) AS w"), *map(F.expr, sums)).filter("w > 0")
+    return got.selectExpr("grp", "tongue", "start", "w", *[f"s_{i} / w AS m_{i}" for i in range(_P)], *[f"e_{i}_{j} / w - (s_{i} / w) * (s_{j} / w) AS c_{i}_{j}" for i, j in _PAIRS])
 
 
-def shrunk(own: DataFrame) -> DataFrame:
+def shrunk(own: DataFrame, few: bool) -> DataFrame:
     """grp, tongue, start, m_i, c_i_j of moments (checkpointed), drawn towards the language's and these towards all documents'."""
-    pair = [(i, j) for i in range(_P) for j in range(i + 1)]
+    sums = [f"sum(w * m_{i}) AS s_{i}" for i in range(_P)] + [f"sum(w * (c_{i}_{j} + m_{i} * m_{j})) AS e_{i}_{j}" for i, j in _PAIRS]
 
     def pooled(by: list[str], mark: str) -> DataFrame:
         """w, m, c of all the groups' rows together, named with a mark."""
-        sums = [F.sum(F.col("w") * F.col(f"m_{i}")).alias(f"s_{i}") for i in range(_P)]
-        sums += [F.sum(F.col("w") * (F.col(f"c_{i}_{j}") + F.col(f"m_{i}") * F.col(f"m_{j}"))).alias(f"e_{i}_{j}") for i, j in pair]
-        got = own.groupBy(*by).agg(F.sum("w").alias("n"), *sums)
-        means = [(F.col(f"s_{i}") / F.col("n")).alias(f"{mark}m_{i}") for i in range(_P)]
-        return got.select(*[F.col(c).alias(mark + c) for c in by], F.col("n").alias(f"{mark}w"), *means, *[
-            (F.col(f"e_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")).alias(f"{mark}c_{i}_{j}") for i, j in pair])
+        got = own.groupBy(*by).agg(F.expr("sum(w) AS n"), *map(F.expr, sums))
+        return got.selectExpr(
+            *[f"{c} AS {mark}{c}" for c in by], f"n AS {mark}w", *[f"s_{i} / n AS {mark}m_{i}" for i in range(_P)],
+            *[f"e_{i}_{j} / n - (s_{i} / n) * (s_{j} / n) AS {mark}c_{i}_{j}" for i, j in _PAIRS])
 
-    def drawn(w: str, a: str, b: str) -> Column:
-        return (F.col(w) * F.col(a) + SHRINKAGE * F.col(b)) / (F.col(w) + SHRINKAGE)
+    def drawn(w: str, a: str, b: str, name: str) -> str:
+        return f"({w} * {a} + {float(SHRINKAGE)}D * {b}) / ({w} + {float(SHRINKAGE)}D) AS {name}"
 
-    tongues, every = common.checkpointed(pooled(["tongue", "start"], "t")), pooled(["start"], "a")
+    tongues, every = pooled(["tongue", "start"], "t"), pooled(["start"], "a")
     # one row a start
-    tongues = tongues.join(F.broadcast(every), F.col("tstart") == F.col("astart")).select("ttongue", "tstart", *[drawn("tw", f"t{c}", f"a{c}").alias(f"t{c}") for c in (*_M, *_C)])
-    tongues = common.checkpointed(tongues)
-    joined = own.join(_small(tongues), (F.col("tongue") == F.col("ttongue")) & (F.col("start") == F.col("tstart")))
-    return joined.select("grp", "tongue", "start", *[drawn("w", c, f"t{c}").alias(c) for c in (*_M, *_C)])
+    tongues = tongues.join(F.broadcast(every), F.expr("tstart = astart")).selectExpr("ttongue", "tstart", *[drawn("tw", f"t{c}", f"a{c}", f"t{c}") for c in (*_M, *_C)])
+    joined = _joined(own, tongues, F.expr("tongue = ttongue and start = tstart"), few)
+    return joined.selectExpr("grp", "tongue", "start", *[drawn("w", c, f"t{c}", c) for c in (*_M, *_C)])
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Moments of each group's starts: 0 from quartiles, 1 of all rows, the others of about START_SIZE random rows each."""
+def starts(rows: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+    """Moments of each group's starts (sizes: n_grp, n): 0 from quartiles, 1 of all rows, the others of about START_SIZE random rows each."""
     stacked = rows.select("grp", "tongue", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(n).alias("x")) for i, n in enumerate(FLOORS)])).alias("v")).select("grp", "tongue", "v.*")
     found = _quantiles(stacked, ["grp", "tongue", "which"], F.floor(F.col("x") * _BINS), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     quartiles = found.groupBy("grp", "tongue").agg(
         *[F.max(F.when(F.col("which") == i, (F.col("q2") + 0.5) / _BINS)).alias(f"m_{i}") for i in range(_P)],
         *[F.max(F.when(F.col("which") == i, F.pow((F.col("q3") - F.col("q1")) / _BINS / 1.349, F.lit(2)))).alias(f"c_{i}_{i}") for i in range(_P)],
     )
-    sizes = common.checkpointed(rows.groupBy(F.col("grp").alias("n_grp")).agg(F.count("*").alias("n")))
-    quartiles = quartiles.join(_small(sizes), F.col("grp") == F.col("n_grp")).withColumn("w", F.col("n").cast("double")).withColumn("start", F.lit(0))
+    quartiles = _joined(quartiles, sizes, F.col("grp") == F.col("n_grp"), few).withColumn("w", F.col("n").cast("double")).withColumn("start", F.lit(0))
     quartiles = quartiles.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(_P) for j in range(i)})
-    sized = rows.join(_small(sizes), F.col("grp") == F.col("n_grp"))
+    sized = _joined(rows, sizes, F.col("grp") == F.col("n_grp"), few)
     share = F.greatest(F.lit(1), F.floor(F.col("n") / START_SIZE))
     chosen = F.filter(F.sequence(F.lit(1), F.lit(1 + STARTS)), lambda s: (s == 1) | (F.pmod(F.xxhash64("doc_id", "s_words", "s_length", s), share) == 0))
-    drawn = moments(sized.select("grp", "tongue", *FLOORS, F.explode(chosen).alias("start")), F.lit(1.0))
+    drawn = moments(sized.select("grp", "tongue", *FLOORS, F.explode(chosen).alias("start")), "1.0D")
     names = ["grp", "tongue", "start", "w", *_M, *_C]
     return quartiles.select(names).unionByName(drawn.select(names))
 
 
-def concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+def concentrated(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """Moments of the closest CORE of each group's rows, for each start of params (checkpointed)."""
-    binned = distances(rows, params).withColumn("bin", F.floor(_LOG_BINS * F.log(F.col("d2") + 1e-6)))
+    binned = distances(rows, params, few).withColumn("bin", F.floor(_LOG_BINS * F.log(F.col("d2") + 1e-6)))
     counted = binned.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
     order = Window.partitionBy("grp", "start").orderBy("bin")  # some hundred bins a group
     running = counted.select("*", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), (CORE * F.sum("n").over(Window.partitionBy("grp", "start"))).alias("core"))
     at = running.filter((F.col("upto") >= F.col("core")) & (F.col("upto") - F.col("n") < F.col("core")))
-    limits = common.checkpointed(at.select(F.col("grp").alias("l_grp"), F.col("start").alias("l_start"), F.col("bin").alias("limit"), ((F.col("core") - F.col("upto") + F.col("n")) / F.col("n")).alias("part")))
-    closest = binned.join(_small(limits), (F.col("grp") == F.col("l_grp")) & (F.col("start") == F.col("l_start"))).filter(F.col("bin") <= F.col("limit"))
-    return moments(closest, F.when(F.col("bin") < F.col("limit"), F.lit(1.0)).otherwise(F.col("part")))
+    limits = at.select(F.col("grp").alias("l_grp"), F.col("start").alias("l_start"), F.col("bin").alias("limit"), ((F.col("core") - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))
+    closest = _joined(binned, limits, (F.col("grp") == F.col("l_grp")) & (F.col("start") == F.col("l_start")), few).filter(F.col("bin") <= F.col("limit"))
+    return moments(closest, "if(bin < limit, 1.0D, part)")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """grp, start, m_i, l_i_j, log_det: each group's minimum-covariance-determinant estimate; checkpointed.
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """grp, start, m_i, l_i_j, log_det: each group's minimum-covariance-determinant estimate (checkpointed), and whether they are few.
 
     rows: checkpointed, with grp, tongue (the language's group) and the statistics.
     """
-    fitted = lambda own, scale: common.checkpointed(with_cholesky(shrunk(common.checkpointed(own)), scale))
-    params = fitted(starts(rows), 1.0)
+    sizes = common.checkpointed(rows.groupBy(F.col("grp").alias("n_grp")).agg(F.count("*").alias("n")))
+    few = sizes.count() * (2 + STARTS) <= BROADCAST_GROUPS
+    fitted = lambda own, scale: _held(with_cholesky(shrunk(_held(own, few), few), scale), few)
+    params = fitted(starts(rows, sizes, few), 1.0)
     for _ in range(START_STEPS):
-        params = fitted(concentrated(rows, params), CONSISTENCY)
-    best = Window.partitionBy("grp").orderBy("log_det", "start")  # 2 + STARTS rows a group
-    params = common.checkpointed(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"))
+        params = fitted(concentrated(rows, params, few), CONSISTENCY)
+    best = Window.partitionBy("grp").orderBy(F.round("log_det", 6), "start")  # 2 + STARTS rows a group
+    params = _held(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), few)
     for _ in range(STEPS - START_STEPS):
-        after = fitted(concentrated(rows, params), CONSISTENCY)
+        after = fitted(concentrated(rows, params, few), CONSISTENCY)
         before = params.select(F.col("grp").alias("b_grp"), F.col("log_det").alias("b_det"))
-        moving = after.join(before, F.col("grp") == F.col("b_grp")).filter(F.col("b_det") - F.col("log_det") > CONVERGED)
+        moving = _joined(after, before, F.col("grp") == F.col("b_grp"), few).filter(F.col("b_det") - F.col("log_det") > CONVERGED)
         params = after
         if moving.isEmpty():
             break
-    return params
+    return params, few
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -267,7 +270,7 @@ def judged(docs: DataFrame) -> DataFrame:
     stats = statistics(counts(docs)).select("*", F.xxhash64(named("lang"), F.lit("|"), named("source")).alias("grp"), F.xxhash64(named("lang")).alias("tongue"))
     stats = common.checkpointed(stats)
     rows = stats.filter("not base_failed")
-    found = distances(rows, estimates(rows)).drop("start")
+    found = distances(rows, *estimates(rows)).drop("start")
     failed = stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return found.unionByName(failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

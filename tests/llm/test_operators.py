@@ -583,8 +583,8 @@ def test_cholesky_distance(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) * 3
     rows = stat_rows(spark, {1: x})
-    params = quality.with_cholesky(quality.moments(rows.withColumn("start", F.lit(0)), F.lit(1.0)), 1.0)
-    got = np.array([r.d2 for r in quality.distances(rows, params).collect()])
+    params = quality.with_cholesky(quality.moments(rows.withColumn("start", F.lit(0)), "1.0D"), 1.0)
+    got = np.array([r.d2 for r in quality.distances(rows, params, True).collect()])
     mean, cov = x.mean(axis=0), np.cov(x.T, bias=True)
     want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
     assert np.allclose(np.sort(got), np.sort(want), rtol=1e-6)
@@ -602,8 +602,8 @@ def test_chi_square():
 def test_shrinkage(spark):
     rng = np.random.default_rng(2)
     groups = {g: rng.normal(size=(n, 5)) + g for g, n in ((0, 300), (2, 8), (1, 40), (3, 1))}
-    own = quality.moments(stat_rows(spark, groups).withColumn("start", F.lit(0)), F.lit(1.0)).cache()
-    got = {r.grp: r for r in quality.shrunk(own).collect()}
+    own = quality.moments(stat_rows(spark, groups).withColumn("start", F.lit(0)), "1.0D").cache()
+    got = {r.grp: r for r in quality.shrunk(own, True).collect()}
     k = quality.SHRINKAGE
 
     def both(x):
@@ -628,7 +628,7 @@ def test_minimum_covariance_determinant(spark, monkeypatch):
     for g in (0, 1):
         clean = rng.normal(size=(400, 5)) @ np.diag([2.0, 1.5, 3.0, 1.0, 1.2]) + 5
         groups[g] = np.concatenate([clean, rng.normal(size=(90, 5)) * 0.3 + [30, 5, 5, -20, 5]])
-    got = {r.grp: r for r in quality.estimates(stat_rows(spark, groups)).collect()}
+    got = {r.grp: r for r in quality.estimates(stat_rows(spark, groups))[0].collect()}
     for g, x in groups.items():
         h = int(quality.CORE * len(x))
         best = np.inf
