@@ -93,22 +93,27 @@ class Ids:
             self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, coded, strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        split, plain, other = [], set(), set()
-        for t in texts:
+        if len(self.memo) > MEMO_SIZE:
+            self.memo.clear()
+        known = self.memo.__getitem__
+        out: list[bytes] = []
+        late, plain, other = [], set(), set()  # texts with new words, and these words
+        for i, t in enumerate(texts):
             foreign = _FOREIGN(t) is not None
             words = t.replace("\n", " ").replace("\t", " ").split(" ") if foreign else _PRETOKENS(t.lower())
-            split.append(words)
-            (other if foreign else plain).update(words)
-        if len(memo) > MEMO_SIZE:
-            memo.clear()
-        plain.difference_update(memo)
-        other.difference_update(memo)
-        self._learn(list(plain), list(other - plain))
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for w in (*plain, *other):
-            if len(w) > MEMO_CHARS:
-                memo.pop(w, None)
+            try:
+                out.append(b"".join(map(known, words)))
+            except KeyError:
+                out.append(b"")
+                late.append((i, words))
+                (other if foreign else plain).update(w for w in words if w not in self.memo)
+        if late:
+            self._learn(list(plain), list(other - plain))
+            for i, words in late:
+                out[i] = b"".join(map(known, words))
+            for w in (*plain, *other):
+                if len(w) > MEMO_CHARS:
+                    self.memo.pop(w, None)
         return out
 
 
