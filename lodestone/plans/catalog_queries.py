@@ -243,5 +243,14 @@ S["image_join"] = """WITH i AS (SELECT p_partkey AS image_id, p_name || '.png' A
 SELECT l.image_id, coalesce(i.filename, 'x.png') AS filename, coalesce(i.caption, 'own') AS caption, coalesce(i.static_path, '/static/images/' || coalesce(i.filename, 'x.png')) AS static_path, count(*) AS n FROM l LEFT JOIN i USING (image_id) GROUP BY ALL"""
 Q["fresh_images"] = lambda s, d: catalog.fresh_images(images(s, d).select((F.col("image_id") * 2).alias("image_id"), F.lit("local").alias("origin")), images(s, d).select("image_id", F.lit("crawled").alias("origin")))
 S["fresh_images"] = "SELECT p_partkey AS image_id, 'crawled' AS origin FROM part UNION ALL SELECT p_partkey * 2, 'local' FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part)"
-Q["store_dimension"] = lambda s, d: catalog.dimension_check(table(s, d, "embeddings"), "embedding", 64).unionByName(catalog.dimension_check(table(s, d, "embeddings"), "embedding", 65)).unionByName(catalog.dimension_check(table(s, d, "embeddings").filter("false"), "embedding", 64))
-S["store_dimension"] = "SELECT len(embedding) = 64 AS ok FROM embeddings WHERE vec_id = 0 UNION ALL SELECT false UNION ALL SELECT NULL"
+
+
+def store_dimension(s: SparkSession, d: str) -> DataFrame:
+    """Whether vectors have 64 numbers, 65 numbers, and what an empty store says."""
+    rows = table(s, d, "embeddings")
+    checks = catalog.dimension_check(rows, "embedding", 64).unionByName(catalog.dimension_check(rows, "embedding", 65)).unionByName(catalog.dimension_check(rows.filter("false"), "embedding", 64))
+    return checks.select(F.coalesce(F.col("ok").cast("string"), F.lit("unknown")).alias("ok"))
+
+
+Q["store_dimension"] = store_dimension
+S["store_dimension"] = "SELECT (len(embedding) = 64)::VARCHAR AS ok FROM embeddings WHERE vec_id = 0 UNION ALL SELECT 'false' UNION ALL SELECT 'unknown'"
