@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality, syncmers, toxicity
+from lodestone.llm import bpe, chat, langid, licenses, line_dedup, minhash, packing, quality, suffix_dedup, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_quality_outliers": quality.op8_quality_outliers,
     "op4_license_scan": licenses.op4_license_scan,
+    "op13_suffix_array_dedup": suffix_dedup.op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
