@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, divergence, langid, licenses, line_dedup, minhash, packing, quality, suffix_dedup, syncmers, toxicity
+from lodestone.llm import bpe, chat, divergence, langid, licenses, line_dedup, merkle, minhash, packing, quality, suffix_dedup, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": syncmers.op1_document_fingerprints,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_outliers": quality.op8_quality_outliers,
     "op4_license_scan": licenses.op4_license_scan,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_suffix_array_dedup": suffix_dedup.op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
