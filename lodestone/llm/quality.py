@@ -5,8 +5,8 @@ For each (language, source) the minimum covariance determinant gives a centre an
 scatter that a minority of bad documents cannot move.  Several starts (quartiles, all
 documents, and small random sets) are concentrated side by side: all documents'
 distances, then the mean and covariance of the closest CORE of them, whose determinant
-falls with each step.  After START_STEPS the start with the smallest determinant goes on
-until no group's determinant falls any more.  A document is rejected when its squared
+falls with each step.  After START_STEPS the start with the smallest determinant goes on, for
+as many steps as its group's determinant falls; a group that has converged is left alone.  A document is rejected when its squared
 Mahalanobis distance exceeds CUT, the chi-square quantile that REJECTED of normal
 documents pass.
 
@@ -42,9 +42,9 @@ from lodestone.llm import common
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated three-word windows
 #: Share of a group that the scatter is taken from, and of normal documents beyond CUT.
 CORE, REJECTED = 0.75, 2e-5
-#: Random starts, about how many documents each is taken from, and steps before the best start is chosen and in all.
-STARTS, START_SIZE, START_STEPS, STEPS = 3, 24, 2, 10
-#: A determinant that falls by a smaller share has converged.
+#: Random starts, about how many documents each is taken from, and steps before the best start is chosen.
+STARTS, START_SIZE, START_STEPS = 3, 24, 2
+#: A group whose determinant falls by a smaller share has converged.
 CONVERGED = 1e-3
 #: Documents that a group's language (a language's corpus) counts as in its estimate.
 SHRINKAGE = 50
@@ -248,20 +248,27 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     """
     sizes = common.checkpointed(rows.groupBy(F.col("grp").alias("n_grp")).agg(F.count("*").alias("n")))
     few = sizes.count() * (2 + STARTS) <= BROADCAST_GROUPS
-    fitted = lambda own, scale: _held(with_cholesky(shrunk(_held(own, few), few), scale), few)
-    params = fitted(starts(rows, sizes, few), 1.0)
+    fitted = lambda held, scale: _held(with_cholesky(shrunk(held, few), scale), few)
+    own = _held(starts(rows, sizes, few), few)
+    params = fitted(own, 1.0)
     for _ in range(START_STEPS):
-        params = fitted(concentrated(rows, params, few), CONSISTENCY)
+        own = _held(concentrated(rows, params, few), few)
+        params = fitted(own, CONSISTENCY)
     best = Window.partitionBy("grp").orderBy(F.round("log_det", 6), "start")  # 2 + STARTS rows a group
-    params = _held(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), few)
-    for _ in range(STEPS - START_STEPS):
-        after = fitted(concentrated(rows, params, few), CONSISTENCY)
-        before = params.select(F.col("grp").alias("b_grp"), F.col("log_det").alias("b_det"))
-        moving = _joined(after, before, F.col("grp") == F.col("b_grp"), few).filter(F.col("b_det") - F.col("log_det") > CONVERGED)
-        params = after
-        if moving.isEmpty():
-            break
-    return params, few
+    params = params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
+    own, params = _held(own.join(params.select("grp", "start"), ["grp", "start"]).withColumn("start", F.lit(0)), few), _held(params.withColumn("start", F.lit(0)), few)
+    # a group whose determinant no longer falls keeps its estimate and is done; each step lowers some, and all are bounded below by FLOORS
+    moving = params
+    while True:
+        moved = _held(concentrated(rows, moving, few), few)
+        after = fitted(moved.unionByName(own.join(moved.select("grp"), "grp", "left_anti").select(moved.columns)), CONSISTENCY)
+        fallen = after.join(moving.select("grp", F.col("log_det").alias("before")), "grp").filter(F.col("before") - F.col("log_det") > CONVERGED)
+        fallen = _held(fallen.select(params.columns), few)
+        if fallen.isEmpty():
+            return params, few
+        own = _held(moved.join(fallen.select("grp"), "grp", "left_semi").unionByName(own.join(fallen.select("grp"), "grp", "left_anti").select(moved.columns)), few)
+        params = _held(fallen.unionByName(params.join(fallen.select("grp"), "grp", "left_anti")), few)
+        moving = fallen
 
 
 def judged(docs: DataFrame) -> DataFrame:
