@@ -1,8 +1,11 @@
 """Line removal by site-relative frequency (operator 5).
 
 A line of a host is boilerplate when the share of the host's pages that contain it
-exceeds RATIO, on at least MIN_PAGES pages.  Pages are counted once a line, however
-often it repeats inside.  For `documents` the host is the source.
+exceeds RATIO with confidence: its lower limit at CONFIDENCE standard deviations
+(n - 1 > RATIO * N + CONFIDENCE * sqrt(N * RATIO * (1 - RATIO)), the normal limit with continuity
+correction) does.  The limit tightens by itself where pages are few: three pages of three are
+boilerplate, four of nine, 13 of 100, 1,028 of 18,700; a line of a single page never is.  Pages
+are counted once a line, however often it repeats inside.  For `documents` the host is the source.
 
 Counting pre-aggregates (host, line hash) before the shuffle, so a host with most
 pages or a line on most pages is no single task's work.  A host has at most
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-RATIO, MIN_PAGES = 0.05, 10
+#: Share of a host's pages, and standard deviations (99.9 %, one-sided) by which a line must exceed it.
+RATIO, CONFIDENCE = 0.05, 3.09
 #: Largest total of boilerplate hashes and hosts (about 8 and 40 bytes) that is broadcast; beyond it the hosts are joined by a shuffle.
 BROADCAST_LINES = 500_000
 #: Parts that a host's rows are dealt into when hosts are joined by a shuffle.
@@ -38,22 +42,23 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, confidence: float = CONFIDENCE) -> DataFrame:
     """host, lines: hashes of each host's boilerplate lines."""
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(_BLANK)), line_key))
     # the null line counts the pages themselves, so one pass serves both counts
     rows = pages.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(lines, F.array().cast("array<bigint>")))).alias("line"))
     counts = rows.groupBy("host", "line").agg(F.count("*").alias("n"))
-    counts = common.checkpointed(counts.filter((F.col("n") >= min_pages) | F.col("line").isNull()))
+    counts = common.checkpointed(counts.filter((F.col("n") > 1) | F.col("line").isNull()))
     totals = counts.filter("line is null").select(F.col("host").alias("of"), F.col("n").alias("total"))
     joined = counts.filter("line is not null").join(totals, F.col("host").eqNullSafe(F.col("of")))
-    return joined.filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("lines"))
+    spread = F.sqrt(F.col("total") * F.lit(ratio) * F.lit(1 - ratio))
+    return joined.filter(F.col("n") - 1 > F.col("total") * F.lit(ratio) + F.lit(confidence) * spread).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def remove_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, confidence: float = CONFIDENCE) -> DataFrame:
     """docs with the new text, n_chars where the table has it, and as last column _ld_dropped (lines removed; the next unused name if the table has that one)."""
     of, bad, salt, own, kept, dropped = (common.unused(f"_ld_{n}", docs.columns) for n in ("of", "bad", "salt", "own", "kept", "dropped"))
-    found = common.checkpointed(boilerplate(docs, host, text, ratio, min_pages)).select(F.col("host").alias(of), F.col("lines").alias(bad))
+    found = common.checkpointed(boilerplate(docs, host, text, ratio, confidence)).select(F.col("host").alias(of), F.col("lines").alias(bad))
     size = found.agg(F.coalesce(F.sum(F.size(bad) + 5), F.lit(0)).alias("n")).head().n
     same = F.col(host).eqNullSafe(F.col(of))
     if size <= BROADCAST_LINES:
@@ -88,7 +93,7 @@ WITH lines AS (
 ), totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (
   SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE NOT blank
-  GROUP BY l.source, l.line, t.total HAVING count(DISTINCT doc_id) >= {MIN_PAGES} AND count(DISTINCT doc_id) > {RATIO} * t.total
+  GROUP BY l.source, l.line, t.total HAVING count(DISTINCT doc_id) - 1 > t.total * {RATIO}::DOUBLE + {CONFIDENCE}::DOUBLE * sqrt(t.total * {RATIO}::DOUBLE * {1 - RATIO}::DOUBLE)
 ), kept AS (
   SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AS gone
   FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line AND NOT l.blank
