@@ -9,6 +9,9 @@ from a bounded sample: at most MAX_POSITIVE toxic and MAX_NEGATIVE other labelle
 documents, those with the smallest hash of doc_id, of either kind while their texts
 come to MAX_BYTES.  Only the model reaches the driver.
 
+A bucket has an embedding when MIN_SHARE of the training documents hold it, or MIN_DOCUMENTS
+of them where the sample has more than MIN_DOCUMENTS / MIN_SHARE.
+
 A fifth of the sample is not trained on but sets a threshold for each language, at
 which F1 is best (in log odds, drawn towards that of all languages by a weight of
 CALIBRATION toxic documents); scores are shifted so that every language's threshold is
@@ -17,7 +20,8 @@ Bayes over the same buckets), so a score depends on the text alone.
 
 Defined results: null and empty texts are scored like a text of unknown words of
 length zero; without labels of both kinds all scores are the share of toxic ones
-(0 without any); labels other than 0 and 1 and null ids don't train; a document
+(0 without any); if all toxic ones (or all others) of the sample fall into the fifth that calibrates, that
+fifth trains as well, and if it has none of a kind, all of the sample calibrates; labels other than 0 and 1 and null ids don't train; a document
 that is labelled twice trains twice; a labelled text over MAX_BYTES does not train;
 very long texts are scored whole; equal texts have equal scores; extra columns pass
 through `score`, whatever their names; an empty table gives no rows.
@@ -40,8 +44,8 @@ from lodestone.llm import common
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 4000, 8000, 16 << 20
 THRESHOLD = 0.3
 BITS = 22
-#: Training documents that must hold a bucket for it to have its own embedding.
-MIN_DOCUMENTS = 8
+#: Training documents that must hold a bucket for it to have its own embedding: this share of them, and no more than so many.
+MIN_SHARE, MIN_DOCUMENTS = 0.02, 8
 WIDTHS, FILTERS, DIM = (1, 2, 3), 24, 16
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 #: Bytes of text that one block of scoring covers.
@@ -211,7 +215,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], fol
         train[:] = True
     spread = np.concatenate([np.unique(d[d >= 0]) for d, t in zip(docs, train, strict=True) if t] or [np.zeros(0, np.int32)])
     kept, n = np.unique(spread, return_counts=True)
-    kept = kept[n >= min(MIN_DOCUMENTS, max(1, int(train.sum()) // 50))]
+    kept = kept[n >= min(MIN_DOCUMENTS, max(1, int(MIN_SHARE * train.sum())))]
     embed = rng.normal(0, 0.1, (len(kept) + 2, DIM)).astype(np.float32)
     embed[PAD] = 0
     conv = [rng.normal(0, (2 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
