@@ -3,18 +3,21 @@
 A k-mer is kept when the smallest hash among its inner s-mers stands at its
 first or last place.  Whether a k-mer is kept depends on its own K characters
 only, so an edit moves or removes just the anchors that overlap it, and anchors
-of two texts can be matched by position.  Anchors are K-mers; texts under SHORT code
-points, which hold few of them, have FINE_K-mers, and those from LONG on to SHORT have
-both, so that a text and its edited or slightly longer form always share a kind.
+of two texts can be matched by position.
+
+There are three kinds of anchors (KINDS), all closed syncmers.  Every text has the coarse ones; texts
+under a length have finer ones as well, where coarse ones would be too few.  The two lowest bits of
+an anchor's hash name its kind.  Two texts are compared on the kinds that both their lengths have, so
+what a text is like does not depend on which side of a limit it is on: lengths without a common kind
+(below 32 and from 1,024 code points) differ so much that their share could not exceed 6 %.
 
 A fingerprint is a string of eight characters an anchor (base64 of four bytes
 hash and two bytes distance from the anchor before it, capped at 65535).  The
 anchors follow the text, so equal texts have equal fingerprints.
 
-Defined results: a null or empty text has the empty fingerprint; a text without
-a kept k-mer (short ones) has one anchor, the hash of the whole text.  Likeness
-is the Dice share of anchors with equal hashes, counted with multiplicity; two
-empty fingerprints are alike (1.0), one empty and one not are unlike (0.0).
+Defined results: a null or empty text has the empty fingerprint; a text of one code point has one
+anchor, its hash.  Likeness is the Dice share of anchors with equal hashes, counted with multiplicity;
+two empty fingerprints are alike (1.0), texts without common kinds or of which one is empty are unlike (0.0).
 Repeated doc_ids are ordered by text; null ids come first.  Extra columns are
 ignored, an empty table gives no rows.
 """
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-K, S = 32, 8
-#: For texts below SHORT code points; those from LONG on have the others (too).
-FINE_K, FINE_S, LONG, SHORT = 8, 3, 96, 192
+#: k, s, and the code points from and below which a text has anchors of the kind.
+KINDS = ((32, 8, 32, 1 << 62), (8, 3, 8, 1024), (2, 1, 1, 32))
+_KIND_BITS = 2
 #: Code points that one block of numpy work covers.
 BLOCK_CHARS = 1 << 20
 _ANCHOR = np.dtype([("hash", ">u4"), ("gap", ">u2")])
@@ -77,24 +80,18 @@ def syncmers(texts: list[str], k: int, s: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and places of the anchors of all texts, and where each text's begin (one more at the end)."""
+    """Hashes (32 bits, the lowest of which are the kind) and places of the anchors of all texts, and where each text's begin (one more at the end)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     parts = []
-    for which, k, s in ((lengths >= LONG, K, S), (lengths < SHORT, FINE_K, FINE_S)):
-        chosen = np.flatnonzero(which)
+    for kind, (k, s, least, below) in enumerate(KINDS):
+        chosen = np.flatnonzero((lengths >= least) & (lengths < below))
         code, place, owner = syncmers([texts[i] for i in chosen], k, s)
-        parts.append((code, place, chosen[owner]))
-    bare = np.flatnonzero((np.bincount(np.concatenate([p[2] for p in parts]), minlength=len(texts)) == 0) & (lengths > 0))
-    if len(bare):
-        joined = "".join(texts[i] for i in bare)
-        ends = np.cumsum(lengths[bare])
-        h = common.prefix_hashes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-        _, down = common.powers(len(joined) + 1)
-        begin = ends - lengths[bare]
-        code = common.mix64((h[ends] - h[begin]) * down[begin] + lengths[bare].astype(np.uint64)) >> np.uint64(32)
-        parts.append((code.astype(np.uint32), np.zeros(len(bare), np.int64), bare))
+        parts.append((code >> np.uint32(_KIND_BITS) << np.uint32(_KIND_BITS) | np.uint32(kind), place, chosen[owner]))
+    alone = np.flatnonzero(lengths == 1)
+    code = common.mix64(np.array([ord(texts[i]) for i in alone], np.uint64)) >> np.uint64(32)
+    parts.append((code.astype(np.uint32) | np.uint32((1 << _KIND_BITS) - 1), np.zeros(len(alone), np.int64), alone))
     code, place, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), place, owner))
+    order = np.lexsort((code & np.uint32((1 << _KIND_BITS) - 1), place, owner))
     return code[order], place[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
 
 
@@ -120,21 +117,24 @@ def align(left: str, right: str) -> list[tuple[int, int]]:
     return sorted(zip(pa_[ia[ca == 1][x]].tolist(), pb[ib[cb == 1][y]].tolist(), strict=True))
 
 
-def _likeness(code: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Dice share for pairs of texts of one block."""
-    size = np.diff(cut)
+def _likeness(code: np.ndarray, cut: np.ndarray, lengths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Dice share for pairs of texts of one block, on the kinds of anchors that both have."""
+    shared = np.stack([(np.minimum(lengths[left], lengths[right]) >= least) & (np.maximum(lengths[left], lengths[right]) < below) for _, _, least, below in KINDS] + [np.ones(len(left), bool)], axis=1)
 
     def keyed(which: np.ndarray) -> np.ndarray:
-        n = size[which]
+        n = np.diff(cut)[which]
         first = np.repeat(cut[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
         pair = np.repeat(np.arange(len(which), dtype=np.uint64), n)
-        return np.sort((pair << np.uint64(32)) | code[first + np.arange(len(pair))].astype(np.uint64))
+        own = code[first + np.arange(len(pair))]
+        use = shared[pair.astype(np.int64), (own & np.uint32((1 << _KIND_BITS) - 1)).astype(np.int64)]
+        return np.sort((pair[use] << np.uint64(32)) | own[use].astype(np.uint64))
 
     (a, na), (b, nb) = (np.unique(keyed(x), return_counts=True) for x in (left, right))
     both, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    hit = np.bincount((both >> np.uint64(32)).astype(np.int64), np.minimum(na[x], nb[y]), minlength=len(left))
-    total = size[left] + size[right]
-    return np.where(total == 0, 1.0, 2 * hit / np.maximum(total, 1))
+    of = lambda keys, n: np.bincount((keys >> np.uint64(32)).astype(np.int64), n, minlength=len(left))
+    hit, total = of(both, np.minimum(na[x], nb[y])), of(a, na) + of(b, nb)
+    none = (lengths[left] == 0) & (lengths[right] == 0)
+    return np.where(none, 1.0, 2 * hit / np.maximum(total, 1))
 
 
 def edited(text: str, following: str) -> str:
@@ -149,15 +149,15 @@ def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
     changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
     code, place, cut = anchors(texts + changed)
     prints = [encode(code[a:b], place[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    one = np.arange(n)
+    one, lengths = np.arange(n), np.array([len(t) for t in texts + changed])
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.array(ids, pa.int64()),
         "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
         "fingerprint": pa.array(prints[:n], pa.string()),
         "edited_fingerprint": pa.array(prints[n + 1 :], pa.string()),
-        "near_edited": _likeness(code, cut, one, one + n + 1),
-        "near_next": _likeness(code, cut, one, one + 1),
+        "near_edited": _likeness(code, cut, lengths, one, one + n + 1),
+        "near_next": _likeness(code, cut, lengths, one, one + 1),
         "n_anchors": pa.array(np.diff(cut)[:n], pa.int64()),
     })
 

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,33 +55,54 @@ def test_syncmers(spark, texts):
         one = lambda x: syncmers.encode(*syncmers.anchors([x])[:2])
         assert (r.fingerprint, r.edited_fingerprint) == (one(t), one(changed))
         a, b = (collections.Counter(syncmers.decode(x)[0].tolist()) for x in (one(t), one(changed)))
+        kinds = {i for i, (_, _, least, below) in enumerate(syncmers.KINDS) if least <= min(len(t), len(changed)) and max(len(t), len(changed)) < below} | {3}
+        a, b = (collections.Counter({h: n for h, n in x.items() if h % 4 in kinds}) for x in (a, b))
         total = sum(a.values()) + sum(b.values())
-        assert r.near_edited == pytest.approx(2 * sum((a & b).values()) / total if total else 1.0)
+        assert r.near_edited == pytest.approx(2 * sum((a & b).values()) / total if total else float(not t and not changed))
     assert got[10 * texts.index("same text here")].near_next == 1.0
 
 
-@pytest.mark.parametrize(("size", "k", "s"), [(400, syncmers.K, syncmers.S), (90, syncmers.FINE_K, syncmers.FINE_S)])
-def test_syncmer_anchors_by_definition(texts, size, k, s):
+@pytest.mark.parametrize("size", [5, 31, 32, 90, 1023, 1024, 3000])
+def test_syncmer_anchors_by_definition(texts, size):
     text = texts[-1][:size]
     whole = lambda t: common.mix64(common.prefix_hashes(np.array([ord(c) for c in t], np.uint32))[-1:])[0]
-    inner = [int(whole(text[i : i + s])) for i in range(len(text) - s + 1)]
     code, place, _ = syncmers.anchors([text])
-    want = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
-    assert len(code) == len(place) and set(place.tolist()) == set(want)
+    for kind, (k, s, least, below) in enumerate(syncmers.KINDS):
+        inner = [int(whole(text[i : i + s])) for i in range(len(text) - s + 1)]
+        want = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+        assert place[code % 4 == kind].tolist() == (want if least <= size < below else [])
     moved = "unlike. " + text
-    assert set(code.tolist()) <= set(syncmers.anchors([moved])[0].tolist())
-    assert all(b - a == 8 for a, b in syncmers.align(syncmers.encode(code, place), syncmers.encode(*syncmers.anchors([moved])[:2])))
+    if not any(size < below <= size + 8 for *_, below in syncmers.KINDS):
+        assert set(code.tolist()) <= set(syncmers.anchors([moved])[0].tolist())
+        assert all(b - a == 8 for a, b in syncmers.align(syncmers.encode(code, place), syncmers.encode(*syncmers.anchors([moved])[:2])))
 
 
-def test_short_and_middle_texts_are_like_their_edited_text(spark):
+def near(*pair):
+    code, _, cut = syncmers.anchors(list(pair))
+    return float(syncmers._likeness(code, cut, np.array([len(t) for t in pair]), np.array([0]), np.array([1]))[0])
+
+
+def test_texts_of_any_length_are_like_their_edited_text():
     rng = random.Random(21)
-    for n in (20, 30, 50, 64, 95, 96, 120, 150, 191, 192, 250, 400):
+    for n in (*range(4, 40), 50, 64, 95, 96, 120, 150, 191, 192, 250, 400, 1000, 1023, 1024, 1100, 2000):
         for k in range(8):
-            text = prose(rng, 90)[:n]
-            for after in ("", prose(rng, 3), "Q!x" * 200):
-                code, _, cut = syncmers.anchors([text, syncmers.edited(text, after)])
-                near = float(syncmers._likeness(code, cut, np.array([0]), np.array([1]))[0])
-                assert 0.1 < near <= 1, (n, after, near)
+            text = prose(rng, 500)[k : n + k]
+            for after in ("", prose(rng, 3), "Q!x" * 2000):
+                found = near(text, syncmers.edited(text, after))
+                assert (0.2 if n <= 12 or n > 40 else 0.1) < found <= 1, (n, after, found)
+
+
+def test_likeness_does_not_depend_on_limits():
+    rng = random.Random(22)
+    for short, long in ((69, 339), (20, 60), (31, 33), (100, 1000), (1000, 1100), (500, 2000), (31, 100), (40, 1500)):
+        shares = []
+        for _ in range(20):
+            text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(long))
+            shares.append(near(text[:short], text))
+        assert sum(shares) / 20 == pytest.approx(2 * short / (short + long), abs=0.12), (short, long)
+    assert near("a", "a") == 1.0 and near("", "") == 1.0 and near("", "a") == 0.0 and near("a", "b") == 0.0
+    for text in ("a" * 5, "a" * 40, "word " * 600, "ab", "x" * 1023, "x" * 1024):
+        assert near(text, text) == 1.0
 
 
 def test_buckets_of_ranges(spark):
@@ -380,19 +402,29 @@ def test_line_dedup(spark):
     rng = random.Random(1)
     pages = [f"menu\n{prose(rng, 12)} {i}\n\n\ncopyright {i % 2}" for i in range(60)] + [None, "", "menu\nmenu", "menu"]
     sources = ["a"] * 30 + ["b"] * 30 + ["a", "b", None, "b"]
-    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(documents(spark, pages, sources=sources), ratio=0.3, min_pages=3).collect()}
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(documents(spark, pages, sources=sources), ratio=0.3, confidence=1.0).collect()}
     count, total = collections.Counter(), collections.Counter(sources)
     for p, s in zip(pages, sources, strict=True):
         count.update((s, x) for x in {x for x in (p or "").split("\n") if x.strip(" \t\r")})
     for i, (p, s) in enumerate(zip(pages, sources, strict=True)):
         want = p
         if p is not None:
-            kept = [x for x in p.split("\n") if not x.strip(" \t\r") or not (count[s, x] >= 3 and count[s, x] > 0.3 * total[s])]
+            kept = [x for x in p.split("\n") if not x.strip(" \t\r") or not (count[s, x] - 1 > 0.3 * total[s] + (0.3 * 0.7 * total[s]) ** 0.5)]
             want = "\n".join(kept)
         assert got[i].text == want
         assert want is None or got[i].n_chars == len(want)
 
 
+def test_boilerplate_of_small_hosts(spark):
+    """A host of few pages has boilerplate too, and a line of its only page is none."""
+    pages, sources = [], []
+    for host, n, share in (("one", 1, 1), ("two", 2, 2), ("three", 3, 3), ("nine", 9, 3), ("ninth", 9, 4), ("hundred", 100, 12), ("more", 100, 13)):
+        pages += [f"{'menu' if i < share else 'none'}\nown {host} {i}" for i in range(n)]
+        sources += [host] * n
+    got = line_dedup.remove_boilerplate(documents(spark, pages, sources=sources)).collect()
+    assert {r.source for r in got if r._ld_dropped and "menu" not in r.text and pages[r.doc_id].startswith("menu")} == {"three", "ninth", "more"}
+
+
 def brute_components(texts, ids, size, percent):
     sets = {}
     for i, t in zip(ids, texts, strict=True):
@@ -628,7 +660,11 @@ def test_minimum_covariance_determinant(spark, monkeypatch):
     for g in (0, 1):
         clean = rng.normal(size=(400, 5)) @ np.diag([2.0, 1.5, 3.0, 1.0, 1.2]) + 5
         groups[g] = np.concatenate([clean, rng.normal(size=(90, 5)) * 0.3 + [30, 5, 5, -20, 5]])
-    got = {r.grp: r for r in quality.estimates(stat_rows(spark, groups))[0].collect()}
+    rows = stat_rows(spark, groups)
+    params, few = quality.estimates(rows)
+    got = {r.grp: r for r in params.collect()}
+    further = quality.with_cholesky(quality.shrunk(common.checkpointed(quality.concentrated(rows, params, few)), few), quality.CONSISTENCY)
+    assert all(got[r.grp].log_det - r.log_det <= quality.CONVERGED for r in further.collect())  # no group would move on
     for g, x in groups.items():
         h = int(quality.CORE * len(x))
         best = np.inf
@@ -766,6 +802,19 @@ def test_empty_conversations_and_codec(spark):
     assert bpe.round_trip(documents(spark, []), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
 
 
+def test_toxicity_with_labels_in_one_fold_only():
+    """Where the calibrating fifth has all toxic ones it trains too; where it has none, all of the sample calibrates."""
+    rng = random.Random(31)
+    texts = [prose(rng, 20, ["calm", "nice", "kind"] if i % 4 else ["vile", "foul"]) for i in range(40)]
+    at, data = common.buffers(pa.array(texts))
+    docs, y = toxicity.buckets(at, data), np.array([int(i % 4 == 0) for i in range(40)])
+    for folds in (np.where(y == 1, 0, 1), np.where(y == 1, 1, 0), np.ones(40, int)):
+        model = toxicity.fit(docs, y, [None] * 40, folds)
+        table = model.table()
+        p = np.array(model.scores([model.numbered(d, table) for d in docs]))
+        assert p[y == 1].min() > toxicity.THRESHOLD > p[y == 0].max()
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", "c d"])
     model = toxicity.train(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality long, toxic long"), F.lit(True))
