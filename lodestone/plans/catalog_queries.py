@@ -105,15 +105,16 @@ def _upserted(s: SparkSession, d: str) -> DataFrame:
     cols = lambda f, extra: f.select(
         F.col("doc_id").alias("article_id"), F.col("lang").alias("title"), F.col("source").alias("url"), F.col("source").alias("category"), F.col("n_chars").alias("chunk_count"), F.col("text").alias("raw_content"), extra.alias("summary"), F.col("n_chars").alias("updated_at"),
         F.lit("kept").alias("llm_summary"), F.lit(1).alias("llm_summary_at"))
-    old = cols(docs.filter("doc_id % 3 != 0"), F.lit("old"))
-    new = cols(docs.filter("doc_id % 2 = 0").withColumn("lang", F.lit("new")), F.when(F.col("doc_id") % 4 == 0, "").otherwise("new"))
+    # all documents are stored; a second crawl brings half of them again, and as many new ones
+    old = cols(docs, F.lit("old"))
+    new = cols(docs.withColumn("doc_id", F.col("doc_id") * 2).withColumn("lang", F.lit("new")), F.when(F.col("doc_id") % 4 == 0, "").otherwise("new"))
     return catalog.upsert_articles(old, new).select("article_id", "title", "summary", "llm_summary", F.char_length("raw_content").cast("long").alias("n"))
 
 
 Q["upsert_articles"] = _upserted
-S["upsert_articles"] = """SELECT doc_id AS article_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE lang END AS title,
- CASE WHEN doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 'new' WHEN doc_id % 3 <> 0 THEN 'old' END AS summary, CASE WHEN doc_id % 3 <> 0 THEN 'kept' END AS llm_summary,
- CASE WHEN doc_id % 2 = 0 THEN least(50000, length(text)) ELSE length(text) END AS n FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0"""
+S["upsert_articles"] = """WITH n AS (SELECT doc_id * 2 AS doc_id, text FROM documents)
+SELECT coalesce(n.doc_id, o.doc_id) AS article_id, CASE WHEN n.doc_id IS NULL THEN o.lang ELSE 'new' END AS title, CASE WHEN n.doc_id % 4 <> 0 THEN 'new' WHEN o.doc_id IS NOT NULL THEN 'old' END AS summary,
+ CASE WHEN o.doc_id IS NOT NULL THEN 'kept' END AS llm_summary, CASE WHEN n.doc_id IS NULL THEN length(o.text) ELSE least(50000, length(n.text)) END AS n FROM documents o FULL JOIN n ON o.doc_id = n.doc_id"""
 Q["upsert_vectors"] = lambda s, d: catalog.upsert(
     table(s, d, "embeddings").select("vec_id", F.lit("old").alias("v"), F.lit(0).alias("at")),
     table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("vec_id"), F.concat(F.lit("new "), F.col("vec_id").cast("string")).alias("v"), F.col("vec_id").cast("int").alias("at")), "vec_id", "at", "text",

@@ -32,6 +32,7 @@ def articles(s: SparkSession, d: str) -> DataFrame:
 
 
 Q["chunk_articles"] = lambda s, d: chunking.chunk_articles(articles(s, d)).select("chunk_id", "article_id", "chunk_index", "text", "category")
+Q["chunk_rows"] = lambda s, d: chunking.chunk_rows(articles(s, d)).select("chunk_id", "article_id", "chunk_index", "text", "category")
 Q["chunk_headers"] = lambda s, d: articles(s, d).select("article_id", chunking.header(F.col("title"), F.col("category")).alias("header"))
 S["chunk_headers"] = "SELECT doc_id AS article_id, CASE WHEN coalesce(source, '') = '' THEN '[Document ' || doc_id || ']' || chr(10) ELSE '[' || source || ' — Document ' || doc_id || ']' || chr(10) END AS header FROM documents"
 Q["summarize"] = lambda s, d: summarize.summarize(articles(s, d).select(F.col("article_id").alias("doc_id"), "text", "title"))
@@ -139,12 +140,12 @@ def load(s: SparkSession, d: str) -> DataFrame:
 
 Q["load_summary"] = lambda s, d: evaluate.load_summary(load(s, d)).select("users", "requests", F.round("error_rate", 6).alias("error_rate"), F.round("throughput", 6).alias("throughput"))
 S["load_summary"] = "SELECT user_id % 4 * 10 + 10 AS users, count(*) AS requests, round(avg((event_id % 9 = 0)::INT), 6) AS error_rate, round(count_if(event_id % 9 <> 0) / 100.0, 6) AS throughput FROM events GROUP BY 1"
-Q["error_taxonomy"] = lambda s, d: table(s, d, "events").filter("event_id % 3 = 0").select(
+Q["error_taxonomy"] = lambda s, d: table(s, d, "events").select(
     F.when(F.col("event_id") % 2 == 0, F.get(F.array(*map(F.lit, (429, 404, 500, 503, 200))), (F.col("event_id") % 5).cast("int"))).alias("status"),
     F.get(F.array(*map(F.lit, ("ReadTimeout", "ConnectTimeout", "PoolTimeout", "ConnectError", "ValueError"))), (F.col("event_id") % 5).cast("int")).alias("exception"),
 ).groupBy(evaluate.error_kind(F.col("status"), F.col("exception")).alias("kind")).agg(F.count("*").alias("n"))
 S["error_taxonomy"] = """SELECT CASE WHEN s = 429 THEN 'rate_limited' WHEN s >= 500 THEN 'server_error' WHEN s >= 400 THEN 'other' WHEN e IN ('ReadTimeout', 'ConnectTimeout', 'PoolTimeout') THEN 'timeout' WHEN e = 'ConnectError' THEN 'connection' ELSE 'other' END AS kind, count(*) AS n
-FROM (SELECT CASE WHEN event_id % 2 = 0 THEN [429, 404, 500, 503, 200][event_id % 5 + 1] END AS s, ['ReadTimeout', 'ConnectTimeout', 'PoolTimeout', 'ConnectError', 'ValueError'][event_id % 5 + 1] AS e FROM events WHERE event_id % 3 = 0) GROUP BY 1"""
+FROM (SELECT CASE WHEN event_id % 2 = 0 THEN [429, 404, 500, 503, 200][event_id % 5 + 1] END AS s, ['ReadTimeout', 'ConnectTimeout', 'PoolTimeout', 'ConnectError', 'ValueError'][event_id % 5 + 1] AS e FROM events) GROUP BY 1"""
 Q["saturation"] = lambda s, d: evaluate.saturation(evaluate.load_summary(load(s, d)).withColumn("p95", F.col("users") / 3.0)).select("best_users", "plateau", "first_miss")
 S["saturation"] = f"WITH l AS ({S['load_summary']}) SELECT arg_max(users, (throughput, -users)) AS best_users, coalesce((SELECT max(throughput) FROM l k WHERE k.users > (SELECT arg_max(users, (throughput, -users)) FROM l)) <= max(throughput), false) AS plateau, min(CASE WHEN users / 3.0 > 10 THEN users END) AS first_miss FROM l"
 Q["workload"] = lambda s, d: evaluate.workload(table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("level"), (F.col("r_regionkey") * 10 + 10).cast("int").alias("users")), 3, 19).select(*[F.col(c).cast("long").alias(c) for c in ("level", "user", "request", "q_index")], "suffix")
