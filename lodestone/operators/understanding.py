@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from lodestone.operators.lineage import cut
+
 MAX_VARIANTS, FUZZY, FUZZY_TERMS = 4, 0.86, 0.82
 # Questions made of short queries, and words that begin a question already.
 QUESTIONS = ("How do I use {}?", "What is {}?")
@@ -307,35 +309,60 @@ def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | No
     )
 
 
-def closest_terms(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_TERMS) -> DataFrame:
-    """`fuzzy_terms` for a vocabulary that is a table (term): each task finds its own closest, the best of them is taken.
+def _lengths(words: DataFrame, column: str) -> list[int]:
+    """The distinct lengths of the words: no more than the longest has letters."""
+    return sorted(r.n for r in words.select(F.char_length(column).alias("n")).distinct().collect())
 
-    Only the distinct unknown terms meet every part of the vocabulary.
-    """
-    odd = terms.select("term").distinct().filter(F.length("term") >= 4).join(vocabulary, "term", "left_anti")
-    pairs = vocabulary.select(F.col("term").alias("word")).crossJoin(F.broadcast(odd.agg(F.collect_list("term").alias("odd"))))
 
-    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                near = vocabulary_match(part.column("odd")[0].as_py(), part.column("word").to_pylist(), cutoff)
-                rows = [(t, difflib.SequenceMatcher(None, w, t).ratio(), w) for t, w in near.items()]
-                columns = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string()), strict=True)], ["term", "ratio", "word"])
+def _bands(own: str, other: str, lengths: list[int], cutoff: float) -> Column:
+    """For a word of `own` letters: the lengths of partners that it can be close to, and how many letters both may lack together."""
+    known = f"array({', '.join(map(str, lengths))})" if lengths else "cast(array() as array<int>)"
+    # ratio = 2 m / (a + b) for m matching letters, of which there are min(a, b) at most
+    lacking = f"{own} + {other} - 2 * cast(ceil({cutoff}D / 2 * ({own} + {other}) - 1e-9D) as int)"
+    return F.expr(f"inline(filter(transform({known}, {other} -> struct({other}, {lacking} as lacking)), x -> x.lacking >= abs({own} - x.{other})))")
 
-    best = pairs.mapInArrow(closest, "term string, ratio double, word string").groupBy("term").agg(F.max(F.struct("ratio", "word")).alias("m"))
-    return terms.unionByName(terms.join(best, "term").select("query_id", F.col("m.word").alias("term")))
 
+def close_pairs(terms: DataFrame, words: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (term, word) among which are all whose ratio of matching letters reaches the cutoff; terms (term) and words (word) are distinct.
 
-def fuzzy_terms(terms: DataFrame, vocabulary: list[str], cutoff: float = FUZZY_TERMS) -> DataFrame:
-    """(query_id, term) with the closest vocabulary term added beside those that are unknown and long enough."""
-    known = set(vocabulary)
+    A word of a letters and a term of b that match in m of them lack a + b - 2 m, which the cutoff bounds.  Of that many
+    and one more parts of the word at least one is whole in the term, and moved by no more than the letters lacking before
+    and after it allow.  So words are keyed by lengths, part and the part's letters, and terms by the substrings that may be
+    that part: nothing is lost, and only words that share a part at its place meet.
+    """
+    part = ["cast(i * a div (lacking + 1) as int) as start", "cast((i + 1) * a div (lacking + 1) - i * a div (lacking + 1) as int) as size"]
+    listed = words.selectExpr("word", "char_length(word) as a").select("word", "a", _bands("a", "b", _lengths(terms, "term"), cutoff))
+    keyed = listed.selectExpr("word", "a", "b", "lacking", "explode(sequence(0, lacking)) as i").selectExpr("*", *part).selectExpr("word", "a", "b", "i", "lacking", "substring(word, start + 1, size) as letters")
+    probes = terms.selectExpr("term", "char_length(term) as b").select("term", "b", _bands("b", "a", _lengths(words, "word"), cutoff))
+    probes = probes.selectExpr("*", "explode(sequence(0, lacking)) as i").selectExpr("term", "a", "b", "i", "lacking", *part)
+    moved = probes.selectExpr("*", "explode(sequence(greatest(0, start - cast((lacking - b + a) div 2 as int)), start + cast((lacking + b - a) div 2 as int))) as at").filter("at + size <= b")
+    met = moved.selectExpr("term", "a", "b", "i", "substring(term, at + 1, size) as letters").distinct().join(keyed, ["a", "b", "i", "letters"])
+    # a letter that one of them does not have at all lacks too
+    alone = "size(array_except(split({0}, ''), split({1}, '')))"
+    return met.filter(f"{alone.format('term', 'word')} + {alone.format('word', 'term')} <= lacking").select("term", "word").distinct()
 
-    @F.pandas_udf(StringType())
-    def closest(term: pd.Series) -> pd.Series:
-        odd = {t for t in term if len(t) >= 4 and t not in known}
-        near = vocabulary_match(odd, vocabulary, cutoff)
-        return pd.Series([near.get(t) for t in term], dtype=object)
 
-    distinct = terms.select("term").distinct().withColumn("near", closest("term")).filter("near is not null")
-    return terms.unionByName(terms.join(distinct, "term").select("query_id", F.col("near").alias("term")))
+def closest_terms(terms: DataFrame, vocabulary: DataFrame, cutoff: float = FUZZY_TERMS) -> DataFrame:
+    """terms (query_id, term) and, beside those of four letters or more that the vocabulary (term) lacks, the closest word it has, if one is close enough.
+
+    The pairs of `close_pairs` are verified in Arrow batches; of equally close words the last in order is taken.
+    """
+    vocabulary = cut(vocabulary.select("term").distinct())
+    odd = cut(terms.select("term").distinct().filter(F.length("term") >= 4).join(vocabulary, "term", "left_anti"))
+    pairs = close_pairs(odd, vocabulary.select(F.col("term").alias("word")), cutoff)
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, last = difflib.SequenceMatcher(None), None
+        for part in batches:
+            ratios = []
+            for term, word in zip(part.column("term").to_pylist(), part.column("word").to_pylist(), strict=True):
+                if term != last:  # what the matcher knows of a term serves all its words
+                    matcher.set_seq2(term)
+                    last = term
+                matcher.set_seq1(word)
+                ratios.append(matcher.ratio() if matcher.quick_ratio() >= cutoff else 0.0)
+            yield pa.RecordBatch.from_arrays([part.column("term"), pa.array(ratios, pa.float64()), part.column("word")], ["term", "ratio", "word"])
+
+    ratios = pairs.mapInArrow(verified, "term string, ratio double, word string").filter(F.col("ratio") >= cutoff)
+    best = ratios.groupBy("term").agg(F.max(F.struct("ratio", "word")).alias("m"))
+    return terms.unionByName(terms.join(best, "term").select("query_id", F.col("m.word").alias("term")))

@@ -1,6 +1,7 @@
 """Operators against plain Python versions and small fixtures."""
 
 import base64
+import difflib
 import hashlib
 import math
 import random
@@ -174,6 +175,31 @@ def test_summaries(spark):
         assert r.summary == (text if len(text) <= summarize.MAX_CHARS else text[: len(r.summary)])
 
 
+@pytest.mark.parametrize("cutoff", [0.82, 0.6, 0.95])
+def test_closest_terms_against_every_pair(spark, cutoff):
+    """No close word is lost: against the closest of all words by difflib, with words of all lengths, repeats and swapped, missing and doubled letters."""
+    rng = random.Random(17)
+    words = {"".join(rng.choice("aabcdeilnorst-'9") for _ in range(rng.choice([1, 3, 4, 5, 6, 7, 8, 9, 12, 15, 30, 64, 150]))) for _ in range(500)}
+
+    def bent(w):
+        letters = list(w)
+        for _ in range(rng.randint(0, 1 + len(w) // 7)):
+            i = rng.randrange(len(letters) + 1)
+            letters[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "a", "ee"])
+        return "".join(letters)
+
+    terms = [(i % 7, bent(rng.choice(sorted(words)))) for i in range(250)] + [(0, "abc"), (1, "")]
+    table = spark.createDataFrame([(w,) for w in words], "term string").repartition(3)
+    got = Counter((r.query_id, r.term) for r in understanding.closest_terms(spark.createDataFrame(terms, "query_id long, term string"), table, cutoff).collect())
+    want = Counter(terms)
+    for q, t in terms:
+        if len(t) >= 4 and t not in words:
+            ratio, near = max((difflib.SequenceMatcher(None, w, t).ratio(), w) for w in words)
+            if ratio >= cutoff:
+                want[q, near] += 1
+    assert got == want and sum(want.values()) > len(terms) + 20
+
+
 def test_chunk_stretches():
     rng = random.Random(9)
     for _ in range(300):
