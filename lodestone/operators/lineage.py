@@ -1,20 +1,29 @@
-"""Cutting the lineage of a table that several later plans read."""
+"""Cutting the lineage of a table that several later plans read, and the folder in which it is kept."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session whose executors are the driver may do without the setting."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="lodestone-")
+    return _local[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; only a local session may do without the setting."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-            shared = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
+    """df checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.lineage import cut
 
-#: Most query vectors that are searched at once, and numbers that a block of scores holds.
-MAX_QUERIES, BLOCK = 50_000, 1 << 22
+#: Most query vectors that are searched at once, most numbers in them, and numbers that a block of scores holds.
+MAX_QUERIES, MAX_NUMBERS, BLOCK = 50_000, 1 << 23, 1 << 22
+#: Of an inverted file: rows that its cells are fitted on, rounds of k-means, most cells (else the root of the rows).
+SAMPLE, ROUNDS, MAX_CELLS = 50_000, 8, 4096
+#: Share of the nearest NEAR that the cells read for a query are to hold, as measured on CHECKED sampled rows.
+RECALL, NEAR, CHECKED = 0.95, 10, 500
 
 
 def score_of_distance(distance: Column) -> Column:
@@ -49,11 +53,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", em
 
     Queries with a column `category` that is not null see rows of that category only.
     """
-    n = queries.count()
-    if n <= MAX_QUERIES:
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).head()
+    most = max(1, min(MAX_QUERIES, MAX_NUMBERS // max(1, width)))
+    if n <= most:
         return _nearest(rows, queries, n, k, id_, embedding, exclude_self)[0]
     # an eighth more blocks than needed, as hashing does not deal evenly
-    count = 9 * n // (8 * MAX_QUERIES) + 1
+    count = 9 * n // (8 * most) + 1
     block = F.pmod(F.xxhash64("query_id"), F.lit(count))
     found: DataFrame | None = None
     for b in range(count):
@@ -82,9 +87,12 @@ def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embe
     held = queries.select("query_id", "q", *(["category"] if filtered else [])).toPandas()
     ids = held["query_id"].to_numpy(np.int64)
     matrix = np.stack([np.asarray(v, np.float64) for v in held["q"]])
-    wanted = held["category"].to_numpy(object) if filtered else None
+    wanted = None
+    if filtered:  # the queries of each category, and those of none, which see all
+        asked = held["category"].to_numpy(object)
+        free = np.array([w is None or w != w for w in asked], bool)
+        wanted = {c: np.flatnonzero(free | (asked == c)) for c in set(asked[~free])}, np.flatnonzero(free)
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix, wanted))
-    step = max(1, BLOCK // n)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, q, wanted = shared.value
@@ -96,24 +104,34 @@ def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embe
             at = _best(*every, k)
             return tuple(c[at] for c in every)
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                score = q @ _matrix(part.column(1)).T
+        def take(q_at: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> None:
+            nonlocal top, waiting, held
+            for start in range(0, len(own), max(1, BLOCK // len(q_at))) if len(q_at) else ():
+                part = own[start : start + max(1, BLOCK // len(q_at))]
+                score = q[q_at] @ matrix[start : start + len(part)].T
                 if exclude_self:
-                    score[query[:, None] == own[None, :]] = -np.inf
-                if wanted is not None:
-                    kinds = np.array(part.column(2).to_pylist(), object)
-                    score[(wanted[:, None] != kinds[None, :]) & np.array([w is not None for w in wanted])[:, None]] = -np.inf
+                    score[query[q_at][:, None] == part[None, :]] = -np.inf
                 m = min(k, score.shape[1])
                 # ties beyond the k-th place are settled by id, so take all of them
                 least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
                 r, c = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                waiting.append((query[r], own[c].astype(np.int64), score[r, c]))
+                waiting.append((query[q_at[r]], part[c].astype(np.int64), score[r, c]))
                 held += len(r)
                 if held > BLOCK:
                     top, waiting, held = merged([top, *waiting]), [], 0
+
+        everyone = np.arange(len(query))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, matrix = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            if wanted is None:
+                take(everyone, own, matrix)
+                continue
+            kinds = np.array(batch.column(2).to_pylist(), object)
+            for kind in set(kinds):  # only what can match is multiplied
+                at = kinds == kind if kind is not None else np.array([x is None for x in kinds])
+                take(wanted[0].get(kind, wanted[1]), own[at], matrix[at])
         top = merged([top, *waiting]) if waiting else top
         if len(top[0]):
             yield pa.RecordBatch.from_pydict({"query_id": top[0], id_: top[1], "dot": top[2]})
@@ -157,3 +175,56 @@ def diverse(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[order], "chunk_id": pdf["chunk_id"].iloc[order], "picked": np.arange(1, len(order) + 1)})
 
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, chunk_id long, picked int")
+
+
+def cells(rows: DataFrame, embedding: str = "embedding", count: int | None = None, id_: str = "vec_id") -> tuple[np.ndarray, int]:
+    """Unit centres of k-means, and how many cells to read for a query.
+
+    Both are fitted on the SAMPLE rows with the smallest hash of their id; the driver holds no more than those.  Of CHECKED
+    of them the nearest among the others are known exactly, and so the number of cells that holds RECALL of these: few
+    where vectors cluster, most where they do not.
+    """
+    count = count or int(min(MAX_CELLS, max(1, rows.count() ** 0.5)))
+    sample = rows.orderBy(F.xxhash64(id_), id_).limit(SAMPLE).select(embedding).toPandas()[embedding]
+    x = np.stack([np.asarray(v, np.float64) for v in sample]) if len(sample) else np.zeros((1, 1))
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    closest = lambda centres: np.concatenate([(part @ centres.T).argmax(axis=1) for part in np.array_split(unit, len(x) // 4096 + 1)])
+    rng = np.random.default_rng(7)
+    centres = unit[rng.permutation(len(x))[:count]]
+    for _ in range(ROUNDS):
+        total = np.zeros_like(centres)
+        np.add.at(total, closest(centres), unit)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 0, total / np.maximum(length, 1e-12), centres)
+    cell, places = closest(centres), []
+    for i in range(min(CHECKED, len(x))):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = np.argpartition(-score, min(NEAR, len(x) - 1))[:NEAR] if len(x) > 1 else np.zeros(1, int)
+        rank = np.empty(len(centres), int)
+        rank[np.argsort(-(centres @ x[i]), kind="stable")] = np.arange(len(centres))
+        places.append(rank[cell[best]])
+    return centres, int(np.quantile(np.concatenate(places), RECALL, method="higher")) + 1
+
+
+def with_cells(rows: DataFrame, centres: np.ndarray, most: int, embedding: str = "embedding") -> DataFrame:
+    """rows with `cell`, a row for each of the `most` centres closest to it."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # MAX_CELLS vectors at most
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        likeness = np.stack([np.asarray(x, np.float64) for x in v]) @ shared.value.T
+        return pd.Series(list(np.argsort(-likeness, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+    return rows.withColumn("cell", F.explode(near(embedding)))
+
+
+def nearest_in_cells(stored: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """`nearest`, of the rows in the cells that are closest to each query: approximate, unless all cells are probed.
+
+    stored: rows with `cell`, partitioned by it; cells that no query probes are not read.
+    """
+    asked = cut(with_cells(queries.select("query_id", "q"), centres, probes, "q"))
+    wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # MAX_CELLS at most
+    rows = stored.filter(F.col("cell").isin(wanted)).withColumn("category", F.col("cell"))
+    return nearest(rows, asked.withColumnRenamed("cell", "category"), k, id_, embedding)

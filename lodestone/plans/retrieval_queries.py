@@ -6,11 +6,16 @@ source is the category.  `benchmark` is the query set, `embeddings` the vector s
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as text_functions
-from lodestone.operators import context, evaluate, fusion, lexical, lineage, models, retrieval, understanding, vector
+from lodestone.operators import context, evaluate, fusion, index, lexical, lineage, models, retrieval, understanding, vector
+from lodestone.plans import kept
+from lodestone.sources import versions
 
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOPWORDS)
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[''-][a-z0-9]+)*'), lambda t: t NOT IN (" + _STOP + "))"
@@ -46,15 +51,38 @@ sc AS (SELECT query_id, chunk_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 bm25 AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc WHERE score > 0) WHERE rank <= {k})"""
 
 
-def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.search(chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), 10)
+def documents_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return kept.inverted_index(spark, f"{sf_dir}/documents.parquet", "texts", lambda: chunks(spark, sf_dir).select("chunk_id", "text"))
+
+
+def _scores(found: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-Q["bm25_search"] = bm25_search
+Q["bm25_search"] = lambda s, d: _scores(index.search(documents_index(s, d), benchmark_queries(s, d), 10))
 S["bm25_search"] = f"WITH {_bm25_sql(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25"
 
 
+Q["bm25_scan"] = lambda s, d: _scores(lexical.search(chunks(s, d), benchmark_queries(s, d), 10))
+S["bm25_scan"] = S["bm25_search"]
+
+
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search after an index of all documents' first lines is brought up to date: whole texts replace them, and copies of an earlier text are pruned."""
+    rows, path = chunks(spark, sf_dir), f"{lineage.shared_folder(spark)}/lodestone-index-{uuid.uuid4().hex}"
+    changing = index.build(rows.select("chunk_id", F.substring_index("text", "\n", 1).alias("text")), path)
+    index.upsert(changing, rows)
+    copies = rows.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("chunk_id").alias("first"))
+    index.prune(changing, rows.select("chunk_id").join(copies, F.col("chunk_id") == F.col("first"), "left_anti"))
+    found = lineage.cut(_scores(index.search(changing, benchmark_queries(spark, sf_dir), 10)))
+    versions.remove(spark, path)
+    return found
+
+
+Q["bm25_after_changes"] = bm25_after_changes
+S["bm25_after_changes"] = "WITH " + _bm25_sql(10).replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY coalesce(text, ''))") + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25"
+
+
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = lexical.postings(chunks(spark, sf_dir))
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
@@ -115,6 +143,23 @@ Q["vector_knn"] = knn
 S["vector_knn"] = f"WITH {_knn_sql(10)} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM knn"
 
 
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`vector_knn` by the kept inverted file of all vectors (approximate)."""
+    rows, source = embeddings(spark, sf_dir), f"{sf_dir}/embeddings.parquet"
+
+    def fitted() -> DataFrame:
+        centres, probes = vector.cells(rows)
+        return spark.createDataFrame([(i, c.tolist(), probes) for i, c in enumerate(centres)], "cell int, centre array<double>, probes int")
+
+    held = kept.table(spark, source, "centres", fitted).orderBy("cell").toPandas()  # MAX_CELLS at most
+    centres = np.stack(held["centre"].to_list())
+    stored = kept.table(spark, source, "cells", lambda: vector.with_cells(rows, centres, 1).select("vec_id", "embedding", "cell"), ["cell"])
+    return vector.nearest_in_cells(stored, vector_queries(rows), 10, centres, int(held["probes"][0])).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+Q["vector_knn_cells"] = knn_by_cells
+
+
 def image_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images are label 0: twice k are fetched, weak ones dropped, k kept."""
     rows = embeddings(spark, sf_dir)
@@ -148,10 +193,17 @@ def titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> retrieval.Retrieval:
-    """The benchmark's passages as queries over all documents."""
-    return retrieval.retrieve(benchmark_queries(spark, sf_dir), titled_chunks(spark, sf_dir), INTENTS, models.word_embedder(64), models.overlap_scorer)
+    """The benchmark's passages as queries over all documents, by the kept index of their weighted texts and their stored vectors."""
+    rows, source = titled_chunks(spark, sf_dir), f"{sf_dir}/documents.parquet"
+    weighted = lambda: rows.select("chunk_id", lexical.weighted_text(F.col("text"), category=F.col("category")).alias("text"))
+    vectors = lambda: rows.select("chunk_id", "category", models.embedding(models.word_embedder(64))("text").alias("embedding"))
+    return retrieval.retrieve(
+        benchmark_queries(spark, sf_dir), rows, INTENTS, models.word_embedder(64), models.overlap_scorer,
+        kept=kept.inverted_index(spark, source, "titled", weighted), vectors=kept.table(spark, source, "vectors", vectors),
+    )
 
 
+_WEIGHTED = "concat_ws(' ', {0}, {1}, {1}, {1}, nullif(trim(source), ''), nullif(trim(source), ''))"
 _TITLED = "'[Title ' || (doc_id // 5) || ']' || chr(10) || ' ' || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || ' '"
 _L, _R = r"(?i)(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 _HASHED = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64)"
@@ -159,7 +211,7 @@ _COUNTED = "list_transform(range(0, 64), lambda x: len(list_filter(b, lambda y:
 _UNIT = "CASE WHEN list_dot_product(c, c) > 0 THEN list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) ELSE c END"
 _SET = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
 _RANKINGS = f"""
-{_bm25_sql(40, _TITLED)},
+{_bm25_sql(40, _WEIGHTED.format(_TITLED, "'Title ' || (doc_id // 5)"))},
 q AS MATERIALIZED (SELECT *, regexp_matches(norm, '{_L}th[A-Za-z0-9_]+ing{_R}') AS ask, regexp_matches(norm, '{_L}be(en)?{_R}') AS be FROM (SELECT item_id AS query_id,
   array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s''-]+', ' ', 'g'), '\\s+'), lambda t: trim(lower(t), chr(39) || '-')), lambda t: t <> ''), ' ') AS norm FROM benchmark)),
 forms AS (SELECT query_id, 0 AS list, norm AS form FROM q UNION ALL SELECT query_id, 1, CASE WHEN ask THEN 'how to ask' ELSE 'what to be' END FROM q WHERE ask OR be UNION ALL SELECT query_id, 2, 'what to be' FROM q WHERE ask AND be),
