@@ -162,11 +162,13 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, id_: str, body: str) -> DataFrame:
-    """One row: repeated ids, repeated stripped bodies, empty bodies."""
-    text = strip(F.coalesce(F.col(body), F.lit("")))
-    return rows.select(id_, text.alias("t")).agg(
-        (F.count("*") - F.countDistinct(id_)).alias("duplicate_ids"), (F.count("*") - F.countDistinct("t")).alias("duplicate_bodies"), F.count_if(F.col("t") == "").alias("empty_bodies")
-    )
+    """One row: repeated ids, repeated stripped bodies, empty bodies.  Bodies are counted by their MD5 before the shuffle; a null id repeats another."""
+    text = F.md5(strip(F.coalesce(F.col(body), F.lit(""))))
+    keys = rows.select(F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col(id_).cast("string").alias("key")), F.struct(F.lit("body").alias("kind"), text.alias("key")))).alias("k")).select("k.*")
+    counted = keys.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    again = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n") - F.when(F.col("key").isNull(), 0).otherwise(1))), F.lit(0))
+    empty = F.coalesce(F.sum(F.when((F.col("kind") == "body") & (F.col("key") == F.md5(F.lit(""))), F.col("n"))), F.lit(0))
+    return counted.agg(again("id").alias("duplicate_ids"), again("body").alias("duplicate_bodies"), empty.alias("empty_bodies"))
 
 
 def chunk_counts(articles: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -54,14 +54,6 @@ def collection(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, idf; a negative idf becomes EPSILON times the mean idf of all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
 #: Distinct query terms (about 30 bytes each) up to which they filter the chunks' terms by a broadcast.
 BROADCAST_TERMS = 200_000
 
@@ -113,7 +105,9 @@ def alias_terms(titles: DataFrame, groups: DataFrame) -> DataFrame:
     """chunk_id, aliases: all terms of synonym groups (group_id, term) of which the title (chunk_id, title) holds a single-token term, but those present."""
     words = titles.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("word"))
     single = groups.select("group_id", F.lower("term").alias("word"))
-    hit = words.join(F.broadcast(single), "word").select("chunk_id", "group_id").distinct()
-    terms = hit.join(F.broadcast(groups), "group_id").select("chunk_id", F.lower("term").alias("term")).distinct()
+    few = groups.count() <= BROADCAST_TERMS
+    side = lambda df: F.broadcast(df) if few else df
+    hit = words.join(side(single), "word").select("chunk_id", "group_id").distinct()
+    terms = hit.join(side(groups), "group_id").select("chunk_id", F.lower("term").alias("term")).distinct()
     own = words.select("chunk_id", F.col("word").alias("term"))
     return terms.join(own, ["chunk_id", "term"], "left_anti").groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("aliases"))

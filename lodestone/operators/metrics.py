@@ -221,11 +221,18 @@ def percentile_before(rows: DataFrame, by: list[str], value: str, share: float =
 
 
 def percentile_linear(rows: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
-    return rows.groupBy(*by).agg(F.percentile(value, share).alias("percentile"))
+    """Linear between the two places around share * (n - 1); null for a group without values."""
+    ranked = ranked_counts(rows, by, value).withColumn("at", F.lit(share) * (F.col("all") - 1))
+    stands = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    low, high = F.floor("at"), F.ceil("at")
+    ends = ranked.filter(stands(low) | stands(high)).groupBy(*by, "at").agg(F.max(F.when(stands(low), F.col("v"))).alias("a"), F.max(F.when(stands(high), F.col("v"))).alias("b"))
+    found = ends.select(*[F.col(c).alias(f"p_{c}") for c in by], F.when(low == high, F.col("a").cast("double")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b")).alias("percentile"))
+    groups = rows.select(*by).distinct()
+    return groups.join(found, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in by]), "left").select(*by, "percentile")
 
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, median, stdev (sample; 0 for one), least and most."""
-    return rows.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most")
-    )
+    middle = percentile_linear(rows, by, value, 0.5).select(*[F.col(c).alias(f"m_{c}") for c in by], F.col("percentile").alias("median"))
+    rest = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return rest.join(middle, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in by])).select(*by, "mean", "median", "stdev", "least", "most")

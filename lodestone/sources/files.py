@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import or_else
+from lodestone.sources import versions
 
 # Link forms and image kinds.
 ARTICLE_LINK = r"(?i)knowledgebase\.php\?article=(\d+)"
@@ -72,26 +73,27 @@ def static_path(path: Column, filename: Column) -> Column:
 
 
 class Store:
-    """A table in versions: each write is a new folder, and a pointer table names the one to read."""
+    """A table in versions: each write is a new folder, and the newest version's file names the one to read.
+
+    Of two writers that publish at once one begins again after the other, so no write is lost unseen and readers see whole tables.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("version string, n long").json(f"{self.path}/_pointer")
-
     def write(self, df: DataFrame) -> str:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{version}")
-        n = 0
-        try:
-            n = (self._pointer().agg(F.max("n")).head()[0] or 0) + 1
-        except Exception as e:  # no pointer yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        self.spark.createDataFrame([(version, n)], "version string, n long").coalesce(1).write.mode("append").json(f"{self.path}/_pointer")
-        return version
+        folder = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{folder}")
+        while True:
+            number, _ = versions.latest(self.spark, f"{self.path}/_versions")
+            try:
+                versions.publish(self.spark, f"{self.path}/_versions", number + 1, {"folder": folder})
+                return folder
+            except versions.Conflict:
+                continue
 
     def read(self) -> DataFrame:
-        version = self._pointer().agg(F.max_by("version", "n")).head()[0]
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        state = versions.latest(self.spark, f"{self.path}/_versions")[1]
+        if state is None:
+            raise ValueError(f"nothing is stored at {self.path}")
+        return self.spark.read.parquet(f"{self.path}/{state['folder']}")
