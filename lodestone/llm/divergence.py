@@ -7,7 +7,7 @@ Higher-order functions turn a vector into the contributions |p - q| of all pairs
 before they are shuffled, so what travels is a row a pair and task.  Terms over-used by a source against its
 language are ranked behind a limit a group and task.
 
-Counts are pre-aggregated by (language, source, term) before the first shuffle, so a source with a third of the
+Terms are counted in Arrow batches and summed by (language, source, term) before the first shuffle, so a source with a third of the
 documents or a word in all of them is no single task's work.  The wide table has as many rows as kept terms and is
 the only thing that is read more than once; the languages' totals are broadcast up to BROADCAST_GROUPS sources in
 all.  Pairs are the result itself: a language with S sources has S * (S - 1) of them.
@@ -23,7 +23,10 @@ in value go by the item's bytes; extra columns are ignored and an empty table gi
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +35,51 @@ from lodestone.llm import common
 MIN_DOCUMENTS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Most sources, over all languages, whose totals are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
-#: What stands between terms: all of ASCII but letters.
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def terms(text: Column) -> Column:
-    """The terms of a text, A-Z lower-cased."""
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lowered, _BETWEEN), lambda w: w != "")
+#: (source, term) counts that a task holds before it hands them on, and bytes of a long text that are taken at a time.
+HELD, PIECE = 200_000, 1 << 22
+#: A-Z lower-cased, and a blank for all of ASCII but letters.
+_FOLD = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
+
+
+def terms(raw: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, a long one's in several lists."""
+    start = 0
+    while start < len(raw):
+        part = raw[start : start + PIECE].translate(_FOLD)
+        if start + PIECE < len(raw):
+            part = part[: part.rfind(b" ") + 1] or raw[start:].translate(_FOLD)
+        yield part.split()
+        start += len(part)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, c (occurrences), d (documents): summed over as many documents as HELD lets."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (c, d) in held.items():
+            n = len(c)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())],
+                names=["lang", "source", "term", "c", "d"],
+            )
+
+    for batch in batches:
+        at, data = common.buffers(batch.column("text"))
+        for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
+            c, d = held.setdefault(group, (Counter(), Counter()))
+            before, own = len(c), set()
+            for words in terms(data[at[i] : at[i + 1]].tobytes()):
+                c.update(words)
+                own.update(words)
+            d.update(own)
+            size += len(c) - before
+        if size > HELD:
+            yield from summed()
+            held.clear()
+            size = 0
+    yield from summed()
 
 
 def share(count: str, total: str, kept: str) -> str:
@@ -54,10 +94,7 @@ def share(count: str, total: str, kept: str) -> str:
 
 def wide_vectors(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """lang, term, counts (map from source to occurrences): one row a kept term."""
-    words = docs.select("lang", "source", terms(F.col("text")).alias("w"))
-    once = lambda c, d: lambda w: F.struct(w.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d"))
-    both = F.concat(F.transform("w", once(1, 0)), F.transform(F.array_distinct("w"), once(0, 1)))
-    rows = words.select("lang", "source", F.inline(both))
+    rows = common.in_batches(docs.select("lang", "source", "text"), _counted, "lang string, source string, term string, c long, d long")
     counts = rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     wide = counts.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "c"))).alias("counts"), F.sum("d").alias("documents"))
     return wide.filter(F.col("documents") >= min_documents).select("lang", "term", "counts")

@@ -54,7 +54,8 @@ def odd_rows():
 @pytest.mark.parametrize(("least", "top", "limit"), [(30, 50, None), (3, 2, None), (1, 5, 0)])
 def test_against_integers(spark, monkeypatch, least, top, limit):
     if limit is not None:
-        monkeypatch.setattr(dv, "BROADCAST_GROUPS", limit)
+        for name, value in (("BROADCAST_GROUPS", limit), ("HELD", 3), ("PIECE", 7)):
+            monkeypatch.setattr(dv, name, value)
     rows = odd_rows()
     got = dv.diverging(documents(spark, rows), least, top)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
