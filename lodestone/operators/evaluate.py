@@ -31,7 +31,7 @@ into out up down after before once each both about
 TIMEOUTS, REFUSED = ("ReadTimeout", "ConnectTimeout", "PoolTimeout"), ("ConnectError",)
 TARGET_S = 10.0
 SHINGLE, CONTAINED = 8, 0.15
-#: Shingles (8 bytes each) of the smaller side up to which the other is filtered by a broadcast.
+#: Shingles (some 30 bytes each, with their text's id and size) of the left side that are broadcast.
 BROADCAST_SHINGLES = 1_000_000
 MIN_TERM, MIN_TERMS = 4, 8
 
@@ -90,34 +90,33 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("query", F.col("recall").alias("before")).join(after.select("query", F.col("recall").alias("after")), "query").filter("after < before")
 
 
-def word_shingles(text: Column, n: int = SHINGLE) -> Column:
-    """Distinct runs of n words."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-
-    def runs(w: Column) -> Column:
-        return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.expr("cast(array() as array<string>)"))
-
-    # a lambda's variable is computed once; the expression itself would be for every run
-    return F.get(F.transform(F.array(words), runs), F.lit(0))
-
-
 def containment(a: Column, b: Column) -> Column:
     """Shared over the smaller of two sets; 0 if one is empty."""
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
+    """Distinct 64-bit hashes of the runs of n words, made of the words' hashes."""
+    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.xxhash64(x))  # noqa: PLW0108 - a lambda names its variable
+
+    def runs(w: Column) -> Column:
+        of = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), of))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
+
+
 def contained(left: DataFrame, right: DataFrame, least: float = CONTAINED) -> DataFrame:
     """left_id, right_id, shared, share of the pairs (left_id, text; right_id, text) whose shingles' containment exceeds `least`.
 
-    Shingles meet as 64-bit hashes; only those of the left side's are shuffled.
+    Shingles meet as 64-bit hashes.  Up to BROADCAST_SHINGLES of the left side go to the right side's rows, so a shingle
+    that half of them hold is nobody's single task and only counts of pairs are shuffled; beyond, both sides are shuffled.
     """
-    hashed = lambda c: F.transform(word_shingles(F.col("text")), lambda g: F.xxhash64(g))  # noqa: E731, ARG005
-    a = left.select("left_id", hashed("text").alias("s")).select("left_id", F.size("s").alias("a"), F.explode("s").alias("g"))
-    b = right.select("right_id", hashed("text").alias("s")).select("right_id", F.size("s").alias("b"), F.explode("s").alias("g"))
-    wanted = a.select("g").distinct()
-    if wanted.count() <= BROADCAST_SHINGLES:
-        b = b.join(F.broadcast(wanted), "g", "left_semi")
+    a = left.select("left_id", shingle_hashes(F.col("text")).alias("s")).select("left_id", F.size("s").alias("a"), F.explode("s").alias("g"))
+    b = right.select("right_id", shingle_hashes(F.col("text")).alias("s")).select("right_id", F.size("s").alias("b"), F.explode("s").alias("g"))
+    if a.count() <= BROADCAST_SHINGLES:
+        a = F.broadcast(a)
     pairs = a.join(b, "g").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"))
     return pairs.withColumn("share", F.col("shared") / F.least("a", "b")).filter(F.col("share") > least).select("left_id", "right_id", "shared", "share")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import html
 from lodestone.functions.text import jaccard
-from lodestone.operators import chunking, evaluate, ingest, models, summarize, understanding
+from lodestone.operators import catalog, chunking, enrich, evaluate, ingest, models, summarize, understanding
 from lodestone.sources import files
 from lodestone.streaming import streams
 
@@ -40,6 +40,37 @@ _STOP = ", ".join(f"'{w}'" for w in summarize.STOPWORDS)
 Q["summary_terms"] = lambda s, d: table(s, d, "documents").select(F.explode(summarize.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 S["summary_terms"] = f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM documents) WHERE length(term) > 2 AND term NOT IN ({_STOP}) GROUP BY term"
 
+def stand_in_model() -> enrich.Complete:
+    """No model is shipped: answers with the end of the prompt, and refuses those whose length is a multiple of 11."""
+
+    def complete(prompts: list[str]) -> list[str]:
+        if refused := [p for p in prompts if len(p) % 11 == 0]:
+            raise ValueError(f"refused {len(refused[0])}")
+        return [f"Summary: {p[-200:]}" for p in prompts]
+
+    return complete
+
+
+def _enriched(s: SparkSession, d: str) -> enrich.Enrichment:
+    none = {"llm_summary": F.lit(None).cast("string"), "llm_summary_at": F.lit(None).cast("timestamp"), "updated_at": F.lit("2026-01-01").cast("timestamp")}
+    rows = articles(s, d).withColumnRenamed("text", "raw_content").withColumns(none)
+    return enrich.enriched(rows, catalog.stale_summaries(rows), stand_in_model)
+
+
+Q["enrich_summaries"] = lambda s, d: _enriched(s, d).outcomes
+Q["enrich_report"] = lambda s, d: _enriched(s, d).report
+_PROMPT = enrich.PROMPT.replace("\n", "' || chr(10) || '").replace("{title}", "Document ' || doc_id || '").replace("{category}", "' || coalesce(nullif(source, ''), 'General') || '").replace("{text}", f"' || t[1:{enrich.MOST_INPUT}] || '")
+_OUTCOMES = rf"""WITH t AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents),
+p AS (SELECT doc_id, CASE WHEN t <> '' THEN '{_PROMPT}' END AS p FROM t),
+a AS (SELECT doc_id, p, length(p) % 11 = 0 AS refused, trim(regexp_replace(right(p, 200), '\s+', ' ', 'g')) AS summary FROM p),
+o AS (SELECT doc_id AS article_id, CASE WHEN refused THEN 'failed' WHEN length(summary) >= {enrich.LEAST_ANSWER} THEN 'enriched' ELSE 'skipped' END AS outcome, summary,
+      CASE WHEN refused THEN 'ValueError: refused ' || length(p) END AS error, CASE WHEN p IS NULL THEN 0 WHEN refused THEN {enrich.ATTEMPTS} ELSE 1 END AS attempts FROM a)
+"""
+S["enrich_summaries"] = f"{_OUTCOMES} SELECT article_id, outcome, CASE WHEN outcome = 'enriched' THEN summary END AS summary, error, attempts::INT AS attempts FROM o"
+S["enrich_report"] = f"""{_OUTCOMES} SELECT count(*) AS considered, count(*) FILTER (outcome = 'enriched') AS enriched, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
+(SELECT list(e ORDER BY article_id) FROM (SELECT article_id, article_id || ': ' || error AS e FROM o WHERE outcome = 'failed' ORDER BY article_id LIMIT {enrich.LISTED})) AS errors FROM o"""
+
+
 #: A small example; real knowledge comes from a file (understanding.load_knowledge).
 EXAMPLE = understanding.Knowledge(
     (understanding.Group("the", "The", "system", ("the", "of the", "thand")), understanding.Group("on", "On", "object", ("on", "onth", "onre"))),
