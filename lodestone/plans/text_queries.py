@@ -27,6 +27,21 @@ Q["discover_links"] = lambda s, d: files.discovered(table(s, d, "pages"), r'(?i)
 S["discover_links"] = "SELECT DISTINCT unnest(regexp_extract_all(html, '(?i)href=\"([^\"#]+)\"', 1)) AS article_id FROM pages"
 
 
+def _category_pages(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An order is a category's page: it links to its lines' parts, in old orders to none or not at all; customers' numbers are wanted too, of which few are orders."""
+    link = lambda kind, c: F.concat(F.lit(f'<a href="KnowledgeBase.php?{kind}='), F.col(c).cast("string"), F.lit('">x</a>'))
+    html = F.array_join(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") > 1, link("article", "l_partkey")).otherwise(link("category", "l_partkey")))), " ")
+    pages = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("category_id")).agg(html.alias("html"), F.when(F.max("l_quantity") < 10, F.lit("HTTPError: 500")).alias("error"))
+    return pages, table(s, d, "customer").select(F.col("c_custkey").alias("category_id")).unionByName(table(s, d, "orders").select(F.col("o_orderkey").alias("category_id")))
+
+
+Q["category_articles"] = lambda s, d: files.category_scan(*_category_pages(s, d))[0]
+Q["category_failures"] = lambda s, d: files.category_scan(*_category_pages(s, d))[1]
+_WANTED = "WITH w AS (SELECT c_custkey AS category_id FROM customer UNION SELECT o_orderkey FROM orders), p AS (SELECT l_orderkey AS category_id, max(l_quantity) < 10 AS failed, count(*) FILTER (l_linenumber > 1) AS n FROM lineitem GROUP BY l_orderkey)"
+S["category_articles"] = f"{_WANTED} SELECT l_partkey::VARCHAR AS article_id, count(DISTINCT l_orderkey) AS categories FROM lineitem JOIN p ON l_orderkey = category_id SEMI JOIN w ON l_orderkey = w.category_id WHERE NOT failed AND l_linenumber > 1 GROUP BY l_partkey"
+S["category_failures"] = f"{_WANTED} SELECT w.category_id, CASE WHEN failed IS NULL THEN 'no page' WHEN failed THEN 'HTTPError: 500' ELSE 'no article' END AS reason FROM w LEFT JOIN p USING (category_id) WHERE failed IS NULL OR failed OR n = 0"
+
+
 def articles(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("article_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("category"), F.col("source").alias("url"), "text")
 

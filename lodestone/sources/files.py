@@ -25,6 +25,21 @@ def discovered(pages: DataFrame, pattern: str = ARTICLE_LINK) -> DataFrame:
     return pages.select(F.explode(linked_ids(F.col("html"), pattern)).alias("article_id")).distinct()
 
 
+def category_scan(pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles that the wanted categories' pages link to (article_id, categories: how many name it), and the categories that gave none (category_id, reason).
+
+    pages: category_id, html, error (null for a page that was fetched), at most a row a category; wanted: category_id.
+    Only wanted categories count; links to further categories are not followed.  A page that failed or is missing
+    is a row of the second table and costs the others nothing.
+    """
+    asked = wanted.select("category_id").distinct().join(pages.select("category_id", "html", "error", F.lit(True).alias("_there")), "category_id", "left")
+    good = F.col("error").isNull() & F.col("html").isNotNull()
+    linked = asked.filter(good).select("category_id", linked_ids(F.col("html")).alias("ids"))
+    found = linked.select(F.explode("ids").alias("article_id")).groupBy("article_id").agg(F.count("*").alias("categories"))
+    reason = F.when(F.col("_there").isNull(), "no page").when(~good, F.coalesce("error", F.lit("no text"))).when(F.size(linked_ids(F.col("html"))) == 0, "no article")
+    return found, asked.select("category_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def crawled(pages: DataFrame) -> DataFrame:
     """Pages with a cleaned text that is not empty, by number."""
     from lodestone.functions import html
