@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from lodestone.functions.text import collapse, strip
 from lodestone.operators.lineage import cut
 
 MAX_VARIANTS, FUZZY, FUZZY_TERMS = 4, 0.86, 0.82
@@ -184,25 +185,51 @@ def normalize(knowledge: Knowledge, vocabulary: list[str] | None = None, cutoff:
 _MATCH = ArrayType(StructType([StructField("term", StringType()), StructField("group_id", StringType()), StructField("start", IntegerType()), StructField("length", IntegerType())]))
 
 
-def find_terms(knowledge: Knowledge, text: str) -> list[tuple[str, str, int, int]]:
-    """(term, group, start, length) in reading order; phrases take their tokens first, longest first."""
-    owners, tokens = knowledge.owners(), text.lower().split()
-    taken, found = set(), []
-    for phrase in knowledge.phrases():
-        n, term = len(phrase), " ".join(phrase)
-        for i in range(len(tokens) - n + 1):
-            span = set(range(i, i + n))
-            if term in owners and not span & taken and tuple(tokens[i : i + n]) == phrase:
-                taken |= span
-                found.append((term, owners[term].id, i, n))
-    found += [(t, owners[t].id, i, 1) for i, t in enumerate(tokens) if i not in taken and t in owners]
-    return sorted(found, key=lambda m: m[2])
+class Terms:
+    """The knowledge's terms as a tree of tokens, built once a task: a text is read once, whatever their number."""
+
+    def __init__(self, knowledge: Knowledge):
+        self.owner = {t: g.id for t, g in knowledge.owners().items()}
+        self.tree: dict = {}
+        for rank, phrase in enumerate(knowledge.phrases()):
+            if " ".join(phrase) in self.owner:
+                node = self.tree
+                for token in phrase:
+                    node = node.setdefault(token, {})
+                node[None] = rank  # no token is None
+
+    def occurrences(self, tokens: list[str]) -> list[tuple[int, int, int]]:
+        """(rank of the phrase, start, length) of every place where a phrase stands."""
+        out = []
+        for start in range(len(tokens)):
+            node = self.tree
+            for end in range(start, len(tokens)):
+                node = node.get(tokens[end])
+                if node is None:
+                    break
+                if None in node:
+                    out.append((node[None], start, end - start + 1))
+        return out
+
+    def found(self, text: str) -> list[tuple[str, str, int, int]]:
+        """(term, group, start, length) in reading order; phrases take their tokens first, longest first."""
+        tokens = text.lower().split()
+        free, chosen = bytearray(b"\1" * len(tokens)), []
+        for _, start, n in sorted(self.occurrences(tokens)):
+            if all(free[start : start + n]):
+                free[start : start + n] = bytes(n)
+                chosen.append((start, n))
+        chosen += [(i, 1) for i, t in enumerate(tokens) if free[i] and t in self.owner]
+        terms = ((" ".join(tokens[i : i + n]), i, n) for i, n in sorted(chosen))
+        return [(t, self.owner[t], i, n) for t, i, n in terms]
 
 
 def match_terms(knowledge: Knowledge):
     @F.pandas_udf(_MATCH)
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: find_terms(knowledge, t or ""))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms = Terms(knowledge)
+        for text in texts:
+            yield text.map(lambda t: terms.found(t or ""))
 
     return run
 
@@ -247,31 +274,29 @@ def entities(knowledge: Knowledge, matches: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(matches, lambda m: F.try_element_at(table, m["group_id"]))))
 
 
-def substituted(text: str, term: str, new: str) -> str:
-    return re.sub(rf"\b{re.escape(term)}\b", lambda _: new, text, flags=re.I)
-
-
-def variant_list(knowledge: Knowledge, normalized: str, found: list[str], terms: list[tuple[str, list[str]]], most: int = MAX_VARIANTS) -> list[str]:
-    """The query, its intents' phrasings, substitutions by canonical and longest synonym, and questions for short ones; at most most + 1."""
-    if not normalized:
-        return []
-    owners = knowledge.owners()
-    candidates = [normalized, *(p for i in knowledge.intents if i.name in found for p in i.phrasings)]
-    for term, synonyms in terms:
-        if not synonyms:
-            continue
-        canonical = owners[term.lower()].terms[0] if term.lower() in owners else None
-        if canonical and canonical.lower() != term.lower():
-            candidates.append(substituted(normalized, term, canonical))
-        longest = max(synonyms, key=len)
-        if longest.lower() != term.lower() and longest != canonical:
-            candidates.append(substituted(normalized, term, longest))
-    if len(normalized.split()) <= 3 and not re.match(QUESTION_WORDS, normalized, re.I):
-        candidates += [q.format(normalized) for q in QUESTIONS]
-    out: dict[str, str] = {}
-    for c in filter(None, map(str.strip, candidates)):
-        out.setdefault(c.lower(), c)
-    return list(out.values())[: most + 1]
+def _substitutions(knowledge: Knowledge) -> Column:
+    """Map from a term to (pattern, replacement) of its canonical form and its longest synonym, where they differ from it and each other."""
+    owners, entries = knowledge.owners(), []
+    quoted = lambda t: r"(?iU)\b\Q" + t.replace("\\E", r"\E\\E\Q") + r"\E\b"
+    for term, synonyms in knowledge.synonyms().items():
+        others = {owners[term].terms[0]: 0, max(synonyms, key=len): 1} if synonyms else {}
+        pairs = [F.struct(F.lit(quoted(term)).alias("pattern"), F.lit(re.sub(r"([\\$])", r"\\\1", o)).alias("new")) for o in others if o.lower() != term]
+        if pairs:
+            entries += [F.lit(term), F.array(*pairs)]
+    return F.create_map(*entries) if entries else F.expr("cast(map() as map<string, array<struct<pattern: string, new: string>>>)")
+
+
+def variants(knowledge: Knowledge, normalized: Column, found: Column, added: Column, most: int = MAX_VARIANTS) -> Column:
+    """The query, its intents' phrasings, substitutions of its terms, and questions for short ones: the first most + 1, each once (case ignored)."""
+    none, texts = F.expr("cast(array() as array<string>)"), lambda *t: F.array(*map(F.lit, t))
+    phrasings = [F.when(F.array_contains(found, i.name), texts(*i.phrasings)).otherwise(none) for i in knowledge.intents if i.phrasings]
+    changed = F.flatten(F.transform(added, lambda e: F.transform(F.coalesce(F.try_element_at(_substitutions(knowledge), e["term"]), F.expr("cast(array() as array<struct<pattern: string, new: string>>)")), lambda c: F.regexp_replace(normalized, c["pattern"], c["new"]))))
+    short = (F.size(F.split(collapse(normalized), " ")) <= 3) & ~normalized.rlike(rf"(?iU)^{QUESTION_WORDS}")
+    questions = F.when(short, F.array(*[F.concat(F.lit(before), normalized, F.lit(after)) for before, after in (q.split("{}") for q in QUESTIONS)])).otherwise(none)
+    listed = F.filter(F.transform(F.concat(F.array(normalized), *phrasings, changed, questions), strip), lambda c: c != "")
+    # a lambda's variable is computed once
+    once = F.get(F.transform(F.array(listed), lambda a: F.filter(a, lambda c, i: F.array_position(F.transform(a, F.lower), F.lower(c)) == i + 1)), F.lit(0))
+    return F.when(normalized == "", none).otherwise(F.slice(once, 1, most + 1))
 
 
 def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | None = None, most: int = MAX_VARIANTS, stages: frozenset[str] = frozenset(("normalize", "synonyms", "intents", "variants"))) -> DataFrame:
@@ -286,11 +311,6 @@ def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | No
         knowledge = replace(knowledge, groups=())
     most = most if "variants" in stages else 0
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def variants(normalized: pd.Series, found: pd.Series, added: pd.Series) -> pd.Series:
-        rows = zip(normalized, found, added, strict=True)
-        return pd.Series([variant_list(knowledge, n, list(f), [(a["term"], list(a["synonyms"])) for a in e], most) for n, f, e in rows])
-
     if "normalize" in stages:
         base = queries.withColumn("_n", normalize(knowledge, vocabulary)("query")).select("*", "_n.*").drop("_n")
     else:
@@ -304,7 +324,7 @@ def process(queries: DataFrame, knowledge: Knowledge, vocabulary: list[str] | No
         *queries.columns, "normalized", "corrections", expanded(F.col("normalized"), F.col("expansions")).alias("lexical"), "matches", "intents", "entities",
         (F.array_sort(F.array_distinct(F.concat(*chosen))) if chosen else F.expr("cast(array() as array<string>)")).alias("boost_terms"),
         (F.arrays_overlap("intents", F.array(*map(F.lit, steps))) if steps else F.lit(False)).alias("procedural"),
-        variants("normalized", "intents", "expansions").alias("variants"),
+        variants(knowledge, F.col("normalized"), F.col("intents"), F.col("expansions"), most).alias("variants"),
         ((F.size("intents") > 0) | (F.size("entities") > 0)).alias("understood"), ((F.size(F.map_keys("corrections")) > 0) | (F.size("expansions") > 0)).alias("changed"),
     )
 
