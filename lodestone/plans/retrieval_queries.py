@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as text_functions
@@ -333,6 +333,67 @@ def shortlist_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["shortlist_strategies"] = shortlist_strategies
 
 
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What retrieval found (query_id, article_id, rank), cases (query_id, kind, expected) and the found chunks.
+
+    A passage expects the articles of documents that share eight words in a row with it; without any it is off topic.
+    """
+    found = retrieved(spark, sf_dir)
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), "text")
+    right = evaluate.contained(passages, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), "text"), 0.0)
+    expected = right.groupBy(F.col("left_id").alias("query_id")).agg(F.collect_set(F.expr("right_id div 5")).alias("expected"))
+    cases = passages.select(F.col("left_id").alias("query_id")).join(expected, "query_id", "left").select(
+        "query_id", F.when(F.col("expected").isNull(), "offtopic").otherwise("covered").alias("kind"), F.coalesce("expected", F.expr("cast(array() as array<bigint>)")).alias("expected")
+    )
+    final = lineage.cut(found.final.select("query_id", "article_id", "final_rank", "score"))
+    return final.groupBy("query_id", "article_id").agg(F.min("final_rank").alias("rank")), lineage.cut(cases), final
+
+
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, cases, _ = judged(spark, sf_dir)
+    return evaluate.quality(results, cases).select("query_id", "kind", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+def retrieval_quality_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, cases, _ = judged(spark, sf_dir)
+    return evaluate.quality_by_kind(evaluate.quality(results, cases)).select("kind", "n", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+def retrieval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the covered passages with an expected article among the first one, three and five."""
+    results, cases, _ = judged(spark, sf_dir)
+    covered = cases.filter("kind = 'covered'")
+    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    hits = evaluate.first_hits(ranked, covered.select("query_id", F.explode("expected").alias("article_id")))
+    return evaluate.recall_at(hits, covered, (1, 3, 5)).select(*[F.round(f"recall_at_{k}", 6).alias(f"recall_at_{k}") for k in (1, 3, 5)])
+
+
+def retrieval_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cases, final = judged(spark, sf_dir)
+    return evaluate.separation(fusion.confidence(cases, final).join(cases, "query_id")).select(F.round("separation", 6).alias("separation"))
+
+
+_JUDGED = _SCORED + r""",
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)),
+bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark)),
+ex AS (SELECT DISTINCT item_id AS query_id, doc_id // 5 AS article_id FROM bg JOIN dg USING (g)),
+ra AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY min(final_rank)) AS rank FROM fin GROUP BY query_id, article_id),
+n AS (SELECT item_id AS query_id, (SELECT count(*) FROM ex WHERE ex.query_id = item_id) AS n_ex, (SELECT count(*) FROM ra WHERE ra.query_id = item_id) AS n_got,
+  (SELECT count(*) FROM ra SEMI JOIN ex ON ra.query_id = ex.query_id AND ra.article_id = ex.article_id WHERE ra.query_id = item_id) AS hits FROM benchmark),
+qual AS (SELECT query_id, CASE WHEN n_ex = 0 THEN 'offtopic' ELSE 'covered' END AS kind, CASE WHEN n_ex = 0 THEN (n_got = 0)::INT::DOUBLE ELSE hits / n_ex::DOUBLE END AS recall,
+  CASE WHEN n_ex = 0 THEN (n_got = 0)::INT::DOUBLE WHEN n_got = 0 THEN 0.0 ELSE hits / n_got::DOUBLE END AS precision FROM n)"""
+Q["retrieval_quality"] = retrieval_quality
+S["retrieval_quality"] = f"WITH {_JUDGED} SELECT query_id, kind, round(recall, 6) AS recall, round(precision, 6) AS precision FROM qual"
+Q["retrieval_quality_by_kind"] = retrieval_quality_by_kind
+S["retrieval_quality_by_kind"] = f"WITH {_JUDGED} SELECT kind, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM qual GROUP BY kind"
+Q["retrieval_recall_at_k"] = retrieval_recall_at_k
+S["retrieval_recall_at_k"] = f"""WITH {_JUDGED}, f AS (SELECT query_id, (SELECT min(rank) FROM ra SEMI JOIN ex ON ra.query_id = ex.query_id AND ra.article_id = ex.article_id WHERE ra.query_id = qual.query_id) AS first FROM qual WHERE kind = 'covered')
+SELECT {', '.join(f"round(avg(coalesce(first <= {k}, false)::INT), 6) AS recall_at_{k}" for k in (1, 3, 5))} FROM f"""
+Q["retrieval_separation"] = retrieval_separation
+S["retrieval_separation"] = f"""WITH {_JUDGED}, c AS (SELECT qual.query_id, kind, coalesce(avg(score), 0.0) AS confidence FROM qual LEFT JOIN fin ON fin.query_id = qual.query_id GROUP BY ALL)
+SELECT round(avg(confidence) FILTER (kind = 'covered') - avg(confidence) FILTER (kind = 'offtopic'), 6) AS separation FROM c"""
+
+
 def category_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors of every query vector, within the query's own label where its id is a multiple of 40."""
     rows = embeddings(spark, sf_dir).withColumn("category", F.col("label").cast("string"))
