@@ -73,7 +73,7 @@ def _enriched(s: SparkSession, d: str) -> enrich.Enrichment:
 
 
 Q["enrich_summaries"] = lambda s, d: _enriched(s, d).outcomes
-Q["enrich_report"] = lambda s, d: _enriched(s, d).report
+Q["enrich_report"] = lambda s, d: _enriched(s, d).report.withColumn("errors", F.array_join("errors", "\n"))
 _PROMPT = enrich.PROMPT.replace("\n", "' || chr(10) || '").replace("{title}", "Document ' || doc_id || '").replace("{category}", "' || coalesce(nullif(source, ''), 'General') || '").replace("{text}", f"' || t[1:{enrich.MOST_INPUT}] || '")
 _OUTCOMES = rf"""WITH t AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents),
 p AS (SELECT doc_id, CASE WHEN t <> '' THEN '{_PROMPT}' END AS p FROM t),
@@ -83,7 +83,7 @@ o AS (SELECT doc_id AS article_id, CASE WHEN refused THEN 'failed' WHEN length(s
 """
 S["enrich_summaries"] = f"{_OUTCOMES} SELECT article_id, outcome, CASE WHEN outcome = 'enriched' THEN summary END AS summary, error, attempts::INT AS attempts FROM o"
 S["enrich_report"] = f"""{_OUTCOMES} SELECT count(*) AS considered, count(*) FILTER (outcome = 'enriched') AS enriched, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
-(SELECT list(e ORDER BY article_id) FROM (SELECT article_id, article_id || ': ' || error AS e FROM o WHERE outcome = 'failed' ORDER BY article_id LIMIT {enrich.LISTED})) AS errors FROM o"""
+(SELECT coalesce(string_agg(e, chr(10) ORDER BY article_id), '') FROM (SELECT article_id, article_id || ': ' || error AS e FROM o WHERE outcome = 'failed' ORDER BY article_id LIMIT {enrich.LISTED})) AS errors FROM o"""
 
 
 #: A small example; real knowledge comes from a file (understanding.load_knowledge).
