@@ -15,9 +15,10 @@
    the stars whose nodes are not in one component yet are gone through once more: all
    nodes of such a star meet with their full sets, and only pairs of different
    components are compared.  A group holds LARGE nodes and LARGE_SHINGLES shingles at
-   most.  Larger stars are dealt into blocks of which any two meet, the largest by the
-   two bands that a pair shares first.  A group tells only links that join two of its
-   parts, fewer than it has nodes.
+   most.  Larger stars are dealt into blocks of which any two meet, the largest by rare
+   shingles first.  Either way any two nodes of a star that can be linked meet, so what is
+   found does not depend on the star's size.  A group tells only links that join two of
+   its parts, fewer than it has nodes.
 
 Defined results: null or empty texts have no shingles and link with nothing; rows
 with equal doc_id are one document; a null doc_id is its own component (null) and
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -41,7 +42,7 @@ BINS = 128
 MISS, LEAST_PERCENT = 1e-6, 12
 #: Most nodes and shingles (8 bytes each) of a group that meets in one task; two sets that alone have more meet all the same.
 LARGE, LARGE_SHINGLES = 2048, 1 << 21
-#: Stars with more than so many times LARGE nodes are dealt by two bands before they are dealt into blocks.
+#: Stars with more than so many times LARGE nodes are dealt by rare shingles before they are dealt into blocks.
 HUGE = 16
 #: Node lists up to this many (8 bytes each) may be broadcast.
 BROADCAST_NODES = 200_000
@@ -259,24 +260,51 @@ def _blocks(groups: DataFrame) -> DataFrame:
     return sized.filter(fits).select("g", "node", F.lit(0).cast("long").alias("block")).unionByName(dealt)
 
 
-def open_groups(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+def rare_groups(docs: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
+    """g, node, n_shingles of stars (g, node, c; checkpointed): any two nodes of a star that are a link between components meet in some group.
+
+    Read two linked sets in one order.  All that they must have in common follows their first common shingle, so it is
+    among the first n - ceil(percent / 100 * n) + 1 of either, and of the smaller set even among the first
+    n - ceil(2 * percent / (100 + percent) * n) + 1 (`soon`).  The order is from the star's seldom shingles to its frequent
+    ones: what a template gives to all of its pages comes last.  Nodes that share a shingle with more than LARGE others
+    meet once, in one group a star.
+    """
+    nodes = common.checkpointed(stars.select("node").distinct())
+    sets = full_sets(docs, nodes, size, nodes.count() <= BROADCAST_NODES)
+    sets = sets.select("node", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("of"), "shingles").dropDuplicates(["node", "of"])
+    each = common.checkpointed(stars.join(sets, "node")).select("g", "node", "of", "n", "c", F.explode("shingles").alias("s"))
+    often = common.checkpointed(each.groupBy("g", "s").agg(F.count("*").alias("often")).filter("often > 1"))
+    own = Window.partitionBy("g", "node", "of")
+    # shingles that no other node has come first and need no row
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "s"))
+    ahead = each.join(often, ["g", "s"]).withColumn("place", place).filter(f"place <= n - ({percent} * n + 99) div 100 + 1")
+    soon = F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    ahead = common.checkpointed(ahead.select("g", "s", "node", "n", "c", soon.alias("soon")))
+    met = ahead.groupBy("g", "s").agg(
+        F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("soon").alias("soon"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
+    ).filter("soon and low != high")
+    met = common.checkpointed(met.groupBy("g", "size", "one", "two").agg(F.min("s").alias("s")).select("g", "s", "size"))  # of equal groups one
+    meets = F.when(F.col("size") <= LARGE, F.xxhash64("g", "s")).otherwise(F.col("g"))
+    return ahead.join(met, ["g", "s"]).select(meets.alias("g"), "node", F.col("n").alias("n_shingles")).distinct()
+
+
+def open_groups(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame | None = None, size: int = 2, percent: int = 80) -> DataFrame:
     """g, node, block, c (component): the nodes of stars that are not in one component yet, in bounded groups; checkpointed.
 
-    Any two nodes of one bucket that can be linked meet in some group.
+    Any two nodes of one bucket that can be linked meet in some group.  Without `docs` the largest stars too are dealt into blocks only.
     """
     stars = buckets.select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("c"))
     stars = common.checkpointed(stars)
     mixed = stars.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).filter("low != high").select("hub", "size")
     mixed = common.checkpointed(mixed)
-    sizes = reps.select("node", "n_shingles")
-    rows = stars.join(mixed, "hub").join(sizes, "node").select(F.col("hub").alias("g"), "node", "n_shingles", "size")
-    groups = rows.filter(F.col("size") <= HUGE * LARGE).drop("size")
-    huge = mixed.filter(F.col("size") > HUGE * LARGE).select("hub")
-    if not huge.isEmpty():
-        # a pair at the threshold shares a second band as surely as a first; the two keys in either order are one group
-        hot = buckets.join(huge, "hub", "left_semi").select("key", "node").join(reps.select("node", "n_shingles", "keys"), "node")
-        pairs = hot.select("node", "n_shingles", "key", F.explode("keys").alias("other")).filter("key != other")
-        groups = groups.unionByName(pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("g"), "node", "n_shingles").distinct())
+    most = HUGE * LARGE
+    huge = docs is not None and not mixed.filter(F.col("size") > most).isEmpty()
+    rows = stars.join(mixed.filter(F.col("size") <= most) if huge else mixed, "hub")
+    groups = rows.join(reps.select("node", "n_shingles"), "node").select(F.col("hub").alias("g"), "node", "n_shingles")
+    if huge:
+        large = common.checkpointed(stars.join(mixed.filter(F.col("size") > most), "hub").select(F.col("hub").alias("g"), "node", "c"))
+        groups = groups.unionByName(rare_groups(docs, large, size, percent))
     dealt = _blocks(common.checkpointed(groups))
     return common.checkpointed(dealt.join(stars.select("node", "c").distinct(), "node").select("g", "node", "block", "c"))
 
@@ -364,7 +392,7 @@ def node_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
     tried = common.checkpointed(plausible(stars, reps, percent))
     links = common.checkpointed(confirmed(docs, tried, size, percent))
     comps = common.checkpointed(components(links))
-    groups = open_groups(buckets, reps, comps)
+    groups = open_groups(buckets, reps, comps, docs, size, percent)
     more = common.checkpointed(group_confirmed(docs, groups, size, percent))
     return comps if more.isEmpty() else common.checkpointed(components(common.checkpointed(links.unionByName(more))))
 

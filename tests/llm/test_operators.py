@@ -488,6 +488,26 @@ def test_minhash_groups_are_bounded(spark, large, shingles, huge, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 380
 
 
+@pytest.mark.parametrize(("large", "huge"), [(2048, 16), (40, 1), (3, 1), (2, 1)])
+def test_minhash_links_of_a_star_do_not_depend_on_its_size(spark, large, huge, monkeypatch):
+    """All texts share one bucket and no other, as a linked pair may; a star above HUGE * LARGE nodes tells the same links."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "HUGE", huge)
+    whole = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *a: whole(*a).withColumn("keys", F.when(F.col("n_shingles") > 0, F.array(F.lit(7).cast("long")))))
+    rng = random.Random(17)
+    template = [f"t{i}" for i in range(100)]
+    texts = [template[: rng.randint(80, 100)] + [f"u{k}x{i}" for i in range(rng.randint(8, 45))] for k in range(90)]
+    for k in range(0, 60, 3):  # near the threshold, from either side
+        texts[k + 2] = texts[k + 1][: -(k // 3)] + [f"v{k}x{i}" for i in range(rng.randint(0, 4))]
+    texts += [["one"], ["one", "two"], ["one", "two", "three"], [f"s{i}" for i in range(6)], [f"s{i}" for i in range(5)], template, template]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = brute_components(texts, list(range(len(texts))), 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert got == want and 30 < len({c for _, c in want.values()}) < 95
+
+
 def test_shared_counts():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(-50, 50, n)) for n in (1, 3, 40, 80, 200)]
