@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +44,7 @@ from lodestone.llm import common
 WINDOW, QUANTUM, DEPTH = 4096, 16, 3
 END_OF_DOCUMENT = 2
 #: Strings kept in a worker's memo, and the longest one that is kept.
-MEMO_SIZE, MEMO_CHARS = 200_000, 48
+MEMO_SIZE, MEMO_CHARS = 400_000, 48
 #: Cut tails up to this many are found again by a broadcast of their keys (24 bytes each).
 BROADCAST_CUTS = 200_000
 
@@ -51,21 +52,41 @@ BROADCAST_CUTS = 200_000
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _BLANK = "\\t-\\r\\x1c-\\x20\\x85\xa0"
-#: The pretokens of a lower-cased text of Latin letters (below U+0250), as the tokenizer's own pattern finds them.
-_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
+#: The pretokens of a lower-cased text of Latin letters (below U+0250), as the tokenizer's own pattern finds them; the usual ones are tried first.
+_PRETOKENS = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
 #: Texts with these take the tokenizer's own pattern: other scripts, its special tokens, and separators that are no white space there.
 _FOREIGN = re.compile("[\\x1c-\\x1f\u0250-\U0010ffff]|<\\|").search
-#: New words that are encoded by one call.
-_TOGETHER = 512
+#: The same for texts below U+0100.
+_MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Bytes that the vocabulary's tokens show as themselves; the others stand as characters from U+0100 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTES = [chr(b if b in _SHOWN else 0x100 + _HIDDEN.index(b)) for b in range(256)]
+#: The same for each character below U+0250, which is all that plain texts have.
+_SPELLED = {chr(c): "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+class _Memo(dict):
+    """Ids of words by `encode`, as little-endian 32-bit bytes; words up to MEMO_CHARS are remembered."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_CHARS:
+            self[word] = raw
+        return raw
 
 
 class Ids:
     """Ids by the word-end BPE of a `tokenizers` file, as little-endian 32-bit bytes.
 
-    That tokenizer lower-cases, drops white space and encodes each pretoken alone,
-    so pretokens are encoded once and remembered.  New ones are encoded many at a
-    time and told apart by the tokens that end a word.  Texts beyond plain Latin are
-    cut at blanks only, and what stands between is encoded as it is.
+    That tokenizer lower-cases, drops white space and encodes each pretoken alone, so
+    pretokens are encoded once, by the tokenizer's model, and remembered.  Texts beyond
+    plain Latin are cut at blanks only, and what stands between is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -73,47 +94,29 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, plain: list[str], other: list[str]) -> None:
-        for i in range(0, len(plain), _TOGETHER):
-            words = plain[i : i + _TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(words):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.memo.update(zip(words, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
-            else:
-                other = other + words
-        if other:
-            coded = self.tokenizer.encode_batch(other, add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, coded, strict=True))
+        tokens = self.tokenizer.model.tokenize
+
+        def pretoken(word: str) -> list[int]:
+            if not (word.isascii() and word.isprintable()):
+                word = "".join([_SPELLED[c] for c in word])
+            return [t.id for t in tokens(word)]
+
+        self.plain = _Memo(pretoken)
+        self.foreign = _Memo(lambda words: self.tokenizer.encode(words, add_special_tokens=False).ids)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_SIZE:
-            self.memo.clear()
-        known = self.memo.__getitem__
         out: list[bytes] = []
-        late, plain, other = [], set(), set()  # texts with new words, and these words
-        for i, t in enumerate(texts):
-            foreign = _FOREIGN(t) is not None
-            words = t.replace("\n", " ").replace("\t", " ").split(" ") if foreign else _PRETOKENS(t.lower())
+        for t in texts:
             try:
-                out.append(b"".join(map(known, words)))
-            except KeyError:
-                out.append(b"")
-                late.append((i, words))
-                (other if foreign else plain).update(w for w in words if w not in self.memo)
-        if late:
-            self._learn(list(plain), list(other - plain))
-            for i, words in late:
-                out[i] = b"".join(map(known, words))
-            for w in (*plain, *other):
-                if len(w) > MEMO_CHARS:
-                    self.memo.pop(w, None)
+                t.encode("latin-1")
+                foreign = any(m in t for m in _MARKS)
+            except UnicodeEncodeError:  # some letters below U+0250 have small ones above
+                foreign = _FOREIGN(t) is not None or _FOREIGN(t.lower()) is not None
+            memo = self.foreign if foreign else self.plain
+            if len(memo) > MEMO_SIZE:
+                memo.clear()
+            words = t.replace("\n", " ").replace("\t", " ").split(" ") if foreign else _PRETOKENS(t.lower())
+            out.append(b"".join(map(memo.__getitem__, words)))
         return out
 
 

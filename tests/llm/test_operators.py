@@ -206,6 +206,16 @@ def test_tokenizer_memo():
         assert own.of([t])[0] == np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_tokenizer_of_every_latin_letter():
+    """Each character below U+0250 within a word, new and remembered; some have small letters beyond (Latin B with hook, A with stroke)."""
+    public = pytest.importorskip("public_tokenizers")
+    own = packing.Ids(public.path("word_bpe_49k.json"))
+    texts = [t for c in map(chr, range(0x250)) for t in (f"a{c}b", f"x{c} {c}{c}y 1{c}")]
+    want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [t for t, x, y in zip(texts, own.of(texts), want, strict=True) if x != y] == []
+    assert own.of(texts) == want
+
+
 def test_chat(spark):
     rows = [
         (1, 1, "assistant", "a\\b <|user|> |> \\<|end|>\n"), (1, 0, "user", None), (1, 2, "user", chat.TRICKY), (1, 3, "assistant", ""),
