@@ -42,8 +42,8 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, confidence: float = CONFIDENCE) -> DataFrame:
-    """host, lines: hashes of each host's boilerplate lines."""
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, confidence: float = CONFIDENCE, min_pages: int = 2) -> DataFrame:
+    """host, lines: hashes of each host's boilerplate lines (on min_pages pages at least)."""
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(_BLANK)), line_key))
     # the null line counts the pages themselves, so one pass serves both counts
     rows = pages.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(lines, F.array().cast("array<bigint>")))).alias("line"))
@@ -52,13 +52,13 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, co
     totals = counts.filter("line is null").select(F.col("host").alias("of"), F.col("n").alias("total"))
     joined = counts.filter("line is not null").join(totals, F.col("host").eqNullSafe(F.col("of")))
     spread = F.sqrt(F.col("total") * F.lit(ratio) * F.lit(1 - ratio))
-    return joined.filter(F.col("n") - 1 > F.col("total") * F.lit(ratio) + F.lit(confidence) * spread).groupBy("host").agg(F.collect_list("line").alias("lines"))
+    return joined.filter((F.col("n") >= min_pages) & (F.col("n") - 1 > F.col("total") * F.lit(ratio) + F.lit(confidence) * spread)).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def remove_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, confidence: float = CONFIDENCE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, confidence: float = CONFIDENCE, min_pages: int = 2) -> DataFrame:
     """docs with the new text, n_chars where the table has it, and as last column _ld_dropped (lines removed; the next unused name if the table has that one)."""
     of, bad, salt, own, kept, dropped = (common.unused(f"_ld_{n}", docs.columns) for n in ("of", "bad", "salt", "own", "kept", "dropped"))
-    found = common.checkpointed(boilerplate(docs, host, text, ratio, confidence)).select(F.col("host").alias(of), F.col("lines").alias(bad))
+    found = common.checkpointed(boilerplate(docs, host, text, ratio, confidence, min_pages)).select(F.col("host").alias(of), F.col("lines").alias(bad))
     size = found.agg(F.coalesce(F.sum(F.size(bad) + 5), F.lit(0)).alias("n")).head().n
     same = F.col(host).eqNullSafe(F.col(of))
     if size <= BROADCAST_LINES:
