@@ -103,3 +103,39 @@ def test_rounds_order_suffixes_and_share_prefixes():
             for a, b, n in zip(suffixes, suffixes[1:], shared[1:].tolist(), strict=False):
                 assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or a == b
         before = order
+
+
+def test_text_and_spans_that_stay(spark):
+    rng = random.Random(11)
+    passage, few = [" ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(n)) for k, n in ((9, 60), (5, 55))]  # 599 and 329 bytes, both over 50 words
+    clean = prose(rng, 500)
+    accents = ["é" * 3 + passage, passage + "à" * 3]
+    texts = [f"first {passage} end", f"{passage} second", f"third {few}", f"{few} fourth", clean, None, "", "日" + passage + "語", *accents, "本" + passage + "誤"]
+    rows = {r.doc_id: r for r in sd.without_repeats(documents(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, (size, removed, spans, digest) in enumerate(counted(texts)):
+        row, raw = rows[i], (texts[i] or "").encode()
+        at = [0, *(x for s in row.spans for x in s), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
+        assert (row.n_bytes, sum(s.b - s.a for s in row.spans), len(row.spans)) == (size, removed, spans)
+        assert bytes(row.kept) == kept and hashlib.sha256(kept).hexdigest() == digest
+        assert passage not in row.text and row.text.encode() in (kept, kept.decode("utf-8", "ignore").encode())
+    assert rows[0].text.startswith("first") and rows[0].text.endswith("end")
+    assert all(rows[i].text == (texts[i] or "") and not rows[i].spans for i in (2, 3, 4, 5, 6))  # under 400 bytes, clean, empty
+
+
+def test_a_character_split_by_a_cut_is_left_out(spark):
+    rng = random.Random(12)
+    body = "".join(rng.choice("abc") for _ in range(450))
+    # é and ã share their first byte, é and ĩ their second: the repeated run ends and begins within characters
+    texts = ["1é" + body + "é2", "3ĩ" + body + "ã4"]
+    rows = {r.doc_id: r for r in sd.without_repeats(documents(spark, texts)).collect()}
+    assert [rows[i].text for i in (0, 1)] == ["12", "34"] and [bytes(rows[i].kept) for i in (0, 1)] == [b"1\xc3\xa92", b"3\xc4\xa34"]
+
+
+def test_query_gives_digests_then_text_and_spans(spark):
+    got = sd.op13_suffix_array_dedup(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"]
+    for r in got.collect():
+        assert r.n_removed == sum(s.b - s.a for s in r.spans) and r.n_spans == len(r.spans)
+        assert 0 <= r.n_bytes - r.n_removed - len(r.text.encode()) <= 6 * r.n_spans
