@@ -7,7 +7,6 @@ can run without weights; thresholds of real models do not hold for them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from lodestone.functions.words import md5_digits, words
+
 Embed = Callable[[list[str]], np.ndarray]
 Score = Callable[[list[str], list[str]], np.ndarray]
 _WORD = re.compile(r"\w+")
@@ -45,17 +46,14 @@ def word_embedder(size: int = 64) -> Callable[[], Embed]:
     """Counts of the words `[a-z0-9]+` by their hash (the first eight digits of MD5), L2-normalised: any engine can compute the same."""
 
     def load() -> Embed:
-        memo: dict[str, int] = {}
-
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size))
-            for i, t in enumerate(texts):
-                for w in re.findall("[a-z0-9]+", (t or "").lower()):
-                    if w not in memo:
-                        if len(memo) >= 200_000:
-                            memo.clear()
-                        memo[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
-                    out[i, memo[w]] += 1
+            for found, of in words(((t or "").encode() for t in texts), joined=False):
+                if len(of):
+                    each = found.dictionary_encode()
+                    place = (md5_digits(each.dictionary) % size).astype(np.int64)[each.indices.to_numpy()]
+                    first, last = of[0], of[-1] + 1
+                    out[first:last] += np.bincount((of - first) * size + place, minlength=(last - first) * size).reshape(-1, size)
             length = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, length, out=out, where=length > 0)
 

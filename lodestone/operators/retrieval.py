@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import fusion, index, lexical, models, understanding, vector
+from lodestone.operators import fusion, index, lexical, models, scan, understanding, vector
 from lodestone.operators.lineage import cut
 
 # The least pool of a search, and chunks asked for.
@@ -38,13 +38,15 @@ class Retrieval:
 def retrieve(
     queries: DataFrame, chunks: DataFrame, knowledge: understanding.Knowledge, embed: Callable[[], models.Embed], score: Callable[[], models.Score] | None,
     top_k: int = TOP_K, aliases: DataFrame | None = None, fuzzy: bool = False, kept: index.Index | None = None, vectors: DataFrame | None = None,
+    weighted: DataFrame | None = None,
 ) -> Retrieval:
     """queries: query_id, query and, if rows of one category only are wanted from vectors, category (BM25 sees all).
 
     chunks: chunk_id, text, article_id, chunk_index, category.  aliases: more words of a chunk (chunk_id, aliases) for BM25.
     fuzzy: query terms that no chunk has are joined by the closest that some has.
-    kept: an index of the chunks' weighted texts, and vectors: stored vectors (chunk_id, category, embedding); with them no chunk is
-    tokenised or embedded here, and of the chunks' texts only those of candidates are read.
+    weighted: the chunks' texts as BM25 sees them (chunk_id, text), or kept: an index of these.  vectors: stored vectors (chunk_id, category, embedding).
+    With an index and vectors no chunk is tokenised or embedded here, and of the chunks' texts only those of candidates are read; without
+    an index one scan counts terms for all queries, which is less work than building one.
     """
     pool = max(LEAST_POOL, 3 * top_k)
     asked = cut(understanding.process(queries, knowledge))
@@ -55,12 +57,14 @@ def retrieve(
     near = vector.nearest(vectors, packed, pool, "chunk_id").select(
         F.floor(F.col("query_id") / VARIANTS).alias("query_id"), F.pmod("query_id", F.lit(VARIANTS)).cast("int").alias("list"), "rank", "chunk_id", "score")
     terms = lexical.query_terms(asked.select("query_id", F.col("lexical").alias("query")))
-    if kept is None:
+    if weighted is not None:
+        text = weighted
+    elif kept is None:
         text = chunks if aliases is None else chunks.join(aliases, "chunk_id", "left").withColumn("text", lexical.weighted_text(F.col("text"), category=F.col("category"), aliases=F.col("aliases")))
     if fuzzy:
         close = understanding.closest_terms(terms.select("query_id", "term"), index.vocabulary(kept) if kept is not None else lexical.vocabulary(text))
         terms = close.join(terms, ["query_id", "term"], "left").groupBy("query_id", "term").agg(F.coalesce(F.max("qf"), F.lit(1)).alias("qf"))
-    found = index.search(kept, None, pool, terms=terms) if kept is not None else lexical.search(text, None, pool, terms=terms)
+    found = index.search(kept, None, pool, terms=terms) if kept is not None else scan.search(text, pool, terms)
     listed = near.unionByName(found.select("query_id", F.lit(-1).alias("list"), "rank", "chunk_id", F.lit(None).cast("double").alias("score")))
     rankings = cut(listed.withColumn("weight", fusion.list_weights(F.col("list"))))
     short = cut(fusion.shortlist(fusion.rrf(rankings)))
@@ -68,7 +72,9 @@ def retrieve(
     hits = rankings.filter("list = -1").select("query_id", "chunk_id", F.lit(True).alias("is_lexical"))
     # chunks that BM25 alone found get their vector, and with it a score, here like all others
     primary = packed.filter("list = 0").select(F.floor(F.col("query_id") / VARIANTS).alias("query_id"), "q")
-    chosen = chunks.join(short, "chunk_id").join(hits, ["query_id", "chunk_id"], "left")
+    # first the chunks that any query has: a semi join is pushed below what the texts are made by
+    own = chunks.join(short.select("chunk_id"), "chunk_id", "left_semi")
+    chosen = own.join(short, "chunk_id").join(hits, ["query_id", "chunk_id"], "left")
     paired = chosen.join(vectors.join(short.select("query_id", "chunk_id"), "chunk_id").select("query_id", "chunk_id", "embedding"), ["query_id", "chunk_id"]).join(primary, "query_id")
     about = asked.select("query_id", models.query_forms(F.col("variants")).alias("forms"), "boost_terms", "procedural", "understood")
     scored = cut(paired.join(about, "query_id").select(

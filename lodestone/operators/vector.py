@@ -25,6 +25,8 @@ MAX_QUERIES, MAX_NUMBERS, BLOCK = 50_000, 1 << 23, 1 << 22
 SAMPLE, ROUNDS, MAX_CELLS = 50_000, 8, 4096
 #: Share of the nearest NEAR that the cells read for a query are to hold, as measured on CHECKED sampled rows.
 RECALL, NEAR, CHECKED = 0.95, 10, 500
+#: Slack of a comparison with the k-th score, as scores are ordered by nine digits.
+SLACK = 2e-9
 
 
 def score_of_distance(distance: Column) -> Column:
@@ -71,9 +73,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", em
     return found
 
 
-def _best(query: np.ndarray, ids: np.ndarray, dots: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best by descending dot product, then id."""
-    order = np.lexsort((ids, -dots, query))
+def best_places(query: np.ndarray, ids: np.ndarray, dots: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best by descending dot product of nine digits, then id."""
+    order = np.lexsort((ids, -np.round(dots, 9), query))
     sorted_ = query[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
     return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
@@ -101,7 +103,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embe
 
         def merged(parts: list[tuple]) -> tuple:
             every = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            at = _best(*every, k)
+            at = best_places(*every, k)
             return tuple(c[at] for c in every)
 
         def take(q_at: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> None:
@@ -114,7 +116,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, n: int, k: int, id_: str, embe
                 m = min(k, score.shape[1])
                 # ties beyond the k-th place are settled by id, so take all of them
                 least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
-                r, c = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                r, c = np.nonzero((score >= least[:, None] - SLACK) & np.isfinite(score))
                 waiting.append((query[q_at[r]], part[c].astype(np.int64), score[r, c]))
                 held += len(r)
                 if held > BLOCK:

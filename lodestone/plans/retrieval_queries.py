@@ -193,13 +193,13 @@ def titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> retrieval.Retrieval:
-    """The benchmark's passages as queries over all documents, by the kept index of their weighted texts and their stored vectors."""
+    """The benchmark's passages as queries over all documents, by a scan of their weighted texts and their stored vectors."""
     rows, source = titled_chunks(spark, sf_dir), f"{sf_dir}/documents.parquet"
-    weighted = lambda: rows.select("chunk_id", lexical.weighted_text(F.col("text"), category=F.col("category")).alias("text"))
+    weighted = rows.select("chunk_id", lexical.weighted_text(F.col("text"), category=F.col("category")).alias("text"))
     vectors = lambda: rows.select("chunk_id", "category", models.embedding(models.word_embedder(64))("text").alias("embedding"))
     return retrieval.retrieve(
         benchmark_queries(spark, sf_dir), rows, INTENTS, models.word_embedder(64), models.overlap_scorer,
-        kept=kept.inverted_index(spark, source, "titled", weighted), vectors=kept.table(spark, source, "vectors", vectors),
+        vectors=kept.table(spark, source, "vectors", vectors), weighted=weighted,
     )
 
 
